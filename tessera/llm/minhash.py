@@ -128,41 +128,61 @@ def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("class", text).mapInArrow(run, "class long, set array<long>")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Edges (a, b) from a centre to one class of each other component of a bucket.
+#: Stars of a bucket in every turn after the first, each around another centre.
+STARS = 4
 
-    members: (key, class, comp, turn). The centre is the class with the smallest hash that
-    depends on bucket and turn, so different buckets star around different classes.
+
+def _stars(members: DataFrame, orders: list) -> DataFrame:
+    """Edges (a, b, na, nb) from a centre to one class of each other component of a bucket.
+
+    members: (key, class, n, comp). Each of `orders` gives one star: it picks the class of
+    a component, and the centre is the picked class that it puts first. Pairs whose set
+    sizes rule a link out are left out.
     """
-    order = F.xxhash64("key", "class", "turn")
-    one = members.groupBy("key", "comp").agg(F.min(F.struct(order.alias("o"), F.col("class"))).alias("m"))
-    centre = one.groupBy("key").agg(F.min("m").alias("c"), F.count("*").alias("n")).where("n > 1")
-    return one.join(centre, "key").where("m.class <> c.class").select(F.least("m.class", "c.class").alias("a"), F.greatest("m.class", "c.class").alias("b"))
+    picks = [F.min(F.struct(o.alias("o"), F.col("class"), F.col("n"))).alias(f"m{i}") for i, o in enumerate(orders)]
+    one = members.groupBy("key", "comp").agg(*picks)
+    centre = one.groupBy("key").agg(*[F.min(f"m{i}").alias(f"c{i}") for i in range(len(orders))], F.count("*").alias("parts")).where("parts > 1")
+    pairs = F.explode(F.array(*[F.struct(F.col(f"m{i}").alias("m"), F.col(f"c{i}").alias("c")) for i in range(len(orders))])).alias("p")
+    each = one.join(centre, "key").select(pairs).where("p.m.class <> p.c.class")
+    sized = each.where(100 * F.least("p.m.n", "p.c.n") >= MIN_PERCENT * F.greatest("p.m.n", "p.c.n"))
+    swap = F.col("p.m.class") < F.col("p.c.class")
+    return sized.select(
+        F.least("p.m.class", "p.c.class").alias("a"),
+        F.greatest("p.m.class", "p.c.class").alias("b"),
+        F.when(swap, F.col("p.m.n")).otherwise(F.col("p.c.n")).alias("na"),
+        F.when(swap, F.col("p.c.n")).otherwise(F.col("p.m.n")).alias("nb"),
+    ).distinct()
+
 
+def _tasks(rows: int) -> int:
+    """Tasks that write a narrow table of so many rows."""
+    return 4 + rows // 250_000
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(class, comp) with comp the smallest class reachable.
+
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """(node, comp) of every node of the edges (a, b), with comp the smallest node reachable.
 
     Every round takes the smallest label of the neighbours, then the label's own label;
     labels are written, so a round depends on no earlier one.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, "links")
-    label = written(nodes.select("class", F.col("class").alias("comp")), "labels")
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(_tasks(2 * rows)), "links")
+    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp"))
+    label = written(label.coalesce(_tasks(rows)), "labels")
     while True:
-        near = both.join(label, both["b"] == label["class"]).groupBy("a").agg(F.min("comp").alias("near"))
-        hooked = label.join(near, label["class"] == near["a"], "left").select("class", "comp", F.least("comp", "near").alias("new"))
-        hooked = written(hooked, "hooked")
-        up = hooked.select(F.col("class").alias("new"), F.col("new").alias("up"))
-        jumped = hooked.join(up, "new", "left").select("class", F.col("comp").alias("old"), F.least("new", "up").alias("comp"))
-        jumped = written(jumped, "labels")
-        changed = jumped.where("old <> comp").limit(1).count()
-        label = jumped.select("class", "comp")
-        if not changed:
+        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("comp").alias("near"))
+        hooked = label.join(near, label["node"] == near["a"]).select("node", "comp", F.least("comp", "near").alias("new"))
+        up = label.select(F.col("node").alias("new"), F.col("comp").alias("up"))
+        jumped = written(hooked.join(up, "new", "left").select("node", F.col("comp").alias("old"), F.least("new", "up").alias("comp")).coalesce(_tasks(rows)), "labels")
+        label = jumped.select("node", "comp")
+        if not jumped.where("old <> comp").limit(1).count():
             return label
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_rounds: int = 50) -> DataFrame:
+#: Classes whose ids (16 bytes each) may be broadcast to pick their texts; with more the join shuffles.
+BROADCAST_CLASSES = 2_000_000
+
+
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_turns: int = 50) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id of its group), kept.
 
     Links are confirmed with 100 * intersection >= 75 * union on the full sets. Texts
@@ -172,24 +192,29 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", ma
     """
     sk = written(sketches(docs, doc, text), "sketches")
     classes = written(sk.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
-    entries = classes.select("class", F.explode("keys").alias("key"))
+    entries = classes.select("class", "n", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = written(entries.join(shared, "key"), "buckets")
-    comp = entries.select("class").distinct().withColumn("comp", F.col("class"))
-    linked, sets, tried = None, None, None
-    for turn in range(max_rounds):
-        stars = _stars(entries.join(comp, "class").withColumn("turn", F.lit(turn))).distinct()
-        if tried is not None:
-            stars = stars.join(tried, ["a", "b"], "left_anti")
-        n = classes.select("class", "n")
-        sized = stars.join(n.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-        stars = written(sized.where(100 * F.least("na", "nb") >= MIN_PERCENT * F.greatest("na", "nb")), "stars")
-        if not stars.limit(1).count():
+    members = written(entries.select("class").distinct(), "members")
+    # The first turn's centre is the bucket's smallest class, the same in most buckets of a large
+    # group, so its members have few centres; later turns star around others in every bucket.
+    comp, sets, tried = None, None, None
+    for turn in range(max_turns):
+        if turn == 0:
+            stars = _stars(entries.withColumn("comp", F.col("class")), [F.col("class")])
+        else:
+            orders = [F.xxhash64("key", "class", F.lit(STARS * turn + i)) for i in range(STARS)]
+            stars = _stars(entries.join(comp, "class"), orders).join(tried, ["a", "b"], "left_anti")
+        stars = written(stars, "stars")
+        n_stars = stars.count()
+        if not n_stars:
             break
         tried = stars.select("a", "b") if tried is None else tried.union(stars.select("a", "b"))
         if sets is None:
-            wanted = classes.join(entries.select("class").distinct(), "class", "left_semi").select("class", F.col("doc").alias("rep"))
-            sets = written(shingle_sets(docs.select(F.col(doc).cast("long").alias("rep"), text).join(wanted, "rep")), "sets")
+            wanted = classes.join(members, "class", "left_semi").select("class", F.col("doc").alias("rep"))
+            wanted = F.broadcast(wanted) if members.count() <= BROADCAST_CLASSES else wanted
+            mine = docs.select(F.col(doc).cast("long").alias("rep"), text).join(wanted, "rep")
+            sets = written(shingle_sets(mine, text), "sets")
         good = (
             stars.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
@@ -197,12 +222,23 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", ma
             .where(100 * F.col("i") >= MIN_PERCENT * (F.col("na") + F.col("nb") - F.col("i")))
             .select("a", "b")
         )
-        good = written(good, "good")
-        if linked is not None and not good.limit(1).count():
+        good = written(good.distinct(), "good")
+        n_good = good.count()
+        if not n_good and turn:
             break
-        linked = good if linked is None else linked.union(good)
-        comp = components(linked, entries.select("class").distinct())
-    named = classes.select("class", "doc").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        if comp is None:
+            moved = components(good, n_good)
+            comp = members.join(moved, members["class"] == moved["node"], "left").select("class", F.coalesce("comp", "class").alias("comp"))
+        else:
+            of_a, of_b = comp.select(F.col("class").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("class").alias("b"), F.col("comp").alias("cb"))
+            moved = components(good.join(of_a, "a").join(of_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), n_good)
+            comp = comp.join(moved.withColumnRenamed("comp", "to"), comp["comp"] == moved["node"], "left").select("class", F.coalesce("to", "comp").alias("comp"))
+        comp = written(comp, "comp")
+    named = classes.select("class", "doc")
+    if comp is not None:
+        named = named.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    else:
+        named = named.withColumn("comp", F.col("class"))
     least = named.groupBy("comp").agg(F.min("doc").alias("least"))
     ids = named.join(least, "comp").select("class", "least")
     out = sk.join(ids, "class", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
