@@ -4,15 +4,15 @@ A string of `length` bytes that starts at two places has the same minimiser at b
 k-gram with the smallest hash among those inside it. Every minimiser of a text owns a
 run of windows; the bytes that these cover are its span. So:
 
-1. Equal texts form one class, and each class gives its minimisers (k-gram hash, span
-   hash). A k-gram that occurs once owns only windows that occur once. A span that
-   occurs twice repeats in all its windows.
+1. Every text gives its minimisers (k-gram hash, span hash). A k-gram that occurs once
+   owns only windows that occur once. A span that occurs twice repeats in all its windows.
 2. Spans that occur once but share their k-gram are brought together by the k-gram's
    hash. A bucket builds the run-compressed Burrows-Wheeler transform of its spans with
    samples at the ends of runs; from these it streams the matching statistics (the
    longest match elsewhere of every position) and marks the windows with a match of at
    least `length` bytes. K-grams with very many different spans would fill one bucket;
-   their windows are counted by hash instead, spread over all tasks.
+   there, what stands before and after the k-gram is counted by hash, first in a few
+   lengths, which leaves few windows open, and then these windows, over all tasks.
 3. Marked windows are brought to their texts and the bytes they cover are removed.
 """
 
@@ -50,10 +50,10 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """k-gram hash, span hash, first and last owned window of each minimiser of one text."""
+    """k-gram hash, span hash, first and last owned window, and the k-gram's place, of each minimiser of one text."""
     n = len(data) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     prefix = prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     grams = range_hash(prefix, at, at + gram)
@@ -63,7 +63,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     where = owner[first]
     # The offset of the k-gram in its span is part of the hash, so equal spans own equal windows.
     span = mix(range_hash(prefix, first, last + length) + (where - first).astype(np.uint64))
-    return grams[where].view(np.int64), span.view(np.int64), first, last
+    return grams[where].view(np.int64), span.view(np.int64), first, last, where
 
 
 def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -125,23 +125,19 @@ def matching_statistics(codes: np.ndarray) -> tuple[np.ndarray, int]:
     return best, len(run_start)
 
 
-def _classes(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("class", F.sha2("text", 256))
-
-
-def _anchor_rows(classes: DataFrame, length: int, gram: int) -> DataFrame:
-    """(class, copies, gram, span, first, last)"""
+def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """(row, gram, span, first, last, at)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 data, offsets = utf8(part.column("text"))
                 found = [anchors(data[a:b], length, gram) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                n = np.array([len(f[0]) for f in found])
-                take = pa.array(np.repeat(np.arange(len(found)), n))
-                yield pa.RecordBatch.from_arrays([part.column("class").take(take), *[pa.array(np.concatenate([f[i] for f in found]).astype(np.int64)) for i in range(4)]], names=["class", "gram", "span", "first", "last"])
+                take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                cols = [np.concatenate([f[i] for f in found]).astype(np.int64 if i < 2 else np.int32) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([part.column("row").take(take), *map(pa.array, cols)], names=["row", "gram", "span", "first", "last", "at"])
 
-    return classes.select("class", "text").mapInArrow(run, "class string, gram long, span long, first long, last long")
+    return rows.mapInArrow(run, "row long, gram long, span long, first int, last int, at int")
 
 
 def _bucket_windows(length: int):
@@ -162,59 +158,97 @@ def _bucket_windows(length: int):
         inside = hit - starts[which]
         own = frame["own"].to_numpy()[which] & (inside <= (frame["last"] - frame["first"]).to_numpy()[which])
         which, inside = which[own], inside[own]
-        return pd.DataFrame({"class": frame["class"].to_numpy()[which], "window": frame["first"].to_numpy()[which] + inside})
+        at = frame["first"].to_numpy()[which] + inside
+        return pd.DataFrame({"row": frame["row"].to_numpy()[which], "first": at.astype(np.int32), "last": at.astype(np.int32)})
 
     return run
 
 
-def _cut(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Span bytes of (class, text, picks array<struct<gram,first,last,own,hot>>): one row for each pick."""
-    return rows.select("class", "text", F.explode("picks").alias("p")).select(
-        "class", "p.gram", "p.first", "p.last", "p.own", "p.hot", F.substring(F.encode("text", "UTF-8"), (F.col("p.first") + 1).cast("int"), (F.col("p.last") - F.col("p.first") + length).cast("int")).alias("bytes")
-    )
-
-
-def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(class, windows array<struct<first,last>>): window starts that occur elsewhere, by distinct text.
+def _hot_windows(hot: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for spans of k-grams with very many spans, by counting hashes over all tasks.
 
-    docs: distinct texts (class, text).
+    A window reaches l bytes before the k-gram and length - gram - l behind it, so both
+    these stretches must stand beside the k-gram elsewhere too. Stretches of a few
+    lengths are counted first; the windows that remain possible are counted whole.
+    """
+    free = length - gram
+    levels = [free // 8, free // 3, 2 * free // 3]
+    before, behind = F.col("at") - F.col("first"), F.length("bytes") - (F.col("at") - F.col("first")) - gram
+    keyed = hot.withColumns({"id": F.struct("row", "first"), "before": before, "behind": behind})
+    left = [F.when(F.col("before") >= n, F.struct(F.lit(0).alias("side"), F.lit(n).alias("n"), F.xxhash64(F.substring("bytes", F.col("before") - n + 1, F.lit(n))).alias("h"))) for n in levels]
+    right = [F.when(F.col("behind") >= n, F.struct(F.lit(1).alias("side"), F.lit(n).alias("n"), F.xxhash64(F.substring("bytes", F.col("before") + gram + 1, F.lit(n))).alias("h"))) for n in levels]
+    parts = keyed.select("gram", "id", F.explode(F.array_compact(F.array(*left, *right))).alias("p")).select("gram", "id", "p.*")
+    shared = parts.groupBy("gram", "side", "n", "h").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    reach = parts.join(shared, ["gram", "side", "n", "h"]).groupBy("id").agg(F.collect_set(F.struct("side", "n")).alias("reach"))
+    keyed = keyed.join(reach, "id", "left")
+
+    def bound(side: int):
+        """The most bytes that can be shared: below the first length that isn't."""
+        out = F.lit(free)
+        for n in reversed(levels):
+            has = F.coalesce(F.array_contains("reach", F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"))), F.lit(False))
+            out = F.when(has, out).otherwise(n - 1)
+        return out
+
+    # Window offset o reaches before - o bytes to the left.
+    low = F.greatest(F.lit(0), F.col("before") - bound(0))
+    high = F.least(F.col("last") - F.col("first"), F.col("before") - free + bound(1))
+    open_ = keyed.withColumns({"low": low, "high": high}).where("low <= high")
+    each = open_.select("row", "own", "first", "bytes", F.explode(F.sequence("low", "high")).alias("o"))
+    window = F.substring("bytes", F.col("o") + 1, F.lit(length))
+    hashed = each.select("row", "own", (F.col("first") + F.col("o")).alias("w"), F.xxhash64(window).alias("h1"), F.hash(window).alias("h2"))
+    again = hashed.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
+    return hashed.where("own").join(again, ["h1", "h2"]).select("row", F.col("w").alias("first"), F.col("w").alias("last"))
+
+
+#: Row ids (8 bytes each) that may be broadcast to pick texts before these are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def _picked(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """rows joined with keyed on row; with few keys only the texts concerned are shuffled."""
+    n = keyed.count()
+    if n <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(keyed.select("row")), "row", "left_semi")
+    return rows.join(keyed, "row")
+
+
+def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(row, windows array<struct<first,last>>): runs of window starts that occur elsewhere.
+
+    rows: (row, text), where a row's id is the same whenever the rows are read.
     """
-    found = written(_anchor_rows(docs, length, gram), "anchors")
-    spans = found.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("class", "first", "last")).alias("one"))
-    grams = spans.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("spans")).where("total > 1")
-    # Only k-grams that occur again, with what their spans need.
-    spans = written(spans.join(grams, "gram").withColumn("hot", F.col("spans") > HOT_SPANS), "spans")
-    whole = found.join(spans.where("n > 1").select("gram", "span"), ["gram", "span"]).select("class", F.struct("first", "last").alias("w"))
-    # Of each span that isn't alone with its k-gram, one occurrence is examined; only those that occur once need marks of their own.
-    picks = spans.where("spans > 1").select("one.class", F.struct("gram", "one.first", "one.last", (F.col("n") == 1).alias("own"), "hot").alias("p"))
-    n_picks = picks.count()
-    if n_picks:
-        by_class = picks.groupBy("class").agg(F.collect_list("p").alias("picks"))
-        cut = written(_cut(docs.join(by_class, "class"), length, gram), "cut")
-        n_buckets = max(1, n_picks // BUCKET_SPANS)
-        cool = cut.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(n_buckets)))
-        marked = cool.groupBy("bucket").applyInPandas(_bucket_windows(length), "class string, window long")
-        each = cut.where("hot").select("class", "own", F.col("bytes"), "first", F.explode(F.sequence(F.lit(0), (F.col("last") - F.col("first")).cast("int"))).alias("o"))
-        hashed = each.select("class", "own", (F.col("first") + F.col("o")).alias("window"), F.xxhash64(F.substring("bytes", F.col("o") + 1, F.lit(length))).alias("h1"), F.hash(F.substring("bytes", F.col("o") + 1, F.lit(length))).alias("h2"))
-        again = hashed.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-        marked = marked.unionByName(hashed.where("own").join(again, ["h1", "h2"]).select("class", "window"))
-        whole = whole.unionByName(marked.select("class", F.struct(F.col("window").alias("first"), F.col("window").alias("last")).alias("w")))
-    return whole.groupBy("class").agg(F.collect_list("w").alias("windows"))
+    found = written(_anchor_rows(rows, length, gram), "anchors")
+    again = found.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram")
+    # Only k-grams that occur again.
+    found = written(found.join(again, "gram"), "repeated")
+    spans = found.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    grams = spans.groupBy("gram").agg(F.count("*").alias("spans"))
+    spans = written(spans.join(grams, "gram"), "spans")
+    whole = found.join(spans.where("n > 1").select("gram", "span"), ["gram", "span"]).select("row", "first", "last")
+    # Of each span that isn't alone with its k-gram one occurrence is examined; those that occur once get marks of their own.
+    one = spans.where("spans > 1").select("gram", "span", "row", (F.col("n") == 1).alias("own"), (F.col("spans") > HOT_SPANS).alias("hot"))
+    places = found.join(one, ["gram", "span", "row"]).groupBy("gram", "span", "row", "own", "hot").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.min("at").alias("at"))
+    by_row = written(places.groupBy("row").agg(F.collect_list(F.struct("gram", "first", "last", "at", "own", "hot")).alias("picks")), "picks")
+    each = _picked(rows, by_row).select("row", F.encode("text", "UTF-8").alias("b"), F.explode("picks").alias("p"))
+    cut = each.select("row", "p.*", F.substring("b", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + length).alias("bytes"))
+    cut = written(cut, "cut")
+    n_buckets = max(1, cut.where("not hot").count() // BUCKET_SPANS)
+    cool = cut.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(n_buckets)))
+    marked = cool.groupBy("bucket").applyInPandas(_bucket_windows(length), "row long, first int, last int")
+    marked = marked.unionByName(_hot_windows(cut.where("hot"), length, gram))
+    return whole.unionByName(marked).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, kept_bytes (binary) and removed array<struct<start,end>> (maximal runs, end exclusive).
 
     Null text is empty. Texts that occur in several rows are removed whole if they have
-    `length` bytes. Matches never cross texts; overlapping ones count.
+    `length` bytes. Matches never cross texts; overlapping ones count. kept_bytes is null
+    where nothing is removed.
     """
-    rows = _classes(docs, doc, text)
-    copies = rows.groupBy("class").agg(F.count("*").alias("copies"), F.min("text").alias("text"))
-    copies = written(copies.where(F.octet_length("text") >= length), "texts")
-    windows = repeated_windows(copies.select("class", "text"), length, gram)
-    several = copies.where("copies > 1").select("class", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("text") - length).cast("long").alias("last"))).alias("all"))
-    marks = windows.join(several, "class", "full").select("class", F.coalesce("all", "windows").alias("windows"))
-    single = copies.select("class", "text").join(marks, "class")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias(doc), F.coalesce(text, F.lit("")).alias("text"))
+    marks = written(repeated_windows(rows.select("row", "text"), length, gram), "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,18 +259,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc:
                     own = data[a:b]
                     change = np.zeros(len(own) + 1, np.int64)
                     np.add.at(change, [x["first"] for x in w], 1)
-                    np.add.at(change, [min(x["last"] + length, len(own)) for x in w], -1)
+                    np.add.at(change, [x["last"] + length for x in w], -1)
                     gone = np.cumsum(change[:-1]) > 0
                     edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                     removed.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
                     kept.append(own[~gone].tobytes())
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["class", "kept", "removed"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["row", "kept_bytes", "removed"])
 
-    cut = single.mapInArrow(run, "class string, kept binary, removed array<struct<start: long, end: long>>")
+    cut = _picked(rows.select("row", "text"), marks).mapInArrow(run, "row long, kept_bytes binary, removed array<struct<start: long, end: long>>")
     none = F.array().cast("array<struct<start: long, end: long>>")
-    out = rows.join(cut, "class", "left")
-    return out.select(doc, F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("kept", F.encode("text", "UTF-8")).alias("kept_bytes"), F.coalesce("removed", none).alias("removed"))
+    whole = rows.select("row", doc, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    out = whole.join(cut, "row", "left")
+    return out.select(doc, "n_bytes", "kept_bytes", F.coalesce("removed", none).alias("removed"), "text_sha256")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,9 +282,9 @@ def digests(cut: DataFrame) -> DataFrame:
     return cut.select(
         "doc_id",
         "n_bytes",
-        (F.col("n_bytes") - F.octet_length("kept_bytes")).cast("long").alias("n_removed"),
+        (F.col("n_bytes") - F.coalesce(F.octet_length("kept_bytes"), "n_bytes")).cast("long").alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
-        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+        F.coalesce(F.sha2("kept_bytes", 256), "text_sha256").alias("kept_sha256"),
     )
 
 
