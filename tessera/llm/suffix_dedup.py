@@ -219,16 +219,16 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     rows: (row, text), where a row's id is the same whenever the rows are read.
     """
     found = written(_anchor_rows(rows, length, gram), "anchors")
-    again = found.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram")
-    # Only k-grams that occur again.
-    found = written(found.join(again, "gram"), "repeated")
-    spans = found.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min("row").alias("row"))
-    grams = spans.groupBy("gram").agg(F.count("*").alias("spans"))
-    spans = written(spans.join(grams, "gram"), "spans")
-    whole = found.join(spans.where("n > 1").select("gram", "span"), ["gram", "span"]).select("row", "first", "last")
+    # Both sides of each join are tables, so a k-gram or span with very many rows is split over tasks.
+    again = written(found.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram"), "again")
+    found = found.join(again, "gram")
+    spans = written(found.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min("row").alias("one")), "spans")
+    spans = written(spans.join(spans.groupBy("gram").agg(F.count("*").alias("spans")), "gram"), "sized")
+    found = written(found.join(spans, ["gram", "span"]), "repeated")
+    whole = found.where("n > 1").select("row", "first", "last")
     # Of each span that isn't alone with its k-gram one occurrence is examined; those that occur once get marks of their own.
-    one = spans.where("spans > 1").select("gram", "span", "row", (F.col("n") == 1).alias("own"), (F.col("spans") > HOT_SPANS).alias("hot"))
-    places = found.join(one, ["gram", "span", "row"]).groupBy("gram", "span", "row", "own", "hot").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.min("at").alias("at"))
+    one = found.where("spans > 1 and row = one").withColumns({"own": F.col("n") == 1, "hot": F.col("spans") > HOT_SPANS})
+    places = one.groupBy("gram", "span", "row", "own", "hot").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.min("at").alias("at"))
     by_row = written(places.groupBy("row").agg(F.collect_list(F.struct("gram", "first", "last", "at", "own", "hot")).alias("picks")), "picks")
     each = _picked(rows, by_row).select("row", F.encode("text", "UTF-8").alias("b"), F.explode("picks").alias("p"))
     cut = each.select("row", "p.*", F.substring("b", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + length).alias("bytes"))
