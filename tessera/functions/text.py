@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns of the significance rules (ASCII digits, Unicode word boundaries).
 NUMBER = r"\b\d[\d,._]*\b"
@@ -17,7 +18,7 @@ VERSION = r"(?i)(v\d+|rev(ision)?\.?\s*\d+|version\s*\d+)"
 DATE_WORDS = r"(?i)(date:|prepared|report|revision|version|issued)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; there is no built-in for it."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def greedy(pairs: DataFrame, group: str, least: float) -> DataFrame:
@@ -62,7 +63,8 @@ def _script(a: list[str], b: list[str]) -> list[tuple[str, str, str]]:
 
 def word_changes(pairs: DataFrame, before: str, after: str) -> DataFrame:
     """Add changes array<struct<type,before,after>> of the words of two columns; equal rows skip the comparison."""
-    schema = pairs.schema.add("changes", "array<struct<type: string, before: string, after: string>>")
+    change = StructType([StructField(n, StringType()) for n in ("type", "before", "after")])
+    schema = StructType([*pairs.schema.fields, StructField("changes", ArrayType(change))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -1,28 +1,4 @@
-"""Registry of the engine's queries: name -> (spark, sf_dir) -> DataFrame, with the SQL that gives the same rows."""
+"""All queries of the engine."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query builder under its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
-def daily_event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+from . import analytics, listings, texts, timeline  # noqa: F401  (each registers its queries)
+from .registry import ORACLES, QUERIES  # noqa: F401

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -32,7 +33,7 @@ def limited(events: DataFrame, keys: list[str], seconds: int, most: int) -> Data
 
     With most = 1 this is first-wins de-duplication whose time to live isn't refreshed.
     """
-    schema = events.schema.add("passed", "boolean")
+    schema = StructType([*events.schema.fields, StructField("passed", BooleanType())])
 
     def table(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["ts", "event_id"])
