@@ -69,6 +69,8 @@ class ChunkTable:
         if not new:
             return
         ids = self.sp.encode([x.replace(MARK, " ") for x in new], num_threads=1)
+        # A lone marker is the empty string here, which the library wouldn't encode.
+        ids = [x if chunk else [self.sp.piece_to_id(MARK)] for chunk, x in zip(new, ids, strict=True)]
         self.text += self.sp.decode(ids, num_threads=1)
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         length = np.fromiter(map(len, ids), np.int64, len(ids))
