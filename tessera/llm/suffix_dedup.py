@@ -11,8 +11,8 @@ run of windows; the bytes that these cover are its span. So:
    samples at the ends of runs; from these it streams the matching statistics (the
    longest match elsewhere of every position) and marks the windows with a match of at
    least `length` bytes. K-grams with very many different spans would fill one bucket;
-   there, what stands before and after the k-gram is counted by hash, first in a few
-   lengths, which leaves few windows open, and then these windows, over all tasks.
+   there, blocks of windows around the k-gram are counted by hash over all tasks, and
+   only blocks that repeat in part are cut into smaller ones, down to single windows.
 3. Marked windows are brought to their texts and the bytes they cover are removed.
 """
 
@@ -159,46 +159,49 @@ def _bucket_windows(length: int):
         own = frame["own"].to_numpy()[which] & (inside <= (frame["last"] - frame["first"]).to_numpy()[which])
         which, inside = which[own], inside[own]
         at = frame["first"].to_numpy()[which] + inside
-        return pd.DataFrame({"row": frame["row"].to_numpy()[which], "first": at.astype(np.int32), "last": at.astype(np.int32)})
+        new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)][: len(at)])
+        end = np.r_[new[1:], len(at)][: len(new)] - 1
+        return pd.DataFrame({"row": frame["row"].to_numpy()[which[new]], "first": at[new].astype(np.int32), "last": at[end].astype(np.int32)})
 
     return run
 
 
+#: Sizes of the blocks of windows that are counted together, from turn to turn.
+BLOCKS = (32, 8, 2, 1)
+
+
 def _hot_windows(hot: DataFrame, length: int, gram: int) -> DataFrame:
     """The same for spans of k-grams with very many spans, by counting hashes over all tasks.
 
-    A window reaches l bytes before the k-gram and length - gram - l behind it, so both
-    these stretches must stand beside the k-gram elsewhere too. Stretches of a few
-    lengths are counted first; the windows that remain possible are counted whole.
+    A window is told by its reach, the number of its bytes before the k-gram. Windows of
+    neighbouring reaches form a block. Where the bytes that all windows of a block share
+    stand nowhere else beside this k-gram, none of them repeats; where all bytes that they
+    cover stand elsewhere as a whole, all of them repeat and make one run. Other blocks
+    are cut into smaller ones, down to single windows.
     """
     free = length - gram
-    levels = [free // 8, free // 3, 2 * free // 3]
-    before, behind = F.col("at") - F.col("first"), F.length("bytes") - (F.col("at") - F.col("first")) - gram
-    keyed = hot.withColumns({"id": F.struct("row", "first"), "before": before, "behind": behind})
-    left = [F.when(F.col("before") >= n, F.struct(F.lit(0).alias("side"), F.lit(n).alias("n"), F.xxhash64(F.substring("bytes", F.col("before") - n + 1, F.lit(n))).alias("h"))) for n in levels]
-    right = [F.when(F.col("behind") >= n, F.struct(F.lit(1).alias("side"), F.lit(n).alias("n"), F.xxhash64(F.substring("bytes", F.col("before") + gram + 1, F.lit(n))).alias("h"))) for n in levels]
-    parts = keyed.select("gram", "id", F.explode(F.array_compact(F.array(*left, *right))).alias("p")).select("gram", "id", "p.*")
-    shared = parts.groupBy("gram", "side", "n", "h").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    reach = parts.join(shared, ["gram", "side", "n", "h"]).groupBy("id").agg(F.collect_set(F.struct("side", "n")).alias("reach"))
-    keyed = keyed.join(reach, "id", "left")
-
-    def bound(side: int):
-        """The most bytes that can be shared: below the first length that isn't."""
-        out = F.lit(free)
-        for n in reversed(levels):
-            has = F.coalesce(F.array_contains("reach", F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"))), F.lit(False))
-            out = F.when(has, out).otherwise(n - 1)
-        return out
-
-    # Window offset o reaches before - o bytes to the left.
-    low = F.greatest(F.lit(0), F.col("before") - bound(0))
-    high = F.least(F.col("last") - F.col("first"), F.col("before") - free + bound(1))
-    open_ = keyed.withColumns({"low": low, "high": high}).where("low <= high")
-    each = open_.select("row", "own", "first", "bytes", F.explode(F.sequence("low", "high")).alias("o"))
-    window = F.substring("bytes", F.col("o") + 1, F.lit(length))
-    hashed = each.select("row", "own", (F.col("first") + F.col("o")).alias("w"), F.xxhash64(window).alias("h1"), F.hash(window).alias("h2"))
-    again = hashed.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    return hashed.where("own").join(again, ["h1", "h2"]).select("row", F.col("w").alias("first"), F.col("w").alias("last"))
+    before = F.col("at") - F.col("first")
+    open_ = hot.withColumns({"before": before, "low": before - (F.col("last") - F.col("first")), "a": F.lit(0), "b": F.lit(free)})
+    out = None
+    for size in BLOCKS:
+        block = F.explode(F.sequence(F.floor(F.greatest("a", "low") / size), F.floor(F.least("b", "before") / size)).cast("array<int>")).alias("block")
+        cut = open_.select("row", "gram", "first", "own", "bytes", "before", "low", block)
+        cut = cut.withColumns({"a": F.col("block") * size, "b": F.least(F.col("block") * size + (size - 1), F.lit(free))}).drop("block")
+        core = F.substring("bytes", F.col("before") - F.col("a") + 1, F.col("a") + length - F.col("b"))
+        hull = F.substring("bytes", F.col("before") - F.col("b") + 1, F.col("b") + length - F.col("a"))
+        inside = (F.col("a") >= F.col("low")) & (F.col("b") <= F.col("before"))
+        cut = cut.withColumns({"c1": F.xxhash64("gram", "a", core), "c2": F.hash(core), "h1": F.when(inside, F.xxhash64("gram", "a", hull)), "h2": F.when(inside, F.hash(hull))})
+        cut = written(cut, "blocks")
+        cores = cut.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
+        hulls = cut.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("one")).where("n > 1").drop("n")
+        cut = written(cut.join(cores, ["c1", "c2"]).join(hulls, ["h1", "h2"], "left"), "counted")
+        at = F.col("first") + F.col("before")
+        runs = cut.where("own and one is not null").select("row", (at - F.col("b")).alias("first"), (at - F.col("a")).alias("last"))
+        out = runs if out is None else out.unionByName(runs)
+        # One of the blocks that repeat as a whole stays, as other spans may repeat a part of it.
+        stays = F.col("one").isNull() | (F.col("one") == F.struct("row", "first"))
+        open_ = cut.where(stays).withColumn("own", F.col("own") & F.col("one").isNull())
+    return out
 
 
 #: Row ids (8 bytes each) that may be broadcast to pick texts before these are shuffled.

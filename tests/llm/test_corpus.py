@@ -55,6 +55,19 @@ def test_suffix_dedup(docs, none, monkeypatch):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_around_a_hot_line(spark, monkeypatch):
+    """A line of 150 bytes in many texts, whose surroundings repeat in parts of different lengths."""
+    monkeypatch.setattr(suffix_dedup, "HOT_SPANS", 3)
+    rng = np.random.default_rng(3)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    line, left, right = noise(150), noise(300), noise(300)
+    texts = [noise(300) + left[len(left) - int(i) :] + line + right[: int(j)] + noise(300) for i, j in rng.integers(0, 120, (60, 2))]
+    texts += [t[250:700] for t in texts[:10]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = suffix_dedup.digests(suffix_dedup.remove_repeats(docs)).collect()
+    assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(suffix_dedup.brute_force(texts))
+
+
 def test_near_duplicates(docs, none):
     def shingles(t):
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
