@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages over the documents table.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. Rows are
+told by a row key, as a doc_id may be null, repeated or have several texts.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import written
+from tessera.llm.common import ROW, with_rows, written
 from tessera.llm.decontaminate import contained
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.quality import classify, held_out
@@ -19,14 +20,21 @@ from tessera.llm.suffix_dedup import remove_repeats
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    good = classify(docs, labels, ~held_out()).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    docs = with_rows(docs)
+    good = classify(docs, labels, ~held_out()).where("predicted = 1").select(ROW)
+    return docs.join(good, ROW, "left_semi").drop(ROW)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate group."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of every near-duplicate group: of the smallest id (null comes last) the smallest row key.
+
+    Rows without words are in no group and stay.
+    """
+    docs = with_rows(docs)
+    near = written(near_duplicates(docs).select(ROW, "group", "doc_id"), "near")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias(ROW)
+    kept = near.where("group is not null").groupBy("group").agg(best).select(ROW).union(near.where("group is null").select(ROW))
+    return docs.join(kept, ROW, "left_semi").drop(ROW)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,23 +42,24 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A document that nothing is left of goes. Rows that the operator doesn't change keep their text, null too.
     """
-    cut = remove_repeats(docs).where("size(removed) > 0").groupBy("doc_id").agg(F.first("kept_bytes").alias("kept_bytes"))
+    columns, docs = docs.columns, with_rows(docs)
+    cut = remove_repeats(docs).where("size(removed) > 0")
 
     @F.pandas_udf("string")
     def text_of(kept):
         return kept.map(lambda b: b.decode("utf-8", "ignore"))
 
-    changed = cut.select("doc_id", text_of("kept_bytes").alias("new_text"))
-    both = docs.join(changed, "doc_id", "left").where("new_text is null or new_text <> ''")
+    changed = cut.select(ROW, text_of("kept_bytes").alias("new_text"))
+    both = docs.join(changed, ROW, "left").where("new_text is null or new_text <> ''")
     text = F.coalesce("new_text", "text")
-    return both.select([text.alias(c) if c == "text" else F.when(F.col("new_text").isNull(), F.col(c)).otherwise(F.length(text)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return both.select([text.alias(c) if c == "text" else F.when(F.col("new_text").isNull(), F.col(c)).otherwise(F.length(text)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = found.where("size(hits) > 0").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti")
+    docs = with_rows(docs)
+    found = contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc=ROW)
+    return docs.join(found.where("size(hits) > 0").select(ROW), ROW, "left_anti").drop(ROW)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handed to the vectorised kernels in slices of about this many bytes.
@@ -48,6 +49,27 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The column that with_rows() adds.
+ROW = "row_key"
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a long in ROW that tells every row, also repeated ones, and is the same whenever the rows are read.
+
+    The key of a file scan is the file's number and the row's place in it, whatever the
+    splits; other tables are written once. A table that has ROW stays as it is.
+    """
+    if ROW in docs.columns:
+        return docs
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or not docs.inputFiles():
+        return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = sorted(r[0] for r in at.select("_file").distinct().collect())
+    number = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _number long")
+    key = F.shiftleft("_number", 40) + F.col("_at")
+    return at.join(F.broadcast(number), "_file").select(*docs.columns, key.alias(ROW))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as (bytes, offsets) without copying it to Python strings; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import mix, prefix_hash, range_hash, slices, utf8, written
+from .common import ROW, mix, prefix_hash, range_hash, slices, utf8, with_rows, written
 
 WIDTH, BINS, BANDS = 5, 128, 32
 MIN_PERCENT = 75
@@ -104,7 +104,7 @@ def _list_array(rows: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class long, keys array<long>); class and keys are null and empty without shingles."""
+    """(row_key, doc_id, n_shingles, class long, keys array<long>) of docs with row keys; class and keys are null and empty without shingles."""
 
     def run(batches):
         for batch in batches:
@@ -112,9 +112,9 @@ def sketches(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
                 # Two sums of differently mixed hashes, mixed: equal sets, equal class.
                 cls = [None if not len(s) else int(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) for s in sets]
                 keys = [signature(s).view(np.uint64) if len(s) else np.zeros(0, np.uint64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(doc), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), _list_array(keys)], names=["doc_id", "n_shingles", "class", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(ROW), part.column(doc), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), _list_array(keys)], names=[ROW, "doc_id", "n_shingles", "class", "keys"])
 
-    return docs.select(F.col(doc).cast("long").alias(doc), text).mapInArrow(run, "doc_id long, n_shingles long, class long, keys array<long>")
+    return docs.select(ROW, F.col(doc).cast("long").alias(doc), text).mapInArrow(run, f"{ROW} long, doc_id long, n_shingles long, class long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -183,15 +183,18 @@ BROADCAST_CLASSES = 2_000_000
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_turns: int = 50) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id of its group), kept.
+    """Per row: row_key, group, doc_id, n_shingles, component_id (smallest doc_id of its group), kept.
 
     Links are confirmed with 100 * intersection >= 75 * union on the full sets. Texts
     without words (null, empty) are linked with nothing and kept. Rows that repeat a
-    doc_id with the same text are one document in two rows; both are returned.
+    doc_id with the same text are one document in two rows; both are returned. Rows are
+    told by their row keys, so a doc_id may have several texts or be null; group is the
+    same for all rows of a group and null without words.
     A link of similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 = 5e-6.
     """
+    docs = with_rows(docs)
     sk = written(sketches(docs, doc, text), "sketches")
-    classes = written(sk.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = written(sk.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(ROW).alias("rep"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
     entries = classes.select("class", "n", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = written(entries.join(shared, "key"), "buckets")
@@ -211,9 +214,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", ma
             break
         tried = stars.select("a", "b") if tried is None else tried.union(stars.select("a", "b"))
         if sets is None:
-            wanted = classes.join(members, "class", "left_semi").select("class", F.col("doc").alias("rep"))
+            wanted = classes.join(members, "class", "left_semi").select("class", "rep")
             wanted = F.broadcast(wanted) if members.count() <= BROADCAST_CLASSES else wanted
-            mine = docs.select(F.col(doc).cast("long").alias("rep"), text).join(wanted, "rep")
+            mine = docs.select(F.col(ROW).alias("rep"), text).join(wanted, "rep")
             sets = written(shingle_sets(mine, text), "sets")
         good = (
             stars.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
@@ -240,13 +243,13 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", ma
     else:
         named = named.withColumn("comp", F.col("class"))
     least = named.groupBy("comp").agg(F.min("doc").alias("least"))
-    ids = named.join(least, "comp").select("class", "least")
+    ids = named.join(least, "comp").select("class", "least", F.col("comp").alias("group"))
     out = sk.join(ids, "class", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select(ROW, "group", "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop(ROW, "group")
 
 
 OP8_SQL = r"""

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import prefix_hash, range_hash, slices, utf8, written
+from .common import ROW, prefix_hash, range_hash, slices, utf8, with_rows, written
 
 #: At most about so many positives and unlabelled documents are taken to the fit.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 15_000, 30_000
@@ -67,7 +67,7 @@ def features(data: np.ndarray) -> np.ndarray:
 
 
 def featured(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, x array<float>) for every row; null text counts as empty."""
+    """(row_key, doc_id, x array<float>) for every row of docs with row keys; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,9 +75,9 @@ def featured(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
                 data, at = utf8(part.column(text))
                 x = np.array([features(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.float32)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel(), pa.float32()))
-                yield pa.RecordBatch.from_arrays([part.column(doc), rows], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(ROW), part.column(doc), rows], names=[ROW, "doc_id", "x"])
 
-    return docs.select(F.col(doc).cast("long").alias(doc), text).mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select(ROW, F.col(doc).cast("long").alias(doc), text).mapInArrow(run, f"{ROW} long, doc_id long, x array<float>")
 
 
 class Network:
@@ -174,20 +174,20 @@ def _sample(df: DataFrame, key: str, most: int) -> np.ndarray:
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: Column, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score double, predicted int, prior double) of every row.
+    """(row_key, doc_id, score double, predicted int, prior double) of every row.
 
     labels: (doc_id, quality); a document is a trusted positive if all its labels are 1.
     Only rows with `train` (a condition on doc_id) are learnt from. Without any positive or
     unlabelled row nothing can be learnt: the score is then 0.5.
     """
     spark = docs.sparkSession
-    x = written(featured(docs, doc, text), "features")
+    x = written(featured(with_rows(docs), doc, text), "features")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     learn = x.where(train)
     pos = _sample(learn.join(good, "doc_id", "left_semi"), "doc_id", SAMPLE_POSITIVE)
     unl = _sample(learn.join(good, "doc_id", "left_anti"), "doc_id", SAMPLE_UNLABELLED)
     if not len(pos) or not len(unl):
-        return x.select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"), F.lit(None).cast("double").alias("prior"))
+        return x.select(ROW, "doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"), F.lit(None).cast("double").alias("prior"))
     net, prior = fit(pos, unl)
 
     @F.pandas_udf("double")
@@ -196,8 +196,8 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, doc: str = "doc_
             return pd.Series([], dtype=float)
         return pd.Series(net.score(np.array(rows.tolist(), np.float64)))
 
-    out = x.select("doc_id", score("x").alias("score"))
-    return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.lit(prior).alias("prior"))
+    out = x.select(ROW, "doc_id", score("x").alias("score"))
+    return out.select(ROW, "doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.lit(prior).alias("prior"))
 
 
 def held_out(doc: str = "doc_id") -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import mix, prefix_hash, range_hash, slices, utf8, written
+from .common import ROW, mix, prefix_hash, range_hash, slices, utf8, with_rows, written
 
 LENGTH, GRAM = 200, 64
 #: Different spans of one k-gram beyond which its windows are counted by hash.
@@ -244,13 +244,13 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, kept_bytes (binary) and removed array<struct<start,end>> (maximal runs, end exclusive).
+    """Per row: row_key, doc_id, n_bytes, kept_bytes (binary) and removed array<struct<start,end>> (maximal runs, end exclusive).
 
     Null text is empty. Texts that occur in several rows are removed whole if they have
     `length` bytes. Matches never cross texts; overlapping ones count. kept_bytes is null
     where nothing is removed.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias(doc), F.coalesce(text, F.lit("")).alias("text"))
+    rows = with_rows(docs).select(F.col(ROW).alias("row"), F.col(doc).cast("long").alias(doc), F.coalesce(text, F.lit("")).alias("text"))
     marks = written(repeated_windows(rows.select("row", "text"), length, gram), "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc:
     none = F.array().cast("array<struct<start: long, end: long>>")
     whole = rows.select("row", doc, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
     out = whole.join(cut, "row", "left")
-    return out.select(doc, "n_bytes", "kept_bytes", F.coalesce("removed", none).alias("removed"), "text_sha256")
+    return out.select(F.col("row").alias(ROW), doc, "n_bytes", "kept_bytes", F.coalesce("removed", none).alias("removed"), "text_sha256")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

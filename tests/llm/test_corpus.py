@@ -192,3 +192,35 @@ def test_pipeline_small(spark, tmp_path):
     assert 0 < out.count() <= kept
     empty = hashlib.sha256(b"").hexdigest()
     assert out.where(F.col("ids_sha256") == empty).count() == 0
+
+
+def test_pipeline_tells_rows(spark, tmp_path):
+    """Repeated rows, null ids and ids with two texts: no stage loses or mixes rows."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    word = lambda: bytes(rng.integers(97, 123, 6, dtype=np.uint8)).decode()
+    a, b, c, d, e, f = (" ".join(word() for _ in range(80)) for _ in range(6))
+    shared = " ".join(word() for _ in range(40))
+    d, e = f"{d} {shared}", f"{shared} {e}"
+    # g is like f, and f stands second under its id.
+    g = f + " " + word()
+    rows = [(1, a), (1, a), (None, b), (None, c), (None, c), (2, d), (2, e), (3, b[::-1]), (3, f), (4, g)]
+    where = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(c.split()[20:35])), (2, " ".join(d.split()[20:35]))], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+
+    def texts(stage, table):
+        return Counter((r.doc_id, r.text) for r in stage(spark, table, where).collect())
+
+    assert texts(corpus_pipeline.quality, docs) == Counter(rows)
+    one = [(1, a), (None, b), (None, c), (2, d), (2, e), (3, b[::-1]), (3, f)]
+    assert texts(corpus_pipeline.near_dedup, docs) == Counter(one)
+    few = docs.dropDuplicates()
+    cut = texts(corpus_pipeline.suffix_dedup, few.where("doc_id is null or doc_id < 3"))
+    assert len(cut) == 5 and cut.total() == 5 and all(shared not in t and len(t) > 400 for _, t in cut)
+    assert {t for _, t in cut} >= {a, b, c}
+    clean = texts(corpus_pipeline.decontaminate, docs)
+    assert clean == Counter([r for r in rows if r[1] not in (c, d)])
