@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules.
 
-Lines are cut into sentences, normalised and mapped to known licence-sentence
-identifiers by a join with a small fixed table. A rule is an ordered sequence of
+Texts are cut into sentences, which may be wrapped over lines, normalised and mapped to
+known licence-sentence identifiers by a small fixed table. A rule is an ordered sequence of
 identifiers; a document has the licence of a rule whose identifiers are met one after
 the other in the sequence of its recognised sentences.
 """
@@ -31,6 +31,13 @@ SENTENCES = {
     "ccby4-ref": "licensed under cc by 4 0",
 }
 
+# The sentences of real licence texts that go on after a sentence above, by the same identifiers.
+FULL = {
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+}
+
 # Ordered rules as (licence, identifiers that follow each other).
 RULES = [
     ("MIT", ["mit-ref"]),
@@ -52,21 +59,32 @@ def normalised(sentence: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences: lines cut after . ! or ? before white space."""
-    return F.split(text, r"\n+|(?<=[.!?])[ \t]+")
+    """Sentences: paragraphs (between lines without letters and digits) cut after . ! or ? before white space."""
+    return F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+|(?<=[.!?])(?:[ \t]+|[ \t\r]*\n)")
+
+
+def _known(part: Column, known: list[str], cuts: tuple[str, ...]) -> Column:
+    """The normalised part as an array if it is known; else those of its pieces, cut at the first of `cuts`, that are."""
+    normal = normalised(part)
+    here = (F.length(normal) <= max(map(len, known))) & normal.isin(known)
+    if not cuts:
+        return F.when(here, F.array(normal)).otherwise(F.array().cast("array<string>"))
+    pieces = F.flatten(F.transform(F.split(part, cuts[0]), lambda p: _known(p, known, cuts[1:])))
+    return F.when(here, F.array(normal)).when(F.contains(part, F.lit("\n")), pieces).otherwise(F.array().cast("array<string>"))
 
 
 def recognise(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, text: str = "text") -> DataFrame:
     """Add licenses array<string> (sorted, distinct) and license_sentences (ids in order) to every row.
 
     Null or empty text has none; rows are never merged, so repeated rows keep their own
-    result. Columns of docs with these names are replaced.
+    result. A sentence wrapped over lines is taken whole where it is known, else after a
+    colon at a line's end, else by lines. Columns of docs with these names are replaced.
     """
-    known, rules = known or SENTENCES, rules or RULES
-    by_sentence = F.create_map(*[F.lit(x) for k, v in known.items() for x in (v, k)])
-    longest = max(map(len, known.values()))
-    normal = F.transform(sentences(F.coalesce(F.col(text), F.lit(""))), normalised)
-    hit = F.filter(normal, lambda s: (F.length(s) <= longest) & s.isin(list(known.values())))
+    pairs = list(known.items()) if known else [*SENTENCES.items(), *FULL.items()]
+    rules = rules or RULES
+    by_sentence = F.create_map(*[F.lit(x) for k, v in pairs for x in (v, k)])
+    cuts = (r":[ \t\r]*\n", r"\n+")
+    hit = F.flatten(F.transform(sentences(F.coalesce(F.col(text), F.lit(""))), lambda s: _known(s, [v for _, v in pairs], cuts)))
     ids = F.transform(hit, lambda s: F.element_at(by_sentence, s))
     out = docs.drop("licenses", "license_sentences").withColumn("license_sentences", ids)
     chain = F.concat(F.lit(">"), F.array_join("license_sentences", ">"), F.lit(">"))

@@ -224,3 +224,38 @@ def test_pipeline_tells_rows(spark, tmp_path):
     assert {t for _, t in cut} >= {a, b, c}
     clean = texts(corpus_pipeline.decontaminate, docs)
     assert clean == Counter([r for r in rows if r[1] not in (c, d)])
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+
+
+def test_licenses_of_real_texts(spark):
+    """Whole licence texts: unwrapped, wrapped at several widths, without blank lines, as comments and with CRLF."""
+    import textwrap
+
+    rows = []
+    for name, text in (("MIT", MIT), ("GPL-3.0-or-later", GPL), ("BSD-2-Clause", BSD)):
+        rows += [(name, text), (name, text.replace("\n\n", "\n"))]
+        for width in (60, 70, 72, 78, 80):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+            rows += [(name, wrapped), (name, "\n".join(" * " + x for x in wrapped.split("\n"))), (name, wrapped.replace("\n", "\r\n"))]
+    # A notice of one line stays one between lines without full stops.
+    rows += [("MIT", "A title\nReleased under the MIT License\nmore text")]
+    got = licenses.recognise(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert [(r.name, r.licenses) for r in got] == [(n, [n]) for n, _ in rows]
