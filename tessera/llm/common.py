@@ -9,22 +9,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Texts are handed to the vectorised kernels in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
 
 
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (local
-    tests) a folder of this machine is taken.
+    The cluster names it in spark.checkpoint.dir. Only a local master, as in tests, may
+    leave that unset; it gets one temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        path = _LOCAL[0]
     return path.rstrip("/")
 
 
@@ -41,12 +47,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def dropped(*tables: DataFrame) -> None:
+def dropped(*tables: DataFrame | None) -> None:
     """Delete tables made by written() that no later plan reads."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.table_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if t is not None and hasattr(t, "table_path"):
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t.table_path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, salt: Column) -> DataFrame:
+    """Inner join of big with small, which has one row for each key and in `rows` how many rows of big have it.
+
+    Keys with more rows than a task should read (at most 5,000 keys by that bound) are
+    dealt over several tasks: by `salt`, a hash of big's columns, on the one side, and by
+    copies of the row on the other.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    limit = max(10_000, total // 5_000)
+    parts = F.greatest(F.ceil(F.col(rows) / limit), F.lit(1)).cast("int")
+    hot = small.where(F.col(rows) > limit).select(*keys, parts.alias("_parts"))
+    left = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_parts").isNotNull(), F.pmod(salt, F.col("_parts")).cast("int")).otherwise(0)).drop("_parts")
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
 #: The column that with_rows() adds.

@@ -2,11 +2,11 @@
 
 Tokens are counted over all training documents. The commonest words get slots of the
 network's output, dealt into classes by frequency; p(word) = p(class) * p(word | class).
-All other tokens share one slot, whose probability is divided by their smoothed counts,
-so every token has a probability. The network starts at the unigram distribution. Tasks
-train it by truncated backpropagation on their own documents, the copies are averaged
-by token count, and so on for some rounds. For scoring, a document's state is carried
-from window to window, so its whole text is one sequence.
+All other tokens are a class of their own, whose probability is divided by their smoothed
+counts, so every token has a probability. The network starts at the unigram distribution.
+Every training row is read in one of `ROUNDS` rounds: tasks train a copy by truncated
+backpropagation on their rows, and the copies are averaged by token count. For scoring, a
+document's state is carried from window to window, so its whole text is one sequence.
 """
 
 from __future__ import annotations
@@ -14,23 +14,29 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from .common import slices, written
+from .common import dropped, slices, written
 
 CLASSES, PER_CLASS = 64, 64
-EMBED, HIDDEN = 24, 32
-WINDOW, LANES = 32, 128
-ROUNDS, ROUND_SHARE = 2, 1 / 16
+EMBED, HIDDEN = 16, 32
+#: Steps of a window of truncated backpropagation and of scoring, and lanes that run side by side.
+WINDOW, SCORE_WINDOW, LANES = 16, 32, 512
+#: Every training row belongs to one round; after each the tasks' copies are averaged.
+ROUNDS = 2
 #: Words whose counts go to every task (the commonest); the others' counts are joined.
 COMMON = 65_536
-OTHER, END = 0, 1
+#: Class 0 holds OTHER alone; END is the first slot of class 1.
+OTHER, END = 0, PER_CLASS
 BLOCK = 4096
+#: Copies that are summed in one group on each level of the averaging.
+FAN_IN = 32
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -45,7 +51,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         held: Counter = Counter()
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
             held.clear()
             return batch
 
@@ -60,8 +66,35 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def commonest(counts: DataFrame, most: int = COMMON) -> list[tuple[str, int]]:
+    """The words above the smallest count that at most `most` words exceed, by falling count and then by word.
+
+    The cutoff comes from the counts of counts, so that no task sends more rows than are
+    kept. Words tied at the cutoff are all left out; their counts are joined instead.
+    """
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words"))
+    # One row for each different count: few even of a very large corpus.
+    above = sizes.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)))
+    least = above.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    rows = [] if least is None else counts.where(F.col("n") >= least).collect()
+    return sorted(((r["token"], r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def _sig(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    np.multiply(x, 0.5, out=x)
+    np.tanh(x, out=x)
+    np.multiply(x, 0.5, out=x)
+    np.add(x, 0.5, out=x)
+    return x
+
+
+def _picked(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log softmax at one column of each row; logits become the softmax times the total, which is returned too."""
+    np.minimum(logits, 60, out=logits)
+    own = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    return own - np.log(total), total
 
 
 class Gru:
@@ -97,92 +130,104 @@ class Gru:
         return np.concatenate([getattr(self, n).ravel() for n, _ in self.SHAPES])
 
     def table(self) -> np.ndarray:
-        """Input contribution of each slot, for scoring."""
+        """Input contribution of each slot."""
         return self.E @ self.W + self.b
 
-    def states(self, table, ids, fresh, h, keep: list | None = None):
-        """Hidden states (steps, lanes, HIDDEN) for input slots ids (steps, lanes); fresh resets a lane."""
-        out = np.empty((*ids.shape, HIDDEN), np.float32)
-        for t in range(len(ids)):
-            h = h * ~fresh[t][:, None]
-            x = table[ids[t]]
-            zr = _sig(x[:, : 2 * HIDDEN] + h @ self.U)
+    def states(self, x, keep, h, held: tuple | None = None):
+        """Hidden states (steps, lanes, HIDDEN) from input contributions x; keep is 0 where a lane starts anew."""
+        out = np.empty((*x.shape[:2], HIDDEN), np.float32)
+        for t in range(len(x)):
+            h = h * keep[t]
+            zr = _sig(x[t, :, : 2 * HIDDEN] + h @ self.U)
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(x[:, 2 * HIDDEN :] + (r * h) @ self.V)
-            if keep is not None:
-                keep.append((h, z, r, n))
+            n = np.tanh(x[t, :, 2 * HIDDEN :] + (r * h) @ self.V)
+            if held is not None:
+                held[0][t], held[1][t], held[2][t] = h, zr, n
             h = n + z * (h - n)
             out[t] = h
         return out, h
 
     def output(self, hs, target, grad: dict | None = None):
         """log p of each target slot; with grad, fills the output's gradients and returns d/dhs too."""
-        cls, word = target // PER_CLASS, target % PER_CLASS
-        rows = np.arange(len(target))
-
-        def softmax(logits):
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(1, keepdims=True)
-            return p
-
-        p = softmax(hs @ self.C + self.c)
-        logp = np.log(p[rows, cls])
+        cls, word = (target // PER_CLASS).astype(np.uint8), target % PER_CLASS
+        p = hs @ self.C + self.c
+        logp, total = _picked(p, cls)
         back = None
         if grad is not None:
-            p[rows, cls] -= 1
+            p /= total[:, None]
+            p[np.arange(len(cls)), cls] -= 1
             grad["C"], grad["c"], back = hs.T @ p, p.sum(0), p @ self.C.T
             grad["O"], grad["o"] = np.zeros_like(self.O), np.zeros_like(self.o)
+        # Sorted by class, the rows of a class are one piece; class 0 has no words to tell apart.
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            i = order[cuts[k] : cuts[k + 1]]
-            if len(i):
-                q = softmax(hs[i] @ self.O[k] + self.o[k])
-                r = np.arange(len(i))
-                logp[i] += np.log(q[r, word[i]])
+        rows, words, own = hs[order], word[order], np.zeros(len(cls), np.float32)
+        part = np.zeros_like(rows) if grad is not None else None
+        for k in range(1, CLASSES):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                q = rows[a:b] @ self.O[k] + self.o[k]
+                own[a:b], total = _picked(q, words[a:b])
                 if grad is not None:
-                    q[r, word[i]] -= 1
-                    grad["O"][k], grad["o"][k] = hs[i].T @ q, q.sum(0)
-                    back[i] += q @ self.O[k].T
+                    q /= total[:, None]
+                    q[np.arange(b - a), words[a:b]] -= 1
+                    grad["O"][k], grad["o"][k] = rows[a:b].T @ q, q.sum(0)
+                    part[a:b] = q @ self.O[k].T
+        logp[order] += own
+        if grad is not None:
+            back[order] += part
         return logp, back
 
-    def learn(self, ids, fresh, target, used, h, adam):
-        """One step of truncated backpropagation over a window."""
-        keep: list = []
-        x = self.E[ids]
-        hs, last = self.states(self.table(), ids, fresh, h, keep)
+    def learn(self, ids, keep, target, h, adam):
+        """One step of truncated backpropagation over a window (steps x lanes, all of them in use)."""
+        steps, lanes = ids.shape
+        held = tuple(np.empty((steps, lanes, n), np.float32) for n in (HIDDEN, 2 * HIDDEN, HIDDEN))
+        slots, at = np.unique(ids.ravel(), return_inverse=True)
+        x = (self.E[slots] @ self.W + self.b)[at].reshape(steps, lanes, 3 * HIDDEN)
+        hs, last = self.states(x, keep, h, held)
         grad: dict = {}
-        flat = used.ravel()
-        _, back = self.output(hs.reshape(-1, HIDDEN)[flat], target.ravel()[flat], grad)
-        dh_all = np.zeros((flat.size, HIDDEN), np.float32)
-        dh_all[flat] = back
-        dh_all = dh_all.reshape(hs.shape)
-        dx = np.empty((*ids.shape, 3 * HIDDEN), np.float32)
-        grad["U"], grad["V"] = np.zeros_like(self.U), np.zeros_like(self.V)
+        _, back = self.output(hs.reshape(-1, HIDDEN), target.ravel(), grad)
+        back = back.reshape(hs.shape)
+        dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
         dh = np.zeros_like(h)
-        for t in range(len(ids) - 1, -1, -1):
-            h0, z, r, n = keep[t]
-            dh = dh + dh_all[t]
+        for t in range(steps - 1, -1, -1):
+            h0, n = held[0][t], held[2][t]
+            z, r = held[1][t, :, :HIDDEN], held[1][t, :, HIDDEN:]
+            dh = dh + back[t]
             dn = dh * (1 - z) * (1 - n * n)
             drh = dn @ self.V.T
-            dzr = np.concatenate([dh * (h0 - n) * z * (1 - z), drh * h0 * r * (1 - r)], 1)
-            grad["U"] += h0.T @ dzr
-            grad["V"] += (r * h0).T @ dn
-            dx[t, :, : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dzr, dn
-            dh = (dh * z + drh * r + dzr @ self.U.T) * ~fresh[t][:, None]
-        flat_dx = dx.reshape(-1, 3 * HIDDEN)
-        grad["W"], grad["b"] = x.reshape(-1, EMBED).T @ flat_dx, flat_dx.sum(0)
+            dx[t, :, :HIDDEN] = dh * (h0 - n) * z * (1 - z)
+            dx[t, :, HIDDEN : 2 * HIDDEN] = drh * h0 * r * (1 - r)
+            dx[t, :, 2 * HIDDEN :] = dn
+            dh = (dh * z + drh * r + dx[t, :, : 2 * HIDDEN] @ self.U.T) * keep[t]
+        flat = dx.reshape(-1, 3 * HIDDEN)
+        h0 = held[0].reshape(-1, HIDDEN)
+        grad["U"], grad["V"] = h0.T @ flat[:, : 2 * HIDDEN], (held[1].reshape(-1, 2 * HIDDEN)[:, HIDDEN:] * h0).T @ flat[:, 2 * HIDDEN :]
+        # Rows of equal input slots are summed before they meet the weights.
+        order = np.argsort(at.astype(np.uint16), kind="stable")
+        sums = np.add.reduceat(flat[order], np.searchsorted(at[order], np.arange(len(slots))), axis=0)
+        grad["W"], grad["b"] = self.E[slots].T @ sums, sums.sum(0)
         grad["E"] = np.zeros_like(self.E)
-        np.add.at(grad["E"], ids.ravel(), flat_dx @ self.W.T)
-        scale = 1.0 / max(int(flat.sum()), 1)
+        grad["E"][slots] = sums @ self.W.T
         adam["t"] += 1
         t = adam["t"]
+        rate = np.float32(0.008 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
         for name, _ in self.SHAPES:
-            g = np.clip(grad[name] * scale, -0.1, 0.1)
+            g = grad[name]
+            g *= np.float32(1 / ids.size)
+            np.clip(g, -0.1, 0.1, out=g)
             m, v = adam.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
-            m[:], v[:] = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            getattr(self, name)[...] -= 0.008 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            v *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= rate
+            getattr(self, name)[...] -= g
         return last
 
 
@@ -205,131 +250,193 @@ def lanes(sizes: np.ndarray, n_lanes: int) -> tuple[np.ndarray, np.ndarray, np.n
     return renamed[lane], start, total[order]
 
 
-def grid(slots: list[np.ndarray], n_lanes: int):
-    """Targets, inputs, resets and document numbers as (steps, lanes) arrays, and the lane lengths."""
-    sizes = np.array([len(s) for s in slots])
-    lane, start, total = lanes(sizes, n_lanes)
-    shape = (int(total[0]) if len(total) else 0, len(total))
-    target, doc = np.zeros(shape, np.int64), np.full(shape, -1, np.int64)
-    for d, s in enumerate(slots):
-        target[start[d] : start[d] + len(s), lane[d]] = s
-        doc[start[d] : start[d] + len(s), lane[d]] = d
-    before = np.vstack([np.full((1, shape[1]), END), target[:-1]])
-    fresh = np.vstack([np.ones((1, shape[1]), bool), doc[1:] != doc[:-1]])
-    return target, np.where(fresh, END, before), fresh, doc, total
+def _stream(slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Targets, inputs and starts of documents one after the other."""
+    target = np.concatenate(slots) if slots else np.zeros(0, np.int32)
+    fresh = np.zeros(len(target), bool)
+    fresh[np.cumsum([0, *map(len, slots[:-1])])[: len(slots)]] = True
+    before = np.concatenate([[END], target[:-1]]).astype(np.int32)
+    return target, np.where(fresh, END, before), fresh
 
 
-def _slots(texts: list[str | None], slot: dict[bytes, int]) -> list[np.ndarray]:
-    return [np.array([slot.get(t, OTHER) for t in tokens(x)] + [END]) for x in texts]
+class Words:
+    """The common words with their slots and smoothed log counts, as arrays behind one lookup."""
 
+    def __init__(self, common: list[tuple[str, int]]):
+        self.index = {t.encode(): i for i, (t, _) in enumerate(common)}
+        n = np.array([c for _, c in common], np.float64)
+        self.slot = np.full(len(common) + 1, OTHER, np.int32)
+        in_net = min(len(common), (CLASSES - 1) * PER_CLASS - 1)
+        self.slot[:in_net] = END + 1 + np.arange(in_net)
+        self.log = np.append(np.log10(n + 0.1), 0.0)
+        self.in_net = in_net
 
-def train(docs: DataFrame, slot: dict[bytes, int], slot_counts: np.ndarray, text: str = "text", key: str = "doc_id") -> np.ndarray:
-    """Average the tasks' copies after each round. Each round's documents are a fixed share, so training grows with the input."""
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Index of each word; -1 for words that aren't common."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+
+
+def train(docs: DataFrame, words: Words, slot_counts: np.ndarray, text: str = "text") -> np.ndarray:
+    """Average the tasks' copies after each round; every row takes part in one round.
+
+    A task joins its documents to one stream and cuts it into equal lanes; what doesn't
+    fill a window of all lanes waits for the next documents, and at the end of the task it
+    is read in fewer lanes.
+    """
     flat = Gru.start(slot_counts)
     sc = docs.sparkSession.sparkContext
     for turn in range(ROUNDS):
-        start, words = sc.broadcast(flat), sc.broadcast(slot)
-
-        def run(batches: Iterator[pa.RecordBatch], start=start, words=words) -> Iterator[pa.RecordBatch]:
-            net, adam, seen = Gru(start.value.copy()), {"t": 0}, 0
+        shared = sc.broadcast((flat, words))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            net, known = Gru(shared.value[0].copy()), shared.value[1]
+            adam, seen = {"t": 0}, 0
+
+            def read(slots: list[np.ndarray]) -> int:
+                target, before, fresh = _stream(slots)
+                n_lanes = min(LANES, max(1, len(target) // WINDOW))
+                steps = len(target) // n_lanes
+                used = steps * n_lanes
+                shape = lambda a: np.ascontiguousarray(a[:used].reshape(n_lanes, steps).T)
+                goal, ids, keep = shape(target), shape(before), shape(~fresh).astype(np.float32)[:, :, None]
+                h = np.zeros((n_lanes, HIDDEN), np.float32)
+                for a in range(0, steps, WINDOW):
+                    w = slice(a, a + WINDOW)
+                    h = net.learn(ids[w], keep[w], goal[w], h, adam)
+                return used
+
+            held: list[np.ndarray] = []
+            size = 0
             for batch in batches:
                 for part in slices(batch, text, 1 << 21):
-                    target, ids, fresh, doc, length = grid(_slots(part.column(text).to_pylist(), words.value), LANES)
-                    h = np.zeros((target.shape[1], HIDDEN), np.float32)
-                    for a in range(0, len(target), WINDOW):
-                        # Lanes that have ended are left out: a long document doesn't keep all of them busy.
-                        w, live = slice(a, a + WINDOW), int(np.searchsorted(-length, -a, "left"))
-                        used = doc[w, :live] >= 0
-                        h[:live] = net.learn(ids[w, :live], fresh[w, :live], target[w, :live], used, h[:live], adam)
-                        seen += int(used.sum())
+                    for t in part.column(text).to_pylist():
+                        held.append(np.append(known.slot[known.find(tokens(t))], np.int32(END)))
+                        size += len(held[-1])
+                    if size >= 32 * LANES * WINDOW:
+                        seen += read(held)
+                        held, size = [], 0
+            if held:
+                seen += read(held)
             if seen:
                 p = net.flat() * np.float32(seen)
                 cut = [p[i : i + BLOCK].tolist() for i in range(0, len(p), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([adam["t"] % 16] * len(cut), pa.int32()), pa.array(cut, pa.list_(pa.float32())), pa.array([float(seen)] * len(cut))], names=["block", "part", "p", "seen"])
+                n = len(cut)
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(cut, pa.list_(pa.float32())), pa.array([float(seen)] * n)], names=["block", "part", "p", "seen"])
 
         def add(frame: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"block": frame["block"][:1], "part": [0], "p": [np.sum(np.stack(frame["p"]), 0)], "seen": [frame["seen"].sum()]})
+            return pd.DataFrame({"block": frame["block"][:1], "part": frame["part"][:1] // FAN_IN, "p": [np.sum(np.stack(frame["p"]), 0)], "seen": [frame["seen"].sum()]})
 
-        share = F.pmod(F.xxhash64(key, F.lit(turn)), F.lit(1 << 20)) < int(ROUND_SHARE * (1 << 20))
         schema = "block int, part int, p array<float>, seen double"
-        copies = docs.where(share).select(text).mapInArrow(run, schema)
-        summed = copies.groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-        rows = sorted(summed.collect(), key=lambda r: r["block"])  # the model itself, about 1 MB
+        # The empty text is hashed for null, so that no row is left out.
+        mine = docs.where(F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(ROUNDS)) == turn)
+        summed = written(mine.select(text).mapInArrow(run, schema), "copies")
+        while summed.agg(F.max("part")).first()[0]:
+            more = written(summed.groupBy("block", F.expr(f"part div {FAN_IN}").alias("group")).applyInPandas(add, schema), "copies")
+            dropped(summed)
+            summed = more
+        rows = sorted(summed.collect(), key=lambda r: r["block"])  # one copy of the model, about 1 MB
+        dropped(summed)
         if rows:
             flat = np.concatenate([np.array(r["p"], np.float64) / r["seen"] for r in rows]).astype(np.float32)
     return flat
 
 
+class Model:
+    """What scoring needs besides the table of counts."""
+
+    def __init__(self, learn: DataFrame, text: str):
+        self.counts = written(word_counts(learn, text), "counts")
+        self.n_docs = learn.count()
+        types, total = self.counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        self.n = total + self.n_docs
+        common = commonest(self.counts)
+        self.words = Words(common)
+        in_net = self.words.in_net
+        slot_counts = np.zeros(CLASSES * PER_CLASS)
+        slot_counts[END + 1 : END + 1 + in_net] = [c for _, c in common[:in_net]]
+        others = total - sum(c for _, c in common[:in_net])
+        slot_counts[OTHER], slot_counts[END] = max(others, 1), max(self.n_docs, 1)
+        self.log_other = float(np.log10(others + 0.1 * (types - in_net) + 0.1))
+        self.log_base = float(np.log10(self.n + 0.1 * (types + (self.n_docs > 0) + 1)))
+        self.log_end = float(np.log10(self.n_docs + 0.1))
+        self.flat = train(learn, self.words, slot_counts, text)
+
+
+def log_likelihood(net: Gru, slots: list[np.ndarray]) -> np.ndarray:
+    """Natural log probability of each sequence of slots, its state carried through the whole of it."""
+    sizes = np.array([len(s) for s in slots])
+    lane, start, length = lanes(sizes, LANES)
+    target, before, fresh = _stream(slots)
+    doc = np.repeat(np.arange(len(slots)), sizes)
+    step = np.arange(len(target)) - np.repeat(np.cumsum(sizes) - sizes - start, sizes)
+    shape = (int(length[0]) if len(length) else 0, len(length))
+    goal, ids, of, keep = np.zeros(shape, np.int32), np.full(shape, END, np.int32), np.full(shape, -1, np.int32), np.ones(shape, np.float32)
+    at = (step, lane[doc])
+    goal[at], ids[at], of[at], keep[at] = target, before, doc, ~fresh
+    table, sums = net.table(), np.zeros(len(slots))
+    h = np.zeros((shape[1], HIDDEN), np.float32)
+    for a in range(0, shape[0], SCORE_WINDOW):
+        w, live = slice(a, a + SCORE_WINDOW), int(np.searchsorted(-length, -a, "left"))
+        hs, h[:live] = net.states(table[ids[w, :live]], keep[w, :live, None], h[:live])
+        own = of[w, :live].ravel()
+        used = np.flatnonzero(own >= 0)
+        logp, _ = net.output(hs.reshape(-1, HIDDEN)[used], goal[w, :live].ravel()[used])
+        sums += np.bincount(own[used], logp, len(sums))
+    return sums
+
+
 def score(docs: DataFrame, training: Column, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
-    Null text is empty: it has the end token only. Rows are never merged. Without any
-    training text all tokens are unseen and the network is the untrained one.
+    Null text is empty: it has the end token only. Rows are never merged, so repeated rows
+    and ids keep their own scores; other columns don't matter. Without any training text
+    all tokens are unseen and the network is the untrained one. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    learn = docs.where(training)
-    counts = written(word_counts(learn, text), "counts")
-    n_docs = learn.count()
-    total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    types, n = total[0] + (n_docs > 0), total[1] + n_docs
-    common = counts.orderBy(F.desc("n"), "token").limit(COMMON).collect()
-    c_common = {r["token"].encode(): r["n"] for r in common}
-    in_net = common[: CLASSES * PER_CLASS - 2]
-    slot = {r["token"].encode(): i + 2 for i, r in enumerate(in_net)}
-    slot_counts = np.zeros(CLASSES * PER_CLASS)
-    slot_counts[2 : 2 + len(in_net)] = [r["n"] for r in in_net]
-    others = n - n_docs - sum(r["n"] for r in in_net)
-    slot_counts[OTHER], slot_counts[END] = max(others, 1), max(n_docs, 1)
-    log_other = float(np.log10(others + 0.1 * (total[0] - len(in_net)) + 0.1))
-    log_base = float(np.log10(n + 0.1 * (types + 1)))
-    log_end = float(np.log10(n_docs + 0.1))
-    flat = train(learn, slot, slot_counts, text, doc)
-    model, known = spark.sparkContext.broadcast((flat, slot)), spark.sparkContext.broadcast(c_common)
+    model = Model(docs.where(training), text)
+    return scored(docs, model, doc, text)
+
+
+def scored(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same with a fitted model."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.flat, model.words, model.log_other))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, words, c = Gru(model.value[0]), model.value[1], known.value
-        table = net.table()
+        net, known, log_other = Gru(shared.value[0]), shared.value[1], shared.value[2]
         for batch in batches:
             for part in slices(batch, text, 8 << 20):
-                words_of = [tokens(t) for t in part.column(text).to_pylist()]
-                slots = [np.array([words.get(t, OTHER) for t in w] + [END]) for w in words_of]
-                target, ids, fresh, of, length = grid(slots, 2 * LANES)
-                sums = np.zeros(len(slots))
-                h = np.zeros((target.shape[1], HIDDEN), np.float32)
-                for a in range(0, len(target), WINDOW):
-                    w, live = slice(a, a + WINDOW), int(np.searchsorted(-length, -a, "left"))
-                    hs, last = net.states(table, ids[w, :live], fresh[w, :live], h[:live])
-                    h[:live] = last
-                    own = of[w, :live].ravel()
-                    used = own >= 0
-                    logp, _ = net.output(hs.reshape(-1, HIDDEN)[used], target[w, :live].ravel()[used])
-                    sums += np.bincount(own[used], logp, len(sums))
-                gru = sums / np.log(10)
-                common_log, other_log, n_common, rare = [], [], [], []
-                for ws, s in zip(words_of, slots, strict=True):
-                    found = np.array([c.get(t, 0) for t in ws], np.float64)
-                    ok, other = found > 0, s[:-1] == OTHER
-                    logs = np.log10(found[ok] + 0.1)
-                    common_log.append(logs.sum())
-                    other_log.append(logs[other[ok]].sum() - other.sum() * log_other)
-                    n_common.append(int(ok.sum()))
-                    rare.append([ws[i].decode() for i in np.flatnonzero(~ok)])
+                words = [tokens(t) for t in part.column(text).to_pylist()]
+                size = np.array([len(w) for w in words])
+                flat = [t for w in words for t in w]
+                index = known.find(flat)
+                ends = np.cumsum(size)
+                slots = known.slot[index]
+                net_log = log_likelihood(net, [np.append(s, np.int32(END)) for s in np.split(slots, ends[:-1])]) / np.log(10)
+                of = np.repeat(np.arange(len(size)), size)
+                total = lambda weights: np.bincount(of, weights, len(size)).astype(np.float64)
+                logs, rare = known.log[index], index < 0
+                other = slots == OTHER
+                net_log += total(np.where(other, logs - log_other, 0))
+                at = np.flatnonzero(rare)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(total(rare))]).astype(np.int32)), pa.array([flat[i] for i in at], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column(doc), pa.array([len(s) for s in slots], pa.int64()), pa.array(n_common, pa.int64()), pa.array(common_log, pa.float64()), pa.array(gru + np.array(other_log), pa.float64()), pa.array(rare, pa.list_(pa.string()))],
+                    [part.column("row"), part.column(doc), pa.array(size + 1), pa.array(total(~rare).astype(np.int64)), pa.array(total(logs)), pa.array(net_log), lists],
                     names=["row", "doc_id", "n_tokens", "n_common", "common_log", "net_log", "rare"],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias(doc), text)
-    scored = written(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_common long, common_log double, net_log double, rare array<string>"), "scored")
-    rare = scored.select("row", F.explode("rare").alias("token")).join(counts, "token", "left")
+    # Written once: the row numbers of the join below are those of the written rows.
+    out = written(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_common long, common_log double, net_log double, rare array<string>"), "scored")
+    rare = out.select("row", F.explode("rare").alias("token")).join(model.counts, "token", "left")
     by_row = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("rare_log"), F.count("n").alias("n_rare"))
-    out = scored.drop("rare").join(by_row, "row", "left").fillna(0, ["rare_log", "n_rare"])
+    out = out.drop("rare").join(by_row, "row", "left").fillna(0, ["rare_log", "n_rare"])
     return out.select(
         "doc_id",
         "n_tokens",
-        (F.col("n_common") + F.col("n_rare") + F.lit(1 if n_docs else 0)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("common_log") + F.col("rare_log") + F.lit(log_end) - F.col("n_tokens") * F.lit(log_base)).alias("base_score"),
+        (F.col("n_common") + F.col("n_rare") + F.lit(1 if model.n_docs else 0)).alias("n_known"),
+        F.lit(model.n).cast("long").alias("train_tokens"),
+        (F.col("common_log") + F.col("rare_log") + F.lit(model.log_end) - F.col("n_tokens") * F.lit(model.log_base)).alias("base_score"),
         (F.col("net_log") + F.col("rare_log")).alias("score"),
     )
 

@@ -174,16 +174,71 @@ def test_gru(docs, none):
 def test_gru_gradient():
     rng = np.random.default_rng(3)
     net = gru_lm.Gru(gru_lm.Gru.start(rng.integers(1, 9, 4096).astype(float)))
-    ids, target = rng.integers(0, 50, (5, 3)), rng.integers(0, 50, (5, 3))
-    fresh = np.zeros((5, 3), bool)
-    loss = lambda: -net.output(net.states(net.table(), ids, fresh, np.zeros((3, gru_lm.HIDDEN), np.float32))[0].reshape(-1, gru_lm.HIDDEN), target.ravel())[0].sum()
+    ids, target = rng.integers(64, 120, (5, 3)), rng.integers(64, 120, (5, 3))
+    target[0, 0] = gru_lm.OTHER
+    keep = np.ones((5, 3, 1), np.float32)
+    keep[2, 1] = 0
+    h = np.zeros((3, gru_lm.HIDDEN), np.float32)
+    loss = lambda: -net.output(net.states(net.table()[ids], keep, h)[0].reshape(-1, gru_lm.HIDDEN), target.ravel())[0].sum()
     before = loss()
+    # Adam's first step goes against the sign of every gradient: it must be the sign of the finite difference.
+    old = {n: getattr(net, n).copy() for n, _ in net.SHAPES}
+    net.learn(ids, keep, target, h, {"t": 0})
+    new = {n: getattr(net, n).copy() for n, _ in net.SHAPES}
+    for name in old:
+        getattr(net, name)[...] = old[name]
+    for name in "WbUVCc":
+        moved = new[name] - old[name]
+        for at in np.argsort(-np.abs(moved), axis=None)[:3]:
+            value = getattr(net, name).reshape(-1)
+            slope = []
+            for d in (0.02, -0.02):
+                value[at] += d
+                slope.append(loss())
+                value[at] -= d
+            assert abs(slope[0] - slope[1]) < 2e-3 or np.sign(slope[0] - slope[1]) == -np.sign(moved.reshape(-1)[at])
     adam = {"t": 0}
     for _ in range(30):
-        net.learn(ids, fresh, target, np.ones((5, 3), bool), np.zeros((3, gru_lm.HIDDEN), np.float32), adam)
+        net.learn(ids, keep, target, h, adam)
     assert loss() < 0.7 * before
 
 
+def test_gru_scores_against_brute_force(spark, docs):
+    """Every token's probability computed alone, one document after the other, from the fitted parameters."""
+    model = gru_lm.Model(docs.where(~gru_lm.held_out()), "text")
+    net = gru_lm.Gru(model.flat)
+    counts = {r.token.encode(): r.n for r in model.counts.collect()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def brute(text):
+        h, last, out, n = np.zeros(gru_lm.HIDDEN), gru_lm.END, 0.0, gru_lm.HIDDEN
+        for t in [*gru_lm.tokens(text), None]:
+            x = net.E[last] @ net.W + net.b
+            zr = sig(x[: 2 * n] + h @ net.U)
+            h = (1 - zr[:n]) * np.tanh(x[2 * n :] + (zr[n:] * h) @ net.V) + zr[:n] * h
+            i = model.words.index.get(t, -1) if t is not None else None
+            last = gru_lm.END if t is None else int(model.words.slot[i])
+            out += np.log10(softmax(h @ net.C + net.c)[last // gru_lm.PER_CLASS])
+            if last == gru_lm.OTHER:
+                out += np.log10(counts.get(t, 0) + 0.1) - model.log_other
+            else:
+                k = last // gru_lm.PER_CLASS
+                out += np.log10(softmax(h @ net.O[k] + net.o[k])[last % gru_lm.PER_CLASS])
+        return out
+
+    texts = {r[0]: r[1] for r in _rows()}
+    for r in gru_lm.scored(docs, model).collect():
+        assert r.score == pytest.approx(brute(texts[r.doc_id]), rel=1e-4)
+
+
+def test_gru_cutoff_of_common_words(spark):
+    """Words tied at the cutoff are left out together, and every row takes part in one round."""
+    counts = spark.createDataFrame([("a", 5), ("b", 3), ("c", 3), ("d", 1)], "token string, n long")
+    assert gru_lm.commonest(counts, 2) == [("a", 5)] and gru_lm.commonest(counts, 3) == [("a", 5), ("b", 3), ("c", 3)]
+    assert gru_lm.commonest(counts.where("n > 9")) == [] and len(gru_lm.commonest(counts, 4)) == 4
+
+
 def test_pipeline_small(spark, tmp_path):
     import corpus_pipeline
 
