@@ -3,10 +3,12 @@
 One hash of every distinct shingle fills 128 bins (the smallest hash of a bin counts);
 empty bins take the value of a full one by optimal densification. Four bins make a band,
 its values a bucket. Documents with equal shingle sets are one class, so a group of
-copies enters a bucket once. In a bucket, classes are linked to one centre only (a
-star); stars are confirmed on the full sets, classes joined, and buckets that still hold
-several components get another star over one class of each component, until a round adds
-no link. The number of pairs thus stays below the number of bucket entries.
+copies enters a bucket once. In a bucket, classes are linked to a centre only (a star);
+stars are confirmed on the full sets and classes joined. In the few buckets that then
+still hold several components, the sweep compares in blocks: classes of different
+components that agree in enough bins are confirmed on the full sets inside the task, which
+gives out a spanning forest of their links. Every pair that shares a bucket is thus
+either in one component or examined, and the pairs given out stay below the entries.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ROW, mix, prefix_hash, range_hash, slices, utf8, with_rows, written
+from .common import ROW, dropped, mix, prefix_hash, range_hash, slices, spread_join, utf8, with_rows, written
 
 WIDTH, BINS, BANDS = 5, 128, 32
 MIN_PERCENT = 75
@@ -70,9 +73,9 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) ->
     return h, out_at
 
 
-def signature(distinct: np.ndarray, bins: int = BINS, bands: int = BANDS) -> np.ndarray:
-    """Bucket keys (int64, one for each band) of a sorted set of hashes that isn't empty."""
-    edges = (np.arange(bins, dtype=np.uint64) << np.uint64(64 - bins.bit_length() + 1))
+def bins_of(distinct: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """The densified bins (uint64) of a sorted set of hashes that isn't empty."""
+    edges = np.arange(bins, dtype=np.uint64) << np.uint64(64 - bins.bit_length() + 1)
     at = np.searchsorted(distinct, edges)
     full = np.diff(np.append(at, len(distinct))) > 0
     values = distinct[np.minimum(at, len(distinct) - 1)]
@@ -84,9 +87,13 @@ def signature(distinct: np.ndarray, bins: int = BINS, bands: int = BANDS) -> np.
         if none.any():
             pick[none] = np.flatnonzero(full)[mix(empty[none].astype(np.uint64)) % np.uint64(full.sum())]
         values[empty] = values[pick]
-    rows = values.reshape(bands, -1)
+    return values
+
+
+def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """Bucket keys (int64, one for each band)."""
     key = np.arange(bands, dtype=np.uint64)
-    for c in rows.T:
+    for c in values.reshape(bands, -1).T:
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + c)
     return key.view(np.int64)
 
@@ -103,33 +110,39 @@ def _list_array(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
+def _digest(s: np.ndarray) -> bytes:
+    """128 bits of a set: two sums of differently mixed hashes, mixed with the size. Equal sets, equal digest."""
+    sums = np.array([mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64)
+    return mix(sums + np.uint64(len(s))).tobytes()
+
+
 def sketches(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_key, doc_id, n_shingles, class long, keys array<long>) of docs with row keys; class and keys are null and empty without shingles."""
+    """(row_key, doc_id, n_shingles, digest binary, keys array<long>) of docs with row keys; digest is null and keys empty without shingles."""
 
     def run(batches):
         for batch in batches:
             for part, sets in _sets(batch, text):
-                # Two sums of differently mixed hashes, mixed: equal sets, equal class.
-                cls = [None if not len(s) else int(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) for s in sets]
-                keys = [signature(s).view(np.uint64) if len(s) else np.zeros(0, np.uint64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(ROW), part.column(doc), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), _list_array(keys)], names=[ROW, "doc_id", "n_shingles", "class", "keys"])
+                digest = [_digest(s) if len(s) else None for s in sets]
+                keys = [band_keys(bins_of(s)).view(np.uint64) if len(s) else np.zeros(0, np.uint64) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(ROW), part.column(doc), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), _list_array(keys)], names=[ROW, "doc_id", "n_shingles", "digest", "keys"])
 
-    return docs.select(ROW, F.col(doc).cast("long").alias(doc), text).mapInArrow(run, f"{ROW} long, doc_id long, n_shingles long, class long, keys array<long>")
+    return docs.select(ROW, F.col(doc).cast("long").alias(doc), text).mapInArrow(run, f"{ROW} long, doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(class, set array<long>): the sorted hashes of every row's shingles."""
+    """(class, n, set array<long>, bins binary): the sorted hashes of every row's shingles, and 8 bits of each bin."""
 
     def run(batches):
         for batch in batches:
             for part, sets in _sets(batch, text):
-                yield pa.RecordBatch.from_arrays([part.column("class"), _list_array(sets)], names=["class", "set"])
+                bins = [(mix(bins_of(s)) & np.uint64(255)).astype(np.uint8).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array([len(s) for s in sets], pa.int64()), _list_array(sets), pa.array(bins, pa.binary())], names=["class", "n", "set", "bins"])
 
-    return docs.select("class", text).mapInArrow(run, "class long, set array<long>")
+    return docs.select("class", text).mapInArrow(run, "class long, n long, set array<long>, bins binary")
 
 
-#: Stars of a bucket in every turn after the first, each around another centre.
-STARS = 4
+#: Stars of a bucket in each turn: in the first around its smallest class, then around others.
+STARS = (1, 4)
 
 
 def _stars(members: DataFrame, orders: list) -> DataFrame:
@@ -154,6 +167,100 @@ def _stars(members: DataFrame, orders: list) -> DataFrame:
     ).distinct()
 
 
+#: Equal bins that a pair needs to be confirmed: with a similarity of 0.75 fewer of 128 agree with probability 5e-7.
+LEAST_BINS = 72
+#: Classes of a block of a bucket; a bucket of more is compared block by block.
+SWEEP_BLOCK = 1024
+
+
+def _alike(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i < j) of rows of one bucket (two blocks of it, if `left` and `right` differ) that need confirming.
+
+    Of different components, sizes and bins that allow a link, and no bucket shared in an earlier band.
+    """
+    n, comp = frame["n"].to_numpy(), frame["comp"].to_numpy()
+    bins = np.frombuffer(b"".join(frame["bins"]), np.uint8).reshape(len(frame), BINS)
+    keys = np.stack(frame["keys"].to_numpy())
+    own, left, right, key = frame["own"].to_numpy(), frame["left"].iat[0], frame["right"].iat[0], frame["key"].iat[0]
+    rows, cols = np.flatnonzero(own == left), np.flatnonzero(own == right)
+    out_i, out_j = [], []
+    for i in rows:
+        j = cols[cols > i] if left == right else cols
+        j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= MIN_PERCENT * np.maximum(n[j], n[i]))]
+        j = j[np.count_nonzero(bins[j] == bins[i], axis=1) >= LEAST_BINS] if len(j) else j
+        if len(j):
+            same = keys[j] == keys[i]
+            j = j[keys[i][same.argmax(1)] == key]
+            out_i.append(np.full(len(j), i))
+            out_j.append(j)
+    none = np.zeros(0, np.int64)
+    return np.concatenate(out_i or [none]), np.concatenate(out_j or [none])
+
+
+def _buckets(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for _, own in frame.groupby(["key", "left", "right"], sort=False):
+        if len(own) > 1:
+            yield own.reset_index(drop=True)
+
+
+def _flagged(frame: pd.DataFrame) -> pd.DataFrame:
+    """The rows of the task's buckets that stand in a pair to confirm."""
+    out = []
+    for own in _buckets(frame):
+        i, j = _alike(own)
+        if len(i):
+            out.append(own.iloc[np.unique(np.concatenate([i, j]))])
+    return pd.concat(out)[frame.columns] if out else frame.iloc[:0]
+
+
+def _linked(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) confirmed on full sets that join components; pairs that earlier links have joined need none."""
+    out = []
+    for own in _buckets(frame):
+        pair_i, pair_j = _alike(own)
+        comp, cls = own["comp"].to_numpy().copy(), own["class"].to_numpy()
+        sets = [np.asarray(s, np.int64).view(np.uint64) for s in own["set"]]
+        size = np.array([len(s) for s in sets])
+        for i in np.unique(pair_i):
+            j = pair_j[(pair_i == i)]
+            j = j[comp[j] != comp[i]]
+            if not len(j):
+                continue
+            flat = np.concatenate([sets[x] for x in j])
+            at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+            both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[j])[:-1]]))
+            for x in j[100 * both >= MIN_PERCENT * (size[i] + size[j] - both)]:
+                if comp[x] != comp[i]:
+                    comp[comp == comp[x]] = comp[i]
+                    out.append((min(cls[i], cls[x]), max(cls[i], cls[x])))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _sweep(entries: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): confirmed links that join the components left in the buckets; written.
+
+    A bucket of more than SWEEP_BLOCK classes is cut into blocks, and every two blocks meet
+    in a group of their own, so no group grows with the bucket. Bins come first; full sets
+    only travel for classes that stand in a pair to confirm.
+    """
+    left = written(entries.join(comp, "class").select("key", "class", "comp"), "left")
+    open_ = left.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    open_ = written(open_.select("key", "size", F.ceil(F.col("size") / SWEEP_BLOCK).cast("int").alias("blocks")), "open")
+    each = spread_join(left, open_, ["key"], "size", F.xxhash64("class"))
+    each = each.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")}).drop("other", "blocks", "size")
+    n = each.count()
+    group = F.pmod(F.xxhash64("key", "left", "right"), F.lit(1 + n // 4000)).alias("group")
+    columns = "key long, class long, comp long, own int, left int, right int, n long, bins binary, keys array<long>"
+    cut = each.join(sets.select("class", "n", "bins", "keys"), "class").select(group, *[c.split()[0] for c in columns.split(", ")])
+    flagged = written(cut.groupBy("group").applyInPandas(lambda f: _flagged(f.drop(columns="group")), columns), "flagged")
+    full = flagged.join(sets.select("class", "set"), "class")
+    links = written(full.select(group, "set", *flagged.columns).groupBy("group").applyInPandas(_linked, "a long, b long").distinct(), "links")
+    dropped(left, open_, flagged)
+    return links
+
+
 def _tasks(rows: int) -> int:
     """Tasks that write a narrow table of so many rows."""
     return 4 + rows // 250_000
@@ -173,8 +280,11 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
         hooked = label.join(near, label["node"] == near["a"]).select("node", "comp", F.least("comp", "near").alias("new"))
         up = label.select(F.col("node").alias("new"), F.col("comp").alias("up"))
         jumped = written(hooked.join(up, "new", "left").select("node", F.col("comp").alias("old"), F.least("new", "up").alias("comp")).coalesce(_tasks(rows)), "labels")
+        dropped(label)
         label = jumped.select("node", "comp")
+        label.table_path = jumped.table_path
         if not jumped.where("old <> comp").limit(1).count():
+            dropped(both)
             return label
 
 
@@ -182,69 +292,69 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
 BROADCAST_CLASSES = 2_000_000
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_turns: int = 50) -> DataFrame:
+def _joined(comp: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
+    """comp (class, comp) after the links (a, b) between classes; written."""
+    of_a, of_b = comp.select(F.col("class").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("class").alias("b"), F.col("comp").alias("cb"))
+    between = links.join(of_a, "a").join(of_b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    moved = components(between, n_links)
+    out = written(comp.join(moved.withColumnRenamed("comp", "to"), comp["comp"] == moved["node"], "left").select("class", F.coalesce("to", "comp").alias("comp")), "comp")
+    dropped(comp, moved)
+    return out
+
+
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: row_key, group, doc_id, n_shingles, component_id (smallest doc_id of its group), kept.
 
     Links are confirmed with 100 * intersection >= 75 * union on the full sets. Texts
     without words (null, empty) are linked with nothing and kept. Rows that repeat a
     doc_id with the same text are one document in two rows; both are returned. Rows are
     told by their row keys, so a doc_id may have several texts or be null; group is the
-    same for all rows of a group and null without words.
-    A link of similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 = 5e-6.
+    same for all rows of a group and null without words. Texts may be of any length, other
+    columns don't matter, and an empty table gives no rows.
+    A link of similarity 0.75 is missed with probability 6e-6: it shares no bucket with
+    (1 - 0.75**4)**32 = 5e-6, and fewer bins than the sweep asks for with 5e-7.
     """
     docs = with_rows(docs)
     sk = written(sketches(docs, doc, text), "sketches")
-    classes = written(sk.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(ROW).alias("rep"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = sk.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min(ROW).alias("class"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = written(classes, "classes")
     entries = classes.select("class", "n", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = written(entries.join(shared, "key"), "buckets")
     members = written(entries.select("class").distinct(), "members")
-    # The first turn's centre is the bucket's smallest class, the same in most buckets of a large
-    # group, so its members have few centres; later turns star around others in every bucket.
-    comp, sets, tried = None, None, None
-    for turn in range(max_turns):
-        if turn == 0:
-            stars = _stars(entries.withColumn("comp", F.col("class")), [F.col("class")])
-        else:
-            orders = [F.xxhash64("key", "class", F.lit(STARS * turn + i)) for i in range(STARS)]
-            stars = _stars(entries.join(comp, "class"), orders).join(tried, ["a", "b"], "left_anti")
-        stars = written(stars, "stars")
-        n_stars = stars.count()
-        if not n_stars:
-            break
-        tried = stars.select("a", "b") if tried is None else tried.union(stars.select("a", "b"))
-        if sets is None:
-            wanted = classes.join(members, "class", "left_semi").select("class", "rep")
-            wanted = F.broadcast(wanted) if members.count() <= BROADCAST_CLASSES else wanted
-            mine = docs.select(F.col(ROW).alias("rep"), text).join(wanted, "rep")
-            sets = written(shingle_sets(mine, text), "sets")
-        good = (
-            stars.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
-            .join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
-            .withColumn("i", F.size(F.array_intersect("sa", "sb")))
-            .where(100 * F.col("i") >= MIN_PERCENT * (F.col("na") + F.col("nb") - F.col("i")))
-            .select("a", "b")
-        )
-        good = written(good.distinct(), "good")
-        n_good = good.count()
-        if not n_good and turn:
-            break
-        if comp is None:
-            moved = components(good, n_good)
-            comp = members.join(moved, members["class"] == moved["node"], "left").select("class", F.coalesce("comp", "class").alias("comp"))
-        else:
-            of_a, of_b = comp.select(F.col("class").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("class").alias("b"), F.col("comp").alias("cb"))
-            moved = components(good.join(of_a, "a").join(of_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), n_good)
-            comp = comp.join(moved.withColumnRenamed("comp", "to"), comp["comp"] == moved["node"], "left").select("class", F.coalesce("to", "comp").alias("comp"))
-        comp = written(comp, "comp")
-    named = classes.select("class", "doc")
-    if comp is not None:
-        named = named.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    else:
+    named = classes.select("digest", "class", "doc")
+    if members.isEmpty():
         named = named.withColumn("comp", F.col("class"))
+    else:
+        wanted = classes.join(members, "class", "left_semi").select("class", "keys")
+        few = members.count() <= BROADCAST_CLASSES
+        mine = docs.select(F.col(ROW).alias("class"), text).join(F.broadcast(members) if few else members, "class")
+        # The keys come from the classes, so that a class brings its bins, set and buckets from one row.
+        sets = written(shingle_sets(mine, text).join(wanted, "class"), "sets")
+        comp, tried = written(members.select("class", F.col("class").alias("comp")), "comp"), None
+        for turn, n_stars in enumerate(STARS):
+            orders = [F.col("class")] if not turn else [F.xxhash64("key", "class", F.lit(10 * turn + i)) for i in range(n_stars)]
+            stars = _stars(entries.join(comp, "class"), orders)
+            stars = written(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
+            good = (
+                stars.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
+                .join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
+                .withColumn("i", F.size(F.array_intersect("sa", "sb")))
+                .where(100 * F.col("i") >= MIN_PERCENT * (F.col("na") + F.col("nb") - F.col("i")))
+                .select("a", "b")
+            )
+            good = written(good, "good")
+            comp = _joined(comp, good, good.count())
+            dropped(tried, good)
+            tried = stars
+        dropped(tried)
+        links = _sweep(entries, comp, sets)
+        comp = _joined(comp, links, links.count())
+        dropped(links, sets, entries, members)
+        named = named.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     least = named.groupBy("comp").agg(F.min("doc").alias("least"))
-    ids = named.join(least, "comp").select("class", "least", F.col("comp").alias("group"))
-    out = sk.join(ids, "class", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    ids = named.join(least, "comp").select("digest", "least", F.col("comp").alias("group"))
+    out = sk.join(ids, "digest", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return out.select(ROW, "group", "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 

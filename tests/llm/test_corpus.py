@@ -87,6 +87,31 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("stars, block", [((), 7), ((1,), 1024), ((1, 4), 16)])
+def test_near_duplicates_of_unlike_families(spark, monkeypatch, stars, block):
+    """Large buckets of texts that are mostly unlike: all links are found, whatever the stars leave to the sweep."""
+    monkeypatch.setattr(minhash, "STARS", stars)
+    monkeypatch.setattr(minhash, "SWEEP_BLOCK", block)
+    rng = np.random.default_rng(11)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(110)]
+        for _ in range(50):
+            words = list(base)
+            for at in rng.integers(0, 110, rng.integers(1, 5)):
+                words[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    least = list(range(len(texts)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    while any(least[i] != least[j] for i, j in links):
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    assert len(set(least)) > 10 and max(Counter(least).values()) > 5
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()} == set(enumerate(least))
+
+
 def test_shingle_hash_agrees_with_sets():
     texts = ["A b c d e f", "a b c d e f g", "", "q", "x  y"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
