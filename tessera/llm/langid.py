@@ -1,11 +1,16 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Text is lower-cased and every run of other characters than letters is one space. Each
-language has a 4-gram model: the highest order from counts over all its training text,
-the lower orders from the number of different characters seen before. The models are
-stored as sorted arrays of 64-bit keys: for each order one array of the n-grams of all
-languages with a row of log probabilities, and one of the contexts with a row of backoff
-weights. A text goes to the language with the lowest cross-entropy per character.
+language has a 4-gram model: the highest order from counts over its training text, the
+lower orders from the number of different characters seen before, with a discount for
+each order from the counts of counts. A text goes to the language with the lowest
+cross-entropy per character; a bound from training rows that the model hasn't read tells
+texts that no language explains.
+
+The model is stored as sorted arrays of 64-bit keys: for each order one array of the
+n-grams of all languages with a row of log probabilities, and one of the contexts with a
+row of backoff weights. A model of more than `MODEL_CELLS` probabilities isn't sent to the
+tasks: the same probabilities are then joined to the distinct n-grams of the documents.
 """
 
 from __future__ import annotations
@@ -17,21 +22,28 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import slices, written
+from .common import dropped, slices, with_rows, written, ROW
 
 ORDER = 4
-DISCOUNT = 0.75
-#: Most 4-grams of a language's model (the commonest): bounds what is sent to the tasks.
-MAX_GRAMS = 300_000
+#: Most n-grams x languages of a model that is sent to the tasks; a larger one is joined.
+MODEL_CELLS = 20_000_000
+#: One training row in so many is kept for calibration.
+CALIBRATION = 10
 
 _LETTER = np.array([chr(i).isalpha() for i in range(65536)])
 
 
 def codes(text: str) -> np.ndarray:
-    """Character codes of the normalised text, with a space at both ends; beyond the basic plane folded into it."""
-    raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    raw = np.where(raw > 65535, 0xAC00 + raw % 11172, raw).astype(np.int64)
-    letter = _LETTER[raw]
+    """Character codes of the normalised text, with a space at both ends.
+
+    Letters beyond the basic plane are folded into its private area, which holds no letters.
+    """
+    raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letter = _LETTER[np.minimum(raw, 65535)]
+    far = np.flatnonzero(raw > 65535)
+    if len(far):
+        letter[far] = [chr(c).isalpha() for c in raw[far]]
+        raw[far] = 0xE000 + raw[far] % 6400
     x = np.where(letter, raw, 32)
     x = x[letter | np.r_[True, letter[:-1]]] if len(x) else x
     x = x[1:] if len(x) and x[0] == 32 else x
@@ -39,6 +51,11 @@ def codes(text: str) -> np.ndarray:
     return np.concatenate([[32], x, [32]]).astype(np.int64)
 
 
+def padded(text: str) -> np.ndarray:
+    """Codes with further spaces in front, so that every character has a full context."""
+    return np.concatenate([np.full(ORDER - 2, 32), codes(text)])
+
+
 def grams(x: np.ndarray, n: int) -> np.ndarray:
     """Keys of all n-grams, 16 bits a character, the last character lowest."""
     key = np.zeros(max(len(x) - n + 1, 0), np.int64)
@@ -66,7 +83,7 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
                 own: dict[str, list] = {}
                 for t, g in zip(part.column(text).to_pylist(), part.column(lang).to_pylist(), strict=True):
                     if t and g is not None:
-                        own.setdefault(g, []).append(grams(codes(t), ORDER))
+                        own.setdefault(g, []).append(grams(padded(t), ORDER))
                 for g, keys in own.items():
                     held.setdefault(g, []).append(np.unique(np.concatenate(keys), return_counts=True))
                     if len(held[g]) > 8:
@@ -83,43 +100,82 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     return total
 
 
-class Models:
-    """The Kneser-Ney models of all languages in sorted arrays."""
+def _mask(n: int) -> int:
+    return (1 << (16 * n)) - 1
+
+
+class Model:
+    """Counts of all orders, in Spark, and what is small: languages and discounts.
 
-    def __init__(self, langs: list[str], tables: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = langs
-        n_lang = len(langs)
-        level = {g: (_uint(k), n.astype(float)) for g, (k, n) in tables.items()}
-        # Counts of each order: raw at the top, numbers of different left neighbours below.
-        orders = {ORDER: level}
+    levels[n] is a written table (lang int, gram, n): raw counts at the top, numbers of
+    different characters in front below. discount[n] has one value for each language.
+    """
+
+    def __init__(self, counts: DataFrame):
+        spark = counts.sparkSession
+        named = written(counts, "grams")
+        self.langs = sorted(r[0] for r in named.select("lang").distinct().collect())  # one row for each language
+        number = F.broadcast(spark.createDataFrame([(g, i) for i, g in enumerate(self.langs)], "lang string, number int"))
+        self.levels = {ORDER: named.join(number, "lang").select(F.col("number").alias("lang"), "gram", "n")}
         for n in range(ORDER - 1, 0, -1):
-            mask = np.uint64((1 << (16 * n)) - 1)
-            orders[n] = {g: (lambda u: (u[0], u[1].astype(float)))(np.unique(orders[n + 1][g][0] & mask, return_counts=True)) for g in langs}
+            lower = self.levels[n + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(_mask(n))).alias("gram")).agg(F.count("*").alias("n"))
+            self.levels[n] = written(lower, f"grams{n}")
+        self.discount, self.rows = {}, 0
+        for n, level in self.levels.items():
+            once = level.groupBy("lang").agg(F.count("*").alias("rows"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect()
+            d = np.full(len(self.langs), 0.5)
+            for r in once:
+                self.rows += r["rows"]
+                if r["one"] and r["two"]:
+                    d[r["lang"]] = min(max(r["one"] / (r["one"] + 2 * r["two"]), 0.1), 0.95)
+            self.discount[n] = d
+
+    def arrays(self, cells: int | None = None) -> Arrays | None:
+        """The sorted arrays; None if they would have more cells than may be sent to the tasks."""
+        if self.rows * len(self.langs) > (MODEL_CELLS if cells is None else cells):
+            return None
+        tables = {}
+        for n, level in self.levels.items():
+            rows = level.toPandas()
+            lang, key, count = rows["lang"].to_numpy(), _uint(rows["gram"].to_numpy()), rows["n"].to_numpy(np.float64)
+            by = np.lexsort((key, lang))
+            cut = np.searchsorted(lang[by], np.arange(len(self.langs) + 1))
+            tables[n] = [(key[by[a:b]], count[by[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return Arrays(len(self.langs), tables, self.discount)
+
+
+class Arrays:
+    """The Kneser-Ney models of all languages in sorted arrays."""
+
+    def __init__(self, n_lang: int, orders: dict, discount: dict):
+        self.n_lang = n_lang
         self.keys, self.probs, self.contexts, self.backoff = {}, {}, {}, {}
-        lower = np.full((1, n_lang), 1 / 65536)
         for n in range(1, ORDER + 1):
-            keys = np.unique(np.concatenate([orders[n][g][0] for g in langs]))
-            ctx = np.unique(keys >> np.uint64(16)) if n > 1 else np.zeros(1, np.uint64)
+            keys = np.unique(np.concatenate([k for k, _ in orders[n]]))
+            context = (lambda k: k >> np.uint64(16)) if n > 1 else (lambda k: np.zeros(len(k), np.uint64))
+            ctx = np.unique(context(keys))
             prob, weight = np.zeros((len(keys), n_lang)), np.ones((len(ctx), n_lang))
-            base = self._lower(keys, n) if n > 1 else np.broadcast_to(lower, (len(keys), n_lang))
-            for j, g in enumerate(langs):
-                k, c = orders[n][g]
-                at = np.searchsorted(ctx, k >> np.uint64(16)) if n > 1 else np.zeros(len(k), np.int64)
+            base = self._lower(keys, n) if n > 1 else np.full((len(keys), n_lang), 1 / 65536)
+            back_at = np.searchsorted(ctx, context(keys))
+            for j, (k, c) in enumerate(orders[n]):
+                at = np.searchsorted(ctx, context(k))
                 total, kinds = np.bincount(at, c, len(ctx)), np.bincount(at, minlength=len(ctx))
                 seen = total > 0
-                weight[seen, j] = np.minimum(DISCOUNT * kinds[seen] / total[seen], 1.0)
+                weight[seen, j] = np.minimum(discount[n][j] * kinds[seen] / total[seen], 1.0)
                 own = np.zeros(len(keys))
-                own[np.searchsorted(keys, k)] = np.maximum(c - DISCOUNT, 0) / total[at]
-                back = weight[np.searchsorted(ctx, keys >> np.uint64(16)) if n > 1 else np.zeros(len(keys), np.int64), j]
-                prob[:, j] = own + back * base[:, j]
+                own[np.searchsorted(keys, k)] = np.maximum(c - discount[n][j], 0) / total[at]
+                prob[:, j] = own + weight[back_at, j] * base[:, j]
             self.keys[n], self.probs[n], self.contexts[n], self.backoff[n] = keys, prob, ctx, weight
         self.logs = {n: np.log2(p).astype(np.float32) for n, p in self.probs.items()}
         self.log_back = {n: np.log2(w).astype(np.float32) for n, w in self.backoff.items()}
 
     def _lower(self, keys, n):
         """Probabilities of the last character after one character of context less."""
-        mask = np.uint64((1 << (16 * (n - 1))) - 1)
-        return self.probs[n - 1][np.searchsorted(self.keys[n - 1], keys & mask)]
+        return self.probs[n - 1][np.searchsorted(self.keys[n - 1], keys & np.uint64(_mask(n - 1)))]
+
+    def __getstate__(self):
+        """Tasks need the logarithms only."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("probs", "backoff")}
 
     @staticmethod
     def _find(table, keys):
@@ -138,84 +194,139 @@ class Models:
             else:
                 c, known = self._find(self.contexts[n], k >> np.uint64(16))
                 back = np.where(known[:, None], self.log_back[n][c], np.float32(0))
-                out[miss] = back + self.log2(k & np.uint64((1 << (16 * (n - 1))) - 1), n - 1)
+                out[miss] = back + self.log2(k & np.uint64(_mask(n - 1)), n - 1)
         return out
 
     def entropy(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in bits per character (texts x languages), and the numbers of characters."""
-        keys = [_uint(grams(np.r_[32, 32, x], ORDER)) for x in texts]
+        keys = [_uint(grams(x, ORDER)) for x in texts]
         size = np.array([len(k) for k in keys])
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        sums = np.add.reduceat(self.log2(flat), starts, axis=0) if len(flat) else np.zeros((0, len(self.langs)))
+        sums = np.add.reduceat(self.log2(flat), starts, axis=0) if len(flat) else np.zeros((0, self.n_lang))
         return -sums / size[:, None], size
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MAX_GRAMS) -> Models | None:
-    """Models of all languages in docs; None without any."""
-    grams_ = written(counted(docs, text, lang), "grams")
-    n_all = grams_.groupBy("lang").count().collect()  # one row for each language
-    cut = grams_
-    if any(r["count"] > most for r in n_all):
-        # The count that about `most` grams of the language reach: no language is ranked in one task.
-        share = {r["lang"]: most / r["count"] for r in n_all if r["count"] > most}
-        for g, s in share.items():
-            least = grams_.where(F.col("lang") == g).agg(F.percentile_approx("n", 1 - s, 10_000)).first()[0]
-            cut = cut.where((F.col("lang") != g) | (F.col("n") > least))
-    rows = cut.toPandas()
-    tables = {}
-    for g, part in rows.groupby("lang"):
-        by = np.argsort(part["gram"].to_numpy().view(np.uint64))
-        tables[g] = (part["gram"].to_numpy()[by], part["n"].to_numpy()[by])
-    return Models(sorted(tables), tables) if tables else None
-
-
-def identify(docs: DataFrame, models: Models | None, reject: dict[str, tuple[float, float]] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, lang_pred, score, bits (per character), rejected.
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
+    """The model of all languages in docs; None without any."""
+    model = Model(counted(docs, text, lang))
+    return model if model.langs else None
 
-    `und` with score 0 for texts without letters (and for all without models). The score
-    is the best language's posterior from bits per character, weighted by up to 50
-    characters. A text is rejected if its bits exceed its language's calibrated bound
-    mean + spread / sqrt(characters); a rejected text keeps its nearest language.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+
+def _by_arrays(docs: DataFrame, arrays: Arrays, text: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(arrays)
+    keep = [c for c in docs.columns if c != text]
+    types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for part in slices(batch, text, 1 << 20):
-                x = [codes(t or "") for t in part.column(text).to_pylist()]
-                ok = [i for i, c in enumerate(x) if m is not None and np.any(c != 32)]
-                lang, score = ["und"] * len(x), np.zeros(len(x))
-                bits, rejected = np.full(len(x), np.nan), np.zeros(len(x), bool)
-                if ok:
-                    h, size = m.entropy([x[i] for i in ok])
-                    best = h.argmin(1)
-                    rel = -(h - h.min(1, keepdims=True)) * np.minimum(size, 50)[:, None]
-                    p = np.exp2(rel)
-                    for i, b, own, all_p, n, row in zip(ok, best, h.min(1), p.sum(1), size, h, strict=True):
-                        lang[i], score[i], bits[i] = m.langs[b], 1 / all_p, own
-                        mean, spread = (reject or {}).get(m.langs[b], (np.inf, 0.0))
-                        rejected[i] = own > mean + spread / np.sqrt(n)
-                yield pa.RecordBatch.from_arrays([part.column(doc), pa.array(lang), pa.array(score), pa.array(bits, from_pandas=True), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "bits", "rejected"])
-
-    return docs.select(F.col(doc).cast("long").alias(doc), text).mapInArrow(run, "doc_id long, lang_pred string, score double, bits double, rejected boolean")
-
-
-def calibrate(docs: DataFrame, models: Models, sample: int = 5_000, text: str = "text", lang: str = "lang") -> dict[str, tuple[float, float]]:
-    """Rejection bounds from at most about `sample` training rows: 99.5 % of a language's own texts stay below."""
-    share = min(1.0, sample / max(docs.count(), 1))
-    rows = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    x = [(codes(r[0]), r[1]) for r in rows.select(text, lang).toLocalIterator() if r[0]]
-    out = {}
-    for j, g in enumerate(models.langs):
-        own = [c for c, k in x if k == g]
-        if own:
-            h, size = models.entropy(own)
-            mean = float(np.median(h[:, j]))
-            out[g] = (mean, float(max(np.quantile((h[:, j] - mean) * np.sqrt(size), 0.995), 1.0)))
-    return out
+                x = [padded(t or "") for t in part.column(text).to_pylist()]
+                ok = np.array([bool(np.any(c != 32)) for c in x], bool)
+                h, size = m.entropy([c for c, k in zip(x, ok, strict=True) if k])
+                sizes = np.zeros(len(x), np.int64)
+                sizes[ok] = size
+                at = np.concatenate([[0], np.cumsum(ok)]).astype(np.int32) * np.int32(m.n_lang)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(at), pa.array(h.ravel(), pa.float64())), pa.array(sizes)], names=[*keep, "bits", "size"])
+
+    return docs.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + ["bits array<double>", "size long"]))
+
+
+def _by_joins(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """The same from the tables of counts: joined to the distinct n-grams of the documents, order by order."""
+    rows = with_rows(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, 1 << 20):
+                x = [padded(t or "") for t in part.column(text).to_pylist()]
+                found = [np.unique(grams(c, ORDER), return_counts=True) if np.any(c != 32) else (np.zeros(0, np.int64),) * 2 for c in x]
+                take = pa.array(np.repeat(np.arange(len(x)), [len(k) for k, _ in found]))
+                yield pa.RecordBatch.from_arrays([part.column(ROW).take(take), *[pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)]], names=[ROW, "gram", "m"])
+
+    own = written(rows.select(ROW, text).mapInArrow(run, f"{ROW} long, gram long, m long"), "own-grams")
+    n_lang = len(model.langs)
+    wide = lambda c, default: F.array(*[F.coalesce(F.max(F.when(F.col("lang") == i, F.col(c))), F.lit(default)) for i in range(n_lang)]).alias(c)
+    needed = {ORDER: own.select("gram").distinct()}
+    for n in range(ORDER - 1, 0, -1):
+        needed[n] = needed[n + 1].select(F.col("gram").bitwiseAND(F.lit(_mask(n))).alias("gram")).distinct()
+    lower = None
+    for n in range(1, ORDER + 1):
+        ctx = (F.shiftrightunsigned("gram", 16) if n > 1 else F.lit(0).cast("long")).alias("ctx")
+        level = model.levels[n].withColumn("ctx", ctx)
+        d = F.element_at(F.array(*[F.lit(float(x)) for x in model.discount[n]]), F.col("lang") + 1)
+        sums = written(level.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.least(F.first(d) * F.count("*") / F.sum("n"), F.lit(1.0)).alias("weight")), "contexts")
+        seen = level.join(sums, ["lang", "ctx"]).withColumn("own", F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total")).groupBy("gram").agg(wide("own", 0.0))
+        weights = sums.groupBy("ctx").agg(wide("weight", 1.0))
+        each = needed[n].withColumn("ctx", ctx).join(seen, "gram", "left").join(weights, "ctx", "left")
+        if n > 1:
+            each = each.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(_mask(n - 1)))).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("base")), "suffix")
+        else:
+            each = each.withColumn("base", F.array(*[F.lit(1 / 65536)] * n_lang))
+        zeros, ones = F.array(*[F.lit(0.0)] * n_lang), F.array(*[F.lit(1.0)] * n_lang)
+        back = F.zip_with(F.coalesce("weight", ones), "base", lambda a, b: a * b)
+        lower = written(each.select("gram", F.zip_with(F.coalesce("own", zeros), back, lambda a, b: a + b).alias("p")), "probabilities")
+    logs = own.join(lower, "gram").groupBy(ROW).agg(F.sum("m").alias("size"), *[F.sum(F.col("m") * F.log2(F.col("p")[i])).alias(f"b{i}") for i in range(n_lang)])
+    bits = F.when(F.col("size").isNull(), F.array().cast("array<double>")).otherwise(F.array(*[-F.col(f"b{i}") / F.col("size") for i in range(n_lang)]))
+    keep = [c for c in docs.columns if c != text]
+    return rows.select(ROW, *[c for c in keep if c != ROW]).join(logs, ROW, "left").select(*keep, bits.alias("bits"), F.coalesce("size", F.lit(0)).alias("size"))
+
+
+def entropies(docs: DataFrame, model: Model, text: str = "text", cells: int | None = None) -> DataFrame:
+    """docs without the text, with bits array<double> (by language; empty without letters) and size (characters)."""
+    arrays = model.arrays(cells)
+    return _by_joins(docs, model, text) if arrays is None else _by_arrays(docs, arrays, text)
+
+
+def identify(docs: DataFrame, model: Model | None, reject: dict[str, tuple[float, float]] | None = None, doc: str = "doc_id", text: str = "text", cells: int | None = None) -> DataFrame:
+    """Per row: doc_id, lang_pred, score, bits (per character), rejected.
+
+    `und` with score 0 for null and for texts without letters (and for all without a
+    model); of languages that fit equally well the first by name. The score is the best
+    language's posterior from bits per character, weighted by up to 50 characters. A text
+    is rejected if its bits exceed its language's bound mean + spread / sqrt(characters); a
+    rejected text keeps its nearest language. Texts of any length are read whole; rows are
+    never merged, so repeated rows and ids keep their own result; other columns don't
+    matter, whatever their names. An empty table gives no rows.
+    """
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if model is None:
+        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(False).alias("rejected"))
+    h = entropies(rows, model, "text", cells)
+    known = F.col("size") > 0
+    least = F.array_min("bits")
+    posterior = 1 / F.aggregate("bits", F.lit(0.0), lambda a, b: a + F.pow(F.lit(2.0), (least - b) * F.least(F.col("size"), F.lit(50))))
+    best = F.element_at(F.array(*[F.lit(g) for g in model.langs]), F.array_position("bits", least).cast("int"))
+    out = h.select("doc_id", F.when(known, best).otherwise("und").alias("lang_pred"), F.when(known, posterior).otherwise(0.0).alias("score"), F.when(known, least).alias("bits"), "size")
+    bound = F.lit(None).cast("double")
+    for g, (mean, spread) in (reject or {}).items():
+        bound = F.when(F.col("lang_pred") == g, F.lit(mean) + F.lit(spread) / F.sqrt("size")).otherwise(bound)
+    return out.withColumn("rejected", F.coalesce(F.col("bits") > bound, F.lit(False))).drop("size")
+
+
+def calibrate(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> dict[str, tuple[float, float]]:
+    """Rejection bounds (mean, spread) that 99.5 % of a language's rows in docs stay below; docs weren't trained on."""
+    number = F.array_position(F.array(*[F.lit(g) for g in model.langs]), F.col(lang)).cast("int")
+    own = entropies(docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")), model).where("size > 0")
+    own = written(own.where(number > 0).select("lang", F.element_at("bits", number).alias("bits"), "size"), "calibration")
+    means = own.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 10_000).alias("mean"))  # one row for each language
+    over = (F.col("bits") - F.col("mean")) * F.sqrt("size")
+    rows = own.join(F.broadcast(means), "lang").groupBy("lang", "mean").agg(F.percentile_approx(over, 0.995, 10_000).alias("spread")).collect()
+    dropped(own)
+    return {r["lang"]: (r["mean"], max(r["spread"], 1.0)) for r in rows}
+
+
+def fitted(known: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Model | None, dict[str, tuple[float, float]]]:
+    """A model and its rejection bounds from rows with text and language.
+
+    One row in CALIBRATION is kept from the model, for the bounds, unless its language has
+    no other rows.
+    """
+    kept = F.pmod(F.xxhash64(text, F.lit(7)), F.lit(CALIBRATION)) == 0
+    seen = [r[0] for r in known.where(~kept).select(lang).distinct().collect()]  # one row for each language
+    model = train(known.where(~kept | ~F.col(lang).isin(seen)), text, lang)
+    return model, calibrate(known.where(kept), model, text, lang) if model else {}
 
 
 def learnt(doc: str = "doc_id") -> Column:
@@ -224,7 +335,6 @@ def learnt(doc: str = "doc_id") -> Column:
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    known = docs.where(learnt() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    models = train(known)
-    out = identify(docs, models, calibrate(known, models) if models else None)
+    model, bounds = fitted(docs.where(learnt() & F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    out = identify(docs, model, bounds)
     return out.select("doc_id", (~learnt()).alias("held_out"), "lang_pred", "score", "bits", "rejected")

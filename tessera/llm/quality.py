@@ -2,9 +2,13 @@
 
 Trusted positives are the documents labelled good; all other text is unlabelled. The
 share of good documents among the unlabelled (the class prior) is estimated from the two
-samples' score distributions. A small network then minimises the non-negative unbiased
+score distributions. A small network then minimises the non-negative unbiased
 risk: pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)); where the second part falls below zero,
 its gradient is stepped back.
+
+Labelled rows are few and sent to every task (`max_positives` bounds them); unlabelled
+rows stay where they are: in each round every task reads all of its own against random
+positives, and the tasks' copies of the network are averaged by their rows.
 """
 
 from __future__ import annotations
@@ -17,11 +21,13 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import ROW, prefix_hash, range_hash, slices, utf8, with_rows, written
+from .common import ROW, dropped, prefix_hash, range_hash, slices, utf8, with_rows, written
 
-#: At most about so many positives and unlabelled documents are taken to the fit.
-SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 15_000, 30_000
-HIDDEN, STEPS, BATCH = 16, 3000, 512
+HIDDEN, BATCH = 16, 512
+#: Rounds of averaging for the two networks of the prior and for the classifier; a task with few rows reads them again until it has made MIN_STEPS.
+PRIOR_ROUNDS, ROUNDS, MIN_STEPS = 2, 8, 375
+#: Rows of a task that trains.
+TASK_ROWS = 30_000
 
 _KIND = np.full(256, 6, np.int64)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -83,11 +89,20 @@ def featured(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 class Network:
     """One hidden layer over standardised features."""
 
-    def __init__(self, mean, scale, rng):
+    SHAPES = [(FEATURES, HIDDEN), (HIDDEN,), (HIDDEN,), (1,)]
+
+    def __init__(self, mean, scale, flat: np.ndarray | None = None, seed: int = 1):
         self.mean, self.scale = mean, scale
-        self.p = [rng.normal(0, 0.3, (len(mean), HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
+        rng = np.random.default_rng(seed)
+        self.p = [rng.normal(0, 0.3, s) if i in (0, 2) else np.zeros(s) for i, s in enumerate(self.SHAPES)]
+        if flat is not None:
+            cuts = np.cumsum([np.prod(s) for s in self.SHAPES])[:-1]
+            self.p = [part.reshape(s).copy() for part, s in zip(np.split(flat, cuts), self.SHAPES, strict=True)]
         self.m, self.v, self.t = [np.zeros_like(a) for a in self.p], [np.zeros_like(a) for a in self.p], 0
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.p])
+
     def forward(self, x):
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         h = np.tanh(z @ self.p[0] + self.p[1])
@@ -105,96 +120,165 @@ class Network:
             self.p[i] = self.p[i] - rate * (self.m[i] / (1 - 0.9**self.t)) / (np.sqrt(self.v[i] / (1 - 0.999**self.t)) + 1e-8)
 
     def score(self, x):
-        return 1 / (1 + np.exp(-np.clip(self.forward(x)[2], -30, 30)))
+        return _sigmoid(self.forward(x)[2])
 
 
 def _sigmoid(v):
     return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
-def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of positives in the unlabelled sample: the smallest ratio of the two tails above a score.
+def _rows(frame: pd.Series) -> np.ndarray:
+    return np.array(frame.tolist(), np.float64).reshape(-1, FEATURES)
+
+
+def _averaged(unl: DataFrame, train, size: int) -> np.ndarray | None:
+    """The average of what train(rows, number of the task) returns (`size` floats) over the tasks of unl, weighted by their rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
 
+        # The features of a task's rows (160 bytes each); the table is dealt by rows.
+        x = [_rows(f["x"]) for f in frames if len(f)]
+        if x:
+            x = np.concatenate(x)
+            yield pd.DataFrame({"at": range(size), "p": train(x, TaskContext.get().partitionId()) * len(x), "n": float(len(x))})
+
+    sums = unl.mapInPandas(run, "at int, p double, n double").groupBy("at").agg((F.sum("p") / F.sum("n")).alias("p")).orderBy("at").collect()
+    return np.array([r["p"] for r in sums]) if sums else None
+
+
+def _batches(x: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Batches that go through all rows, again and again until MIN_STEPS are made."""
+    made = 0
+    while made < MIN_STEPS:
+        order = rng.permutation(len(x))
+        for at in range(0, len(x), BATCH):
+            made += 1
+            yield x[order[at : at + BATCH]]
+
+
+def _against(pos: np.ndarray, net: Network, x: np.ndarray, seed: int) -> np.ndarray:
+    """Steps that tell positives from unlabelled rows, for the prior only."""
+    rng = np.random.default_rng(seed)
+    for u in _batches(x, rng):
+        rows = np.concatenate([pos[rng.integers(0, len(pos), BATCH)], u])
+        z, h, f = net.forward(rows)
+        weight = np.repeat([0.5 / BATCH, 0.5 / len(u)], [BATCH, len(u)])
+        net.step(z, h, (_sigmoid(f) - np.repeat([1.0, 0.0], [BATCH, len(u)])) * weight, decay=3e-3)
+    return net.flat()
+
+
+def _non_negative(pos: np.ndarray, prior: float, net: Network, x: np.ndarray, seed: int, rate: float) -> np.ndarray:
+    """Steps on the non-negative risk with the sigmoid loss: l(+) = 1 - s, l(-) = s."""
+    rng = np.random.default_rng(seed)
+    for u in _batches(x, rng):
+        z, h, f = net.forward(np.concatenate([pos[rng.integers(0, len(pos), BATCH)], u]))
+        s = _sigmoid(f)
+        negative = s[BATCH:].mean() - prior * s[:BATCH].mean()
+        dp, du = (s * (1 - s))[:BATCH] / BATCH, (s * (1 - s))[BATCH:] / len(u)
+        slope = np.concatenate([-2 * prior * dp, du]) if negative >= 0 else np.concatenate([prior * dp, -du])
+        net.step(z, h, slope, rate=rate)
+    return net.flat()
+
+
+def class_prior(p: np.ndarray, u: np.ndarray, n_pos: int, n_unl: int) -> float:
+    """Share of positives among the unlabelled: the smallest ratio of the two tails above a score.
+
+    p, u: shares of the positives and of the unlabelled rows that reach each of some cuts.
     Where negatives score low, the unlabelled tail holds positives only, thinned by the
     prior. Only tails with a fifth of the positives count, and each ratio is taken one
     standard error up, so that a small sample's luckiest tail doesn't set the prior.
     """
-    cuts = np.unique(np.quantile(pos, np.linspace(0.0, 0.8, 40)))
-    p = np.array([(pos >= c).mean() for c in cuts])
-    u = np.array([(unl >= c).mean() for c in cuts])
-    error = np.sqrt((1 - p) / (p * len(pos)) + (1 - u) / np.maximum(u * len(unl), 1))
+    error = np.sqrt((1 - p) / (p * n_pos) + (1 - u) / np.maximum(u * n_unl, 1))
     return float(np.clip((u / p * (1 + error)).min(), 0.05, 0.95))
 
 
-def _against(pos, unl, mean, scale, rng, steps: int) -> Network:
-    """A network that tells positives from unlabelled, for the prior only."""
-    net = Network(mean, scale, rng)
-    for _ in range(steps):
-        x = np.concatenate([pos[rng.integers(0, len(pos), BATCH)], unl[rng.integers(0, len(unl), BATCH)]])
-        z, h, f = net.forward(x)
-        net.step(z, h, (_sigmoid(f) - np.repeat([1.0, 0.0], BATCH)) / BATCH / 2, decay=3e-3)
-    return net
-
-
-def fit(pos: np.ndarray, unl: np.ndarray, seed: int = 1) -> tuple[Network, float]:
-    """A network that minimises the non-negative risk, and the class prior."""
-    rng = np.random.default_rng(seed)
-    both = np.concatenate([pos, unl])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    # Each half is scored by the network of the other half.
-    scored = [[], []]
-    for own in (0, 1):
-        net = _against(pos[own::2] if len(pos) > 1 else pos, unl[own::2] if len(unl) > 1 else unl, mean, scale, rng, STEPS // 8)
-        for out, rows in zip(scored, (pos, unl), strict=True):
-            out.append(net.score(rows[1 - own :: 2] if len(rows) > 1 else rows))
-    prior = float(np.mean([class_prior(p, u) for p, u in zip(*scored, strict=True)]))
-    net = Network(mean, scale, rng)
-    for i in range(STEPS):
-        x = np.concatenate([pos[rng.integers(0, len(pos), BATCH)], unl[rng.integers(0, len(unl), BATCH)]])
-        z, h, f = net.forward(x)
-        s = _sigmoid(f)
-        sp, su = s[:BATCH], s[BATCH:]
-        # Sigmoid loss: l(+) = 1 - s, l(-) = s.
-        negative = su.mean() - prior * sp.mean()
-        ds = s * (1 - s) / BATCH
-        if negative >= 0:
-            slope = np.concatenate([-2 * prior * ds[:BATCH], ds[BATCH:]])
-        else:
-            slope = np.concatenate([prior * ds[:BATCH], -ds[BATCH:]])
-        net.step(z, h, slope, rate=0.01 if i < STEPS // 2 else 0.003)
-    return net, prior
-
-
-def _sample(df: DataFrame, key: str, most: int) -> np.ndarray:
-    """About `most` rows at most, chosen by the key's hash, the same in every run."""
+def _prior(pos: np.ndarray, unl: DataFrame, mean, scale) -> float:
+    """Each half of the rows is scored by a network of the other half."""
+    half = lambda x: (np.abs(x.sum(1) * 1e6).astype(np.int64)) % 2
+    halves = [pos[half(pos) == i] if len(pos) > 1 and 0 < half(pos).sum() < len(pos) else pos for i in (0, 1)]
+    size = sum(int(np.prod(s)) for s in Network.SHAPES)
+    flat = np.tile(Network(mean, scale).flat(), 2)
+    for turn in range(PRIOR_ROUNDS):
+
+        def train(x, task, flat=flat, turn=turn):
+            out = []
+            for i in (0, 1):
+                own = x[half(x) == i]
+                net = Network(mean, scale, flat[i * size : (i + 1) * size])
+                out.append(_against(halves[i], net, own if len(own) else x, 1000 * task + turn))
+            return np.concatenate(out)
+
+        flat = _averaged(unl, train, 2 * size)
+    nets = [Network(mean, scale, flat[i * size : (i + 1) * size]) for i in (0, 1)]
+    scored = [nets[1 - i].score(halves[i]) for i in (0, 1)]
+    cuts = [np.unique(np.quantile(s, np.linspace(0.0, 0.8, 40))) for s in scored]
+
+    def tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                x = _rows(f["x"])
+                for i in (0, 1):
+                    s = nets[1 - i].score(x[half(x) == i])
+                    yield pd.DataFrame({"half": i, "cut": range(len(cuts[i])), "n": [int((s >= c).sum()) for c in cuts[i]], "rows": len(s)})
+
+    counts = {(r["half"], r["cut"]): (r["n"], r["rows"]) for r in unl.mapInPandas(tails, "half int, cut int, n long, rows long").groupBy("half", "cut").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).collect()}
+    out = []
+    for i in (0, 1):
+        n, rows = np.array([counts[i, c] for c in range(len(cuts[i]))], np.float64).T
+        if rows[0]:
+            out.append(class_prior(np.array([(scored[i] >= c).mean() for c in cuts[i]]), n / rows, len(halves[i]), int(rows[0])))
+    return float(np.mean(out))
+
+
+def fit(pos: np.ndarray, unl: DataFrame) -> tuple[Network, float]:
+    """A network that minimises the non-negative risk over all rows of unl (x array<float>), and the class prior."""
+    of = [(F.avg(F.col("x")[i]), F.coalesce(F.stddev_pop(F.col("x")[i]), F.lit(0.0))) for i in range(FEATURES)]
+    stats = np.array(unl.agg(*[c for pair in of for c in pair]).first(), np.float64).reshape(-1, 2)
+    mean, scale = stats[:, 0], stats[:, 1] + 1e-3
+    prior = _prior(pos, unl, mean, scale)
+    flat = Network(mean, scale).flat()
+    for turn in range(ROUNDS):
+        rate = 0.01 if turn < ROUNDS // 2 else 0.003
+        flat = _averaged(unl, lambda x, task, flat=flat, rate=rate, turn=turn: _non_negative(pos, prior, Network(mean, scale, flat), x, 1000 * task + turn, rate), len(flat))
+    return Network(mean, scale, flat), prior
+
+
+def _positives(df: DataFrame, most: int) -> np.ndarray:
+    """The features of about `most` rows at most, chosen by the id's hash, the same in every run."""
     n = df.count()
     share = min(1.0, most / max(n, 1))
-    rows = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).select("x").toPandas()
-    return np.array(rows["x"].tolist(), np.float64).reshape(-1, FEATURES)
+    rows = df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= F.lit(int(share * (1 << 40)))).select("x").toPandas()
+    return _rows(rows["x"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, train: Column, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, train: Column, doc: str = "doc_id", text: str = "text", max_positives: int = 15_000) -> DataFrame:
     """(row_key, doc_id, score double, predicted int, prior double) of every row.
 
-    labels: (doc_id, quality); a document is a trusted positive if all its labels are 1.
-    Only rows with `train` (a condition on doc_id) are learnt from. Without any positive or
-    unlabelled row nothing can be learnt: the score is then 0.5.
+    labels: (doc_id, quality); a document is a trusted positive if all its labels are 1, so
+    labels that disagree or are null leave it unlabelled. Only rows with `train` (a condition
+    on doc_id) are learnt from: all unlabelled ones, and of the labelled ones at most about
+    `max_positives`. Without any positive or unlabelled row nothing can be learnt: the score
+    is then 0.5. A score of 0.5 counts as good (predicted 1). Null and empty texts have a
+    score too, texts of any length are read whole, rows are told by their keys (repeated
+    rows and ids keep their own result), other columns don't matter, and an empty table
+    gives no rows.
     """
-    spark = docs.sparkSession
     x = written(featured(with_rows(docs), doc, text), "features")
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    good = labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1").select("doc_id")
     learn = x.where(train)
-    pos = _sample(learn.join(good, "doc_id", "left_semi"), "doc_id", SAMPLE_POSITIVE)
-    unl = _sample(learn.join(good, "doc_id", "left_anti"), "doc_id", SAMPLE_UNLABELLED)
-    if not len(pos) or not len(unl):
+    pos = _positives(learn.join(good, "doc_id", "left_semi"), max_positives)
+    unl = learn.join(good, "doc_id", "left_anti").select("x")
+    n = unl.count()
+    if not len(pos) or not n:
         return x.select(ROW, "doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"), F.lit(None).cast("double").alias("prior"))
+    unl = written(unl.coalesce(1 + n // TASK_ROWS), "unlabelled")
     net, prior = fit(pos, unl)
+    dropped(unl)
 
     @F.pandas_udf("double")
     def score(rows: pd.Series) -> pd.Series:
-        if not len(rows):
-            return pd.Series([], dtype=float)
-        return pd.Series(net.score(np.array(rows.tolist(), np.float64)))
+        return pd.Series(net.score(_rows(rows)), dtype=float)
 
     out = x.select(ROW, "doc_id", score("x").alias("score"))
     return out.select(ROW, "doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.lit(prior).alias("prior"))

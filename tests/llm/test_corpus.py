@@ -160,15 +160,55 @@ def test_licenses(spark, docs):
 
 def test_language(docs, none, spark):
     text = {"en": "the quick brown fox and the lazy dog ", "de": "der schnelle braune fuchs und der faule hund "}
-    train = spark.createDataFrame([(i, t * 3, g) for i in range(20) for g, t in text.items()], "doc_id long, text string, lang string")
-    models = langid.train(train)
-    got = {r.doc_id: r for r in langid.identify(docs, models).collect()}
+    known = spark.createDataFrame([(i, t * (1 + i % 3), g) for i in range(20) for g, t in text.items()], "doc_id long, text string, lang string")
+    model = langid.train(known)
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
     assert got[0].lang_pred == got[1].lang_pred == "und" and got[5].lang_pred in text
-    probe = spark.createDataFrame([(1, "the dog and the fox"), (2, "der hund und der fuchs")], "doc_id long, text string")
-    assert [r.lang_pred for r in sorted(langid.identify(probe, models).collect())] == ["en", "de"]
-    assert langid.train(none) is None and langid.identify(none, None).count() == 0
-    known = models.probs[2][np.isin(models.keys[2] >> np.uint64(16), [ord("t")])].sum(0)
-    assert (known <= 1 + 1e-9).all()
+    probe = spark.createDataFrame([(1, "the dog and the fox"), (2, "der hund und der fuchs"), (3, "\U0001f600\U0001f600 12"), (4, "\U00020000" * 40), (4, "the " * 50_000), (None, "fuchs")], "doc_id long, text string")
+    rows = langid.identify(probe, model).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in rows if r.doc_id != 4) == [(0, "de"), (1, "en"), (2, "de"), (3, "und")]
+    assert sorted(r.lang_pred for r in rows if r.doc_id == 4) in (["de", "en"], ["en", "en"])
+    # The joined model gives what the arrays give.
+    key = lambda r: (r.doc_id or 0, r.lang_pred, round(r.score, 6), round(r.bits or 0, 4))
+    assert sorted(map(key, langid.identify(probe, model, cells=0).collect())) == sorted(map(key, rows))
+    assert langid.train(none) is None and langid.identify(none, None).count() == 0 and langid.identify(none, model).count() == 0
+    arrays = model.arrays()
+    sums = arrays.probs[2][np.isin(arrays.keys[2] >> np.uint64(16), [ord("t")])].sum(0)
+    assert (sums <= 1 + 1e-9).all()
+    _, bounds = langid.fitted(known.unionByName(spark.createDataFrame([(99, "uno dos tres", "es")], known.schema)))
+    assert set(bounds) <= {"en", "de", "es"}
+
+
+def test_language_counts_are_kneser_ney(spark):
+    """Lower orders count different characters in front, and a text's probability is the interpolated one."""
+    texts = ["abracadabra", "banana band", "cabana"]
+    model = langid.train(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    levels = {4: Counter(tuple(map(int, p[i : i + 4])) for p in map(langid.padded, texts) for i in range(len(p) - 3))}
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    for n, level in levels.items():
+        unpack = lambda k, n=n: tuple((k >> (16 * (n - 1 - i))) & 0xFFFF for i in range(n))
+        assert {unpack(r.gram): r.n for r in model.levels[n].collect()} == dict(level)
+
+    def p(g):
+        if not g:
+            return 1 / 65536
+        d, ctx = model.discount[len(g)][0], [c for k, c in levels[len(g)].items() if k[:-1] == g[:-1]]
+        if not ctx:
+            return p(g[1:])
+        return max(levels[len(g)][g] - d, 0) / sum(ctx) + min(d * len(ctx) / sum(ctx), 1) * p(g[1:])
+
+    probe = langid.padded("bandana xab")
+    want = -sum(math.log2(p(tuple(map(int, probe[i : i + 4])))) for i in range(len(probe) - 3)) / (len(probe) - 3)
+    got = langid.identify(spark.createDataFrame([(1, "bandana xab")], "doc_id long, text string"), model).first()
+    assert got.bits == pytest.approx(want, rel=1e-5)
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in langid.op5_langid(spark, "/root/testdata/sf0.001").collect()}
+    right = [got[r.doc_id].lang_pred == r.lang for r in docs.collect() if r.lang and r.text and got[r.doc_id].held_out and got[r.doc_id].lang_pred != "und"]
+    assert len(right) > 20 and sum(right) >= 0.9 * len(right)
 
 
 def test_quality(docs, none, spark):
@@ -178,6 +218,24 @@ def test_quality(docs, none, spark):
     assert quality.classify(none, labels, F.lit(True)).count() == 0
 
 
+def test_quality_learns(spark):
+    """Non-negative risk on two clouds of features: the prior is near the truth and held-out rows are told apart."""
+    rng = np.random.default_rng(2)
+    cloud = lambda n, at: (rng.normal(at, 1, (n, quality.FEATURES))).astype(np.float32)
+    pos, unl = cloud(400, 0.7), np.concatenate([cloud(600, 0.7), cloud(1400, -0.7)])
+    table = spark.createDataFrame([(x.tolist(),) for x in unl], "x array<float>")
+    net, prior = quality.fit(pos.astype(float), table)
+    assert 0.2 < prior < 0.45
+    assert (net.score(cloud(500, 0.7)) >= 0.5).mean() > 0.9 and (net.score(cloud(500, -0.7)) < 0.5).mean() > 0.9
+
+
+def test_quality_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = [(r.predicted, truth[r.doc_id]) for r in quality.op3_quality(spark, d).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    assert len(got) > 50 and np.mean([p == t for p, t in got]) >= 0.97
+
+
 def test_gru(docs, none):
     rows = [r for r in _rows()]
     training = Counter()
