@@ -177,7 +177,7 @@ def _non_negative(pos: np.ndarray, prior: float, net: Network, x: np.ndarray, se
         negative = s[BATCH:].mean() - prior * s[:BATCH].mean()
         dp, du = (s * (1 - s))[:BATCH] / BATCH, (s * (1 - s))[BATCH:] / len(u)
         slope = np.concatenate([-2 * prior * dp, du]) if negative >= 0 else np.concatenate([prior * dp, -du])
-        net.step(z, h, slope, rate=rate)
+        net.step(z, h, slope, rate=rate, decay=1e-3)
     return net.flat()
 
 
@@ -272,7 +272,8 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, doc: str = "doc_
     n = unl.count()
     if not len(pos) or not n:
         return x.select(ROW, "doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"), F.lit(None).cast("double").alias("prior"))
-    unl = written(unl.coalesce(1 + n // TASK_ROWS), "unlabelled")
+    # Dealt in turn, so that every task trains on a mixture also where files are sorted by source.
+    unl = written(unl.repartition(1 + n // TASK_ROWS), "unlabelled")
     net, prior = fit(pos, unl)
     dropped(unl)
 

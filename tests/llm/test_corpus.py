@@ -223,7 +223,7 @@ def test_quality_learns(spark):
     rng = np.random.default_rng(2)
     cloud = lambda n, at: (rng.normal(at, 1, (n, quality.FEATURES))).astype(np.float32)
     pos, unl = cloud(400, 0.7), np.concatenate([cloud(600, 0.7), cloud(1400, -0.7)])
-    table = spark.createDataFrame([(x.tolist(),) for x in unl], "x array<float>")
+    table = spark.createDataFrame([(x.tolist(),) for x in unl], "x array<float>").repartition(3)
     net, prior = quality.fit(pos.astype(float), table)
     assert 0.2 < prior < 0.45
     assert (net.score(cloud(500, 0.7)) >= 0.5).mean() > 0.9 and (net.score(cloud(500, -0.7)) < 0.5).mean() > 0.9
