@@ -5,14 +5,15 @@ k-gram with the smallest hash among those inside it. Every minimiser of a text o
 run of windows; the bytes that these cover are its span. So:
 
 1. Every text gives its minimisers (k-gram hash, span hash). A k-gram that occurs once
-   owns only windows that occur once. A span that occurs twice repeats in all its windows.
-2. Spans that occur once but share their k-gram are brought together by the k-gram's
-   hash. A bucket builds the run-compressed Burrows-Wheeler transform of its spans with
-   samples at the ends of runs; from these it streams the matching statistics (the
-   longest match elsewhere of every position) and marks the windows with a match of at
-   least `length` bytes. K-grams with very many different spans would fill one bucket;
-   there, blocks of windows around the k-gram are counted by hash over all tasks, and
-   only blocks that repeat in part are cut into smaller ones, down to single windows.
+   owns only windows that occur once. A span that occurs twice repeats in all its windows;
+   one of its occurrences stands for all in what follows.
+2. Different spans that share their k-gram are brought together by the k-gram's hash. A
+   bucket builds the run-compressed Burrows-Wheeler transform of its spans with samples at
+   both ends of every run; from these it streams the matching statistics (the longest match
+   elsewhere of every position) and marks the windows with a match of at least `length`
+   bytes. Where a k-gram has more spans than a bucket should hold, its spans are cut into
+   blocks of windows, and these are told apart by more context, the bytes that all windows
+   of a block share; what still shares it goes to the same index in a bucket of its own.
 3. Marked windows are brought to their texts and the bytes they cover are removed.
 """
 
@@ -27,11 +28,11 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ROW, mix, prefix_hash, range_hash, slices, utf8, with_rows, written
+from .common import BASE, ROW, mix, powers, prefix_hash, range_hash, slices, spread_join, utf8, with_rows, written
 
 LENGTH, GRAM = 200, 64
-#: Different spans of one k-gram beyond which its windows are counted by hash.
-HOT_SPANS = 500
+#: Spans of one k-gram beyond which a bucket is cut by more context.
+MOST_SPANS = 500
 #: Spans that a bucket holds on average.
 BUCKET_SPANS = 1000
 
@@ -66,63 +67,81 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return grams[where].view(np.int64), span.view(np.int64), first, last, where
 
 
-def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array by prefix doubling, and the ranks of every doubling.
+def suffix_array(codes: np.ndarray) -> np.ndarray:
+    """Suffix array by prefix doubling.
 
     Texts that end with codes of their own are told apart within their length, so this
     takes as many doublings as the longest repeat needs.
     """
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    ranks, span = [rank], 1
+    span = 1
     while rank.max(initial=0) < len(rank) - 1:
         later = np.zeros(len(rank), np.int64)
         later[:-span] = rank[span:] + 1
         rank = np.unique(rank * (len(rank) + 2) + later, return_inverse=True)[1].astype(np.int64)
-        ranks.append(rank)
         span *= 2
-    return np.argsort(rank, kind="stable"), ranks
-
-
-def common_prefix(ranks: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of the suffixes at i and j, from the ranks of the doublings."""
-    n, i, j = len(ranks[0]), i.copy(), j.copy()
-    out = np.zeros(len(i), np.int64)
-    for step in range(len(ranks) - 1, -1, -1):
-        ok = (i < n) & (j < n)
-        same = np.zeros(len(i), bool)
-        same[ok] = ranks[step][i[ok]] == ranks[step][j[ok]]
-        out[same] += 1 << step
-        i[same] += 1 << step
-        j[same] += 1 << step
-    return out
+    order = np.empty(len(rank), np.int64)
+    order[rank] = np.arange(len(rank))
+    return order
+
+
+class RunIndex:
+    """The Burrows-Wheeler transform of texts, by runs of equal codes.
+
+    head and length describe the transform; first and last are the text positions at the
+    two ends of every run. Nothing else is kept of the suffix array.
+    """
+
+    def __init__(self, codes: np.ndarray):
+        order = suffix_array(codes)
+        before = codes[order - 1]
+        start = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
+        end = np.r_[start[1:], len(codes)] - 1
+        self.head, self.length, self.first, self.last = before[start], end - start + 1, order[start], order[end]
 
 
-def matching_statistics(codes: np.ndarray) -> tuple[np.ndarray, int]:
-    """For every position, the length of its longest match elsewhere, and the number of runs.
+def code_hash(codes: np.ndarray) -> np.ndarray:
+    """prefix_hash of integer codes."""
+    up, _ = powers(BASE, len(codes) + 1)
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * up[: len(codes)], dtype=np.uint64, out=out[1:])
+    return out
 
-    `codes` ends every text with a code of its own. Of the transform only the runs are
-    kept, with the text positions at their two ends. A position inside a run continues
-    the match of the position after it in the text, less one code; so the common prefix
-    with the neighbour above (below) in suffix order is computed only at the first
-    (last) position of each run and streamed through the text from there.
+
+def common_prefix(codes: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes at i and j, up to `most`, by halving steps over hashes."""
+    prefix = code_hash(codes)
+    n, out = len(codes), np.zeros(len(i), np.int64)
+    step = 1 << max(most.bit_length() - 1, 0)
+    while step:
+        a, b = i + out, j + out
+        ok = np.flatnonzero((a + step <= n) & (b + step <= n))
+        same = range_hash(prefix, a[ok], a[ok] + step) == range_hash(prefix, b[ok], b[ok] + step)
+        out[ok[same]] += step
+        step >>= 1
+    return np.minimum(out, most)
+
+
+def matching_statistics(index: RunIndex, codes: np.ndarray, most: int) -> np.ndarray:
+    """For every position, the length (up to `most`) of its longest match elsewhere.
+
+    `codes` ends every text with a code of its own. A position inside a run continues the
+    match of the position after it in the text, less one code; so the common prefix with the
+    neighbour above (below) in suffix order is computed only for the first (last) position
+    of each run, whose neighbour is the last (first) of the run before (after), and
+    streamed through the text from there.
     """
     n = len(codes)
-    order, ranks = suffix_order(codes)
-    before = codes[order - 1]
-    run_start = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
-    run_end = np.r_[run_start[1:], n] - 1
-    best = np.zeros(n, np.int64)
-    for ends, step in ((run_start, -1), (run_end, 1)):
-        ends = ends[(ends + step >= 0) & (ends + step < n)]
-        sample = order[ends]
-        match = common_prefix(ranks, sample, order[ends + step])
+    best, places = np.zeros(n, np.int64), np.arange(n)
+    for sample, neighbour in ((index.first[1:], index.last[:-1]), (index.last[:-1], index.first[1:])):
+        if not len(sample):
+            continue
+        match = common_prefix(codes, sample, neighbour, n)
         by = np.argsort(sample)
         sample, match = sample[by], match[by]
-        if len(sample):
-            at = np.searchsorted(sample, np.arange(n), "right") - 1
-            streamed = np.where(at >= 0, match[at] - (np.arange(n) - sample[at]), 0)
-            best = np.maximum(best, streamed)
-    return best, len(run_start)
+        at = np.searchsorted(sample, places, "right") - 1
+        best = np.maximum(best, np.where(at >= 0, match[at] - (places - sample[at]), 0))
+    return np.minimum(best, most)
 
 
 def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -152,8 +171,7 @@ def _bucket_windows(length: int):
         for s, t in zip(starts, texts, strict=True):
             codes[s : s + len(t)] = t
         codes[ends - 1] = 256 + np.arange(len(texts))
-        best, _ = matching_statistics(codes)
-        hit = np.flatnonzero(best >= length)
+        hit = np.flatnonzero(matching_statistics(RunIndex(codes), codes, length) >= length)
         which = np.searchsorted(ends, hit, "right")
         inside = hit - starts[which]
         own = frame["own"].to_numpy()[which] & (inside <= (frame["last"] - frame["first"]).to_numpy()[which])
@@ -166,42 +184,50 @@ def _bucket_windows(length: int):
     return run
 
 
-#: Sizes of the blocks of windows that are counted together, from turn to turn.
+#: Sizes of the blocks of windows that a bucket is cut into, from turn to turn.
 BLOCKS = (32, 8, 2, 1)
 
 
-def _hot_windows(hot: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for spans of k-grams with very many spans, by counting hashes over all tasks.
+def _cut_by_context(large: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of k-grams with very many of them, as (pieces for the index, windows that repeat).
 
     A window is told by its reach, the number of its bytes before the k-gram. Windows of
-    neighbouring reaches form a block. Where the bytes that all windows of a block share
-    stand nowhere else beside this k-gram, none of them repeats; where all bytes that they
-    cover stand elsewhere as a whole, all of them repeat and make one run. Other blocks
-    are cut into smaller ones, down to single windows.
+    neighbouring reaches form a block. Only blocks that share the bytes common to all their
+    windows can hold equal windows, so these bytes tell buckets apart. A bucket of at most
+    MOST_SPANS pieces goes to the index. In a larger one, equal pieces are marked and one
+    stands for all, and the pieces are cut into smaller blocks, down to single windows,
+    where a bucket holds equal windows only.
     """
     free = length - gram
     before = F.col("at") - F.col("first")
-    open_ = hot.withColumns({"before": before, "low": before - (F.col("last") - F.col("first")), "a": F.lit(0), "b": F.lit(free)})
-    out = None
+    open_ = large.withColumns({"before": before, "low": before - (F.col("last") - F.col("first")), "a": F.lit(0), "b": F.lit(free)})
+    pieces, marked = None, None
     for size in BLOCKS:
         block = F.explode(F.sequence(F.floor(F.greatest("a", "low") / size), F.floor(F.least("b", "before") / size)).cast("array<int>")).alias("block")
         cut = open_.select("row", "gram", "first", "own", "bytes", "before", "low", block)
         cut = cut.withColumns({"a": F.col("block") * size, "b": F.least(F.col("block") * size + (size - 1), F.lit(free))}).drop("block")
         core = F.substring("bytes", F.col("before") - F.col("a") + 1, F.col("a") + length - F.col("b"))
-        hull = F.substring("bytes", F.col("before") - F.col("b") + 1, F.col("b") + length - F.col("a"))
-        inside = (F.col("a") >= F.col("low")) & (F.col("b") <= F.col("before"))
-        cut = cut.withColumns({"c1": F.xxhash64("gram", "a", core), "c2": F.hash(core), "h1": F.when(inside, F.xxhash64("gram", "a", hull)), "h2": F.when(inside, F.hash(hull))})
+        # The part of the span that the block's windows cover; a span need not have all of them.
+        top, bottom = F.least("b", "before"), F.greatest("a", "low")
+        hull = F.substring("bytes", F.col("before") - top + 1, top + length - bottom)
+        cut = cut.withColumns({"c1": F.xxhash64("gram", "a", core), "c2": F.hash(core), "h1": F.xxhash64("gram", "a", top, bottom, hull), "h2": F.hash(hull), "top": top, "bottom": bottom})
         cut = written(cut, "blocks")
-        cores = cut.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
-        hulls = cut.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("one")).where("n > 1").drop("n")
-        cut = written(cut.join(cores, ["c1", "c2"]).join(hulls, ["h1", "h2"], "left"), "counted")
+        cores = written(cut.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1"), "cores")
+        cut = written(spread_join(cut, cores, ["c1", "c2"], "n", F.xxhash64("row", "first")), "shared")
         at = F.col("first") + F.col("before")
-        runs = cut.where("own and one is not null").select("row", (at - F.col("b")).alias("first"), (at - F.col("a")).alias("last"))
-        out = runs if out is None else out.unionByName(runs)
-        # One of the blocks that repeat as a whole stays, as other spans may repeat a part of it.
+        windows = [(at - F.col("top")).cast("int").alias("first"), (at - F.col("bottom")).cast("int").alias("last")]
+        if size > 1:
+            few = cut.where(F.col("n") <= MOST_SPANS).select("row", F.col("c1").alias("gram"), *windows, "own", F.substring("bytes", F.col("before") - F.col("top") + 1, F.col("top") + length - F.col("bottom")).alias("bytes"))
+            pieces = few if pieces is None else pieces.unionByName(few)
+            cut = cut.where(F.col("n") > MOST_SPANS).drop("n")
+        hulls = cut.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("one")).where("n > 1")
+        cut = written(spread_join(cut.drop("n"), written(hulls, "hulls"), ["h1", "h2"], "n", F.xxhash64("row", "first")).unionByName(cut.drop("n").join(hulls, ["h1", "h2"], "left_anti").withColumns({"n": F.lit(1).cast("long"), "one": F.lit(None).cast(hulls.schema["one"].dataType)})), "counted")
+        runs = cut.where("own and one is not null").select("row", *windows)
+        marked = runs if marked is None else marked.unionByName(runs)
+        # One of equal pieces stays, as others may repeat a part of it; its own windows are marked already.
         stays = F.col("one").isNull() | (F.col("one") == F.struct("row", "first"))
         open_ = cut.where(stays).withColumn("own", F.col("own") & F.col("one").isNull())
-    return out
+    return pieces, marked
 
 
 #: Row ids (8 bytes each) that may be broadcast to pick texts before these are shuffled.
@@ -222,24 +248,29 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     rows: (row, text), where a row's id is the same whenever the rows are read.
     """
     found = written(_anchor_rows(rows, length, gram), "anchors")
-    # Both sides of each join are tables, so a k-gram or span with very many rows is split over tasks.
-    again = written(found.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram"), "again")
-    found = found.join(again, "gram")
+    again = written(found.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1"), "again")
+    found = spread_join(found, again, ["gram"], "total", F.xxhash64("row", "first"))
+    found = written(found.drop("total"), "shared")
     spans = written(found.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min("row").alias("one")), "spans")
-    spans = written(spans.join(spans.groupBy("gram").agg(F.count("*").alias("spans")), "gram"), "sized")
-    found = written(found.join(spans, ["gram", "span"]), "repeated")
+    sized = written(spans.groupBy("gram").agg(F.count("*").alias("spans")), "sized")
+    spans = written(spread_join(spans, sized, ["gram"], "spans", F.xxhash64("span")), "spans")
+    found = written(spread_join(found, spans, ["gram", "span"], "n", F.xxhash64("row", "first")), "repeated")
     whole = found.where("n > 1").select("row", "first", "last")
     # Of each span that isn't alone with its k-gram one occurrence is examined; those that occur once get marks of their own.
-    one = found.where("spans > 1 and row = one").withColumns({"own": F.col("n") == 1, "hot": F.col("spans") > HOT_SPANS})
-    places = one.groupBy("gram", "span", "row", "own", "hot").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.min("at").alias("at"))
-    by_row = written(places.groupBy("row").agg(F.collect_list(F.struct("gram", "first", "last", "at", "own", "hot")).alias("picks")), "picks")
+    one = found.where("spans > 1 and row = one").withColumns({"own": F.col("n") == 1, "large": F.col("spans") > MOST_SPANS})
+    places = one.groupBy("gram", "span", "row", "own", "large").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.min("at").alias("at"))
+    # A row's places are fewer than its bytes, so they travel with its text.
+    by_row = written(places.groupBy("row").agg(F.collect_list(F.struct("gram", "first", "last", "at", "own", "large")).alias("picks")), "picks")
     each = _picked(rows, by_row).select("row", F.encode("text", "UTF-8").alias("b"), F.explode("picks").alias("p"))
     cut = each.select("row", "p.*", F.substring("b", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + length).alias("bytes"))
     cut = written(cut, "cut")
-    n_buckets = max(1, cut.where("not hot").count() // BUCKET_SPANS)
-    cool = cut.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(n_buckets)))
+    pieces = cut.where("not large").select("row", "gram", "first", "last", "own", "bytes")
+    if not cut.where("large").isEmpty():
+        more, marked = _cut_by_context(cut.where("large"), length, gram)
+        pieces, whole = pieces.unionByName(more), whole.unionByName(marked)
+    n_buckets = max(1, pieces.count() // BUCKET_SPANS)
+    cool = pieces.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(n_buckets)))
     marked = cool.groupBy("bucket").applyInPandas(_bucket_windows(length), "row long, first int, last int")
-    marked = marked.unionByName(_hot_windows(cut.where("hot"), length, gram))
     return whole.unionByName(marked).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
 
 

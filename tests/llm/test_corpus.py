@@ -49,15 +49,29 @@ def test_suffix_dedup(docs, none, monkeypatch):
     rows = _rows()
     want = Counter(suffix_dedup.brute_force([r[1] for r in rows]))
     for hot in (500, 1):
-        monkeypatch.setattr(suffix_dedup, "HOT_SPANS", hot)
+        monkeypatch.setattr(suffix_dedup, "MOST_SPANS", hot)
         got = suffix_dedup.digests(suffix_dedup.remove_repeats(docs)).collect()
         assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-def test_suffix_dedup_around_a_hot_line(spark, monkeypatch):
+def test_run_index():
+    """Matching statistics streamed from run ends equal those by comparison; runs are fewer than codes in repetitive text."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(97, 100, 40)
+    texts = [np.r_[base, rng.integers(97, 100, 9)], np.r_[rng.integers(97, 100, 5), base], base, base]
+    codes = np.concatenate([np.r_[t, 256 + i] for i, t in enumerate(texts)])
+    index = suffix_dedup.RunIndex(codes)
+    assert index.length.sum() == len(codes) and len(index.head) < 0.7 * len(codes)
+    n = len(codes)
+    want = [max(next((k for k in range(n) if i + k >= n or j + k >= n or codes[i + k] != codes[j + k]), n) for j in range(n) if j != i) for i in range(n)]
+    assert suffix_dedup.matching_statistics(index, codes, 25).tolist() == [min(w, 25) for w in want]
+
+
+@pytest.mark.parametrize("most", [3, 20])
+def test_suffix_dedup_around_a_hot_line(spark, monkeypatch, most):
     """A line of 150 bytes in many texts, whose surroundings repeat in parts of different lengths."""
-    monkeypatch.setattr(suffix_dedup, "HOT_SPANS", 3)
+    monkeypatch.setattr(suffix_dedup, "MOST_SPANS", most)
     rng = np.random.default_rng(3)
     noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
     line, left, right = noise(150), noise(300), noise(300)
