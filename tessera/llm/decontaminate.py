@@ -16,7 +16,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from .common import written
+from .common import ROW, with_rows, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,11 +35,11 @@ def words(text: Column) -> Column:
 
 
 def windows(items: DataFrame, size: int = 10, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct windows (win array<string>) with the items that have them (as strings)."""
+    """(win array<string>, item string), distinct: the windows of every item."""
     w = items.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))
     each = w.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), size).alias("win"))
-    return each.groupBy("win").agg(F.collect_set("item").alias("items"))
+    return each.distinct()
 
 
 def _within(w: Column, vocabulary: list[str]) -> Column:
@@ -49,46 +49,63 @@ def _within(w: Column, vocabulary: list[str]) -> Column:
 
 
 def contained(docs: DataFrame, items: DataFrame, size: int = 10, block: int = BLOCK, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: n_words, hits array<struct<start,n>> (1-based word runs) and items array<string>.
+    """Per row of docs: doc, n_words, hits array<struct<start,n>> (1-based word runs) and items array<string>.
 
-    Rows are never merged, so repeated rows and ids keep their own result. Null or empty
-    text and an empty benchmark give no hits. Items without words are no windows; an
-    item with null id counts for hits but is not listed.
+    Rows are told by their row keys (a column that docs has already is used as such), so
+    repeated rows and ids keep their own result. Null or empty text and an empty benchmark
+    give no hits; texts of any length are read whole. Items without words are no windows;
+    an item with null id counts for hits but is not listed. Other columns don't matter; an
+    empty table gives no rows.
     """
-    wins = written(windows(items, size), "windows")
+    rows = with_rows(docs)
+    rows = rows.select(F.col(ROW).alias("row"), *([doc] if doc != ROW else [F.col(ROW)]), F.col(text).alias("text"))
+    owned = written(windows(items, size), "windows")
+    wins = written(owned.select("win").distinct().withColumn("wid", F.monotonically_increasing_id()), "ids")
+    owners = owned.where("item is not null").join(wins, "win").select("wid", "item")
     total = wins.count()
     n_blocks = max(1, -(-total // block))
     out = None
     for b in range(n_blocks):
         mine = wins if n_blocks == 1 else wins.where(F.pmod(F.xxhash64("win"), F.lit(n_blocks)) == b)
-        one = _pass(docs.select(doc, text), mine, doc, text)
+        one = _pass(rows, mine, doc)
         out = one if out is None else out.unionByName(one)
     if n_blocks > 1:
-        out = out.groupBy("row", doc).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out.drop("row")
-
-
-def _pass(docs: DataFrame, wins: DataFrame, doc: str, text: str) -> DataFrame:
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), doc, words(F.col(text)).alias("w"))
-    vocabulary = [r[0] for r in wins.select(F.explode("win").alias("word")).distinct().toLocalIterator()]
-    # How often the benchmark's words stand in all documents: the rarity order.
-    seen = rows.select(F.explode(F.filter("w", lambda x: x.isin(vocabulary))).alias("word")).groupBy("word").count()
-    counts = spark.createDataFrame([(x,) for x in vocabulary], "word string").join(seen, "word", "left").fillna(0, ["count"])
-    each = wins.select("win", "items", F.posexplode("win").alias("p", "word")).join(counts, "word")
-    rarest = F.row_number().over(Window.partitionBy("win").orderBy("count", "word", "p"))
-    prefix = each.withColumn("r", rarest).where("r = 1").select("word", F.col("p").alias("before"), "win", F.size("win").alias("n"), "items")
+        out = out.groupBy("row", doc).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    out = written(out, "found")
+    # A document's windows, then their items; both are few.
+    listed = out.select("row", F.explode("found.wid").alias("wid")).distinct().join(owners, "wid").groupBy("row").agg(F.collect_set("item").alias("items"))
+    hits = F.array_distinct(F.transform("found", lambda f: F.struct(f["start"].alias("start"), f["n"].alias("n"))))
+    return out.join(listed, "row", "left").select(doc, "n_words", hits.alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _pass(rows: DataFrame, wins: DataFrame, doc: str) -> DataFrame:
+    """(row, doc, n_words, found array<struct<start,n,wid>>) for one block of windows."""
+    rows = rows.select("row", doc, words(F.col("text")).alias("w"))
+    vocabulary = wins.select(F.explode("win").alias("word")).distinct()
+    # How often the block's words stand in all documents: the rarity order. The words of a block are a few MB.
+    seen = rows.select(F.explode("w").alias("word")).join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").count()
+    counts = vocabulary.join(seen, "word", "left").fillna(0, ["count"])
+    each = wins.select("wid", "win", F.posexplode("win").alias("p", "word")).join(counts, "word")
+    rarest = F.row_number().over(Window.partitionBy("wid").orderBy("count", "word", "p"))
+    prefix = each.withColumn("r", rarest).where("r = 1").select("word", F.col("p").alias("before"), "wid", "win", F.size("win").alias("n"))
     prefix = written(prefix, "prefixes")
+    # At most one word a window: the block bounds them.
     anchors = [r[0] for r in prefix.select("word").distinct().toLocalIterator()]
-
-    at = rows.select("row", doc, F.size("w").cast("long").alias("n_words"), "w", F.explode_outer(_within(F.col("w"), anchors)).alias("at"))
-    at = at.withColumn("word", F.when(F.col("at").isNotNull(), F.get("w", F.col("at") - 1)))
+    longest = wins.agg(F.coalesce(F.max(F.size("win")), F.lit(1))).first()[0]
+
+    # A position travels with the words around it, never with its whole text.
+    near = lambda i: F.slice("w", F.greatest(i - longest + 1, F.lit(1)), F.lit(2 * longest - 1))
+    places = F.transform(_within(F.col("w"), anchors), lambda i: F.struct(i.alias("at"), near(i).alias("near")))
+    at = rows.select("row", doc, F.size("w").cast("long").alias("n_words"), F.explode_outer(places).alias("place"))
+    at = at.select("row", doc, "n_words", F.col("place.at").alias("at"), F.col("place.near").alias("near"))
+    # The anchor's own place among the words around it.
+    own = F.least(F.col("at"), F.lit(longest))
+    joined = at.withColumn("word", F.get("near", own - 1)).join(F.broadcast(prefix), "word", "left")
     start = F.col("at") - F.col("before")
-    fits = (start >= 1) & (start + F.col("n") - 1 <= F.col("n_words"))
-    joined = at.join(F.broadcast(prefix), "word", "left").withColumn("start", F.when(fits, start))
-    equal = F.col("start").isNotNull() & (F.slice("w", F.coalesce("start", F.lit(1)), F.coalesce("n", F.lit(0))) == F.col("win"))
-    hit = joined.select("row", doc, "n_words", F.when(equal, F.struct(F.col("start"), F.col("n"))).alias("hit"), F.when(equal, F.col("items")).alias("items"))
-    return hit.groupBy("row", doc, "n_words").agg(F.collect_set("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    fits = F.coalesce((start >= 1) & (start + F.col("n") - 1 <= F.col("n_words")), F.lit(False))
+    equal = fits & (F.slice("near", F.when(fits, own - F.col("before")).otherwise(1), F.coalesce("n", F.lit(0))) == F.col("win"))
+    hit = joined.select("row", doc, "n_words", F.when(equal, F.struct(start.alias("start"), "n", "wid")).alias("hit"))
+    return hit.groupBy("row", doc, "n_words").agg(F.collect_set("hit").alias("found"))
 
 
 def covered(hits: Column) -> Column:

@@ -14,7 +14,7 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from .common import written
+from .common import ROW, with_rows, written
 
 #: Grid cells of a dimension are 2**BITS.
 BITS = 5
@@ -61,26 +61,32 @@ def _number(df: DataFrame, column: str) -> Column:
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """Add cell_0, cell_1, ...: equal-count bins over all rows; null is in bin 0."""
-    df = df.withColumns({f"num_{i}": _number(df, d) for i, d in enumerate(dims)})
+    """Add _cell_0, _cell_1, ...: equal-count bins over all rows; null is in bin 0."""
+    df = df.withColumns({f"_num_{i}": _number(df, d) for i, d in enumerate(dims)})
     shares = [i / 2**bits for i in range(1, 2**bits)]
-    cuts = df.agg(*[F.percentile_approx(f"num_{i}", shares, 10_000).alias(f"c{i}") for i in range(len(dims))]).first()
+    cuts = df.agg(*[F.percentile_approx(f"_num_{i}", shares, 10_000).alias(f"c{i}") for i in range(len(dims))]).first()
     cells = {}
     for i in range(len(dims)):
         edges = sorted(set(cuts[i] or []))
-        number = F.col(f"num_{i}")
+        number = F.col(f"_num_{i}")
         cell = sum((F.when(number >= e, 1).otherwise(0) for e in edges), F.lit(0))
-        cells[f"cell_{i}"] = F.when(F.col(f"num_{i}").isNull(), 0).otherwise(cell).cast("int")
-    return df.withColumns(cells).drop(*[f"num_{i}" for i in range(len(dims))])
+        cells[f"_cell_{i}"] = F.when(number.isNull(), 0).otherwise(cell).cast("int")
+    return df.withColumns(cells).drop(*[f"_num_{i}" for i in range(len(dims))])
 
 
 def shards(df: DataFrame, dims: list[str], order: list[str], n_shards: int = 8, bits: int = BITS) -> DataFrame:
     """Add hilbert long, shard int (0 to n_shards - 1) and slot long (0, 1, ... in a shard).
 
-    Row counts of shards differ by one at most. `order` breaks ties within a cell and also
-    splits a cell with very many rows over tasks. Nulls sort first; rows that are wholly
-    equal take neighbouring slots; with fewer rows than shards some shards are empty.
+    Row counts of shards differ by one at most. `order` breaks ties within a cell, and rows
+    that are equal in it too go by their row key, so a cell or value with very many rows is
+    split over tasks. Nulls sort first; with fewer rows than shards some shards are empty.
+    Texts don't travel unless they are columns of df; an empty table gives no rows. Columns
+    of df named hilbert, shard or slot, or like the inner ones (_place and so on), raise.
     """
+    names = [f"_cell_{i}" for i in range(len(dims))]
+    inner = {"hilbert", "shard", "slot", "_place", "_part", "_before", "_rows", "_position", *names, *(f"_num_{i}" for i in range(len(dims)))}
+    if clash := inner & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} are taken")
     if (bits * len(dims)) > 62:
         raise ValueError("bits * dimensions must be at most 62")
 
@@ -88,23 +94,23 @@ def shards(df: DataFrame, dims: list[str], order: list[str], n_shards: int = 8,
     def index(*cells: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.column_stack([c.to_numpy() for c in cells]), bits))
 
-    names = [f"cell_{i}" for i in range(len(dims))]
-    keyed = quantised(df, dims, bits).withColumn("hilbert", index(*names))
+    given = df.columns
+    keyed = quantised(with_rows(df), dims, bits).withColumn("hilbert", index(*names))
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The written table fixes which row got which place: the range bounds come from a sample.
-    ranged = keyed.repartitionByRange(n, "hilbert", *order).sortWithinPartitions("hilbert", *order)
-    placed = written(ranged.withColumn("place", F.monotonically_increasing_id()), "hilbert")
-    part = F.shiftright("place", 33)
-    sizes = placed.groupBy(part.alias("part")).count()
+    ranged = keyed.repartitionByRange(n, "hilbert", *order, ROW).sortWithinPartitions("hilbert", *order, ROW)
+    placed = written(ranged.withColumn("_place", F.monotonically_increasing_id()), "hilbert")
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    sizes = placed.groupBy("_part").count()
     # One row for each task that wrote: at most as many as shuffle partitions.
-    total = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", total.alias("before"), F.sum("count").over(Window.partitionBy()).alias("rows"))
-    rank = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    out = placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("position", rank)
-    out = out.withColumn("shard", F.expr(f"cast(position * {n_shards} div rows as int)"))
-    first = F.expr(f"(shard * rows + {n_shards - 1}) div {n_shards}")
-    return out.withColumn("slot", F.col("position") - first).drop("part", "before", "rows", "place", "position", *names)
+    total = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", total.alias("_before"), F.sum("count").over(Window.partitionBy()).alias("_rows"))
+    rank = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    out = placed.join(F.broadcast(starts), "_part").withColumn("_position", rank)
+    out = out.withColumn("shard", F.expr(f"cast(_position * {n_shards} div _rows as int)"))
+    first = F.expr(f"(shard * _rows + {n_shards - 1}) div {n_shards}")
+    return out.withColumn("slot", F.col("_position") - first).select(*given, "hilbert", "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
@@ -114,8 +120,9 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """law 'rows': counts at most one apart."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = with_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     keys = docs.select(
+        ROW,
         "doc_id",
         "lang",
         "source",

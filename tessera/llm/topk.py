@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from .common import written
 
-#: Queries of one block: their vectors and cutoffs are what a pass broadcasts.
-BLOCK = 2048
-#: Rows that are scored against a block at once.
-ROWS = 512
+#: Bytes of the query vectors of one block, which a pass sends to all tasks; far more time goes into a pass's products than into its reading.
+BLOCK_BYTES = 16 << 20
+#: Rows and queries that are scored against each other at once.
+ROWS, QUERIES = 512, 2048
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -39,10 +39,12 @@ def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
 
 
 def _products(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Exact integer products; in double where every partial sum is below 2**53."""
-    most = float(rows.shape[1]) * float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0))
+    """Exact integer products; in double where every partial sum is below 2**53. Sums that a long might not hold raise."""
+    most = rows.shape[1] * int(np.abs(rows).max(initial=0)) * int(np.abs(queries).max(initial=0))
     if most < 2**53:
         return (rows.astype(np.float64) @ queries.astype(np.float64).T).astype(np.int64)
+    if most >= 2**63:
+        raise ValueError("the scores of these vectors may exceed a 64-bit integer")
     return rows @ queries.T
 
 
@@ -55,8 +57,10 @@ def _blocks(frames: Iterator[pd.DataFrame], by_length: dict) -> Iterator[tuple[n
                 continue
             own = frame[lengths == length]
             ids, rows = own["id"].to_numpy(), np.stack([np.asarray(v, np.int64) for v in own["vec"]]).reshape(len(own), length)
+            qid, q = by_length[length]
             for at in range(0, len(ids), ROWS):
-                yield ids[at : at + ROWS], rows[at : at + ROWS], *by_length[length]
+                for b in range(0, len(qid), QUERIES):
+                    yield ids[at : at + ROWS], rows[at : at + ROWS], qid[b : b + QUERIES], q[b : b + QUERIES]
 
 
 class _Best:
@@ -82,18 +86,17 @@ def _phase1(by_length, k, lists):
     def run(frames):
         best = _Best(k)
         for ids, rows, qid, q in _blocks(frames, by_length):
-            full = _products(rows, q)
             full_ok = ids[:, None] != qid[None, :]
-            chosen = np.zeros(full.shape, bool)
+            chosen = np.zeros(full_ok.shape, bool)
             n = min(k, len(ids))
             for part in np.array_split(np.arange(rows.shape[1]), lists):
                 local = np.where(full_ok, _products(rows[:, part], q[:, part]), np.iinfo(np.int64).min)
                 np.put_along_axis(chosen, np.argpartition(-local, n - 1, axis=0)[:n], True, axis=0)
             r, c = np.nonzero(chosen & full_ok)
             if len(r):
-                best.add(qid[c], ids[r], full[r, c])
-        if best.kept:
-            yield pd.DataFrame({"query_id": list(best.kept), "scores": [s.tolist() for s, _ in best.kept.values()]})
+                best.add(qid[c], ids[r], np.einsum("ij,ij->i", rows[r], q[c]))
+        for query, (s, _) in best.kept.items():
+            yield pd.DataFrame({"query_id": query, "score": s})
 
     return run
 
@@ -102,11 +105,12 @@ def _phase23(by_length, cutoffs, k, lists):
     def run(frames):
         best = _Best(k)
         for ids, rows, qid, q in _blocks(frames, by_length):
-            cut = np.array([cutoffs.get(int(x), -np.inf) for x in qid])
+            cut = np.array([cutoffs.get(int(x), np.iinfo(np.int64).min) for x in qid], np.int64)
             parts = np.array_split(np.arange(rows.shape[1]), lists)
             reached = np.zeros((len(ids), len(qid)), bool)
             for part in parts:
-                reached |= _products(rows[:, part], q[:, part]) >= (cut / len(parts))[None, :] - 1
+                # Whole numbers: a sum of at least cut has a part of at least its share, rounded down.
+                reached |= _products(rows[:, part], q[:, part]) >= (cut // len(parts))[None, :]
             r, c = np.nonzero(reached & (ids[:, None] != qid[None, :]))
             score = np.einsum("ij,ij->i", rows[r], q[c])
             keep = score >= cut[c]
@@ -118,18 +122,22 @@ def _phase23(by_length, cutoffs, k, lists):
     return run
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 4, block: int = BLOCK) -> DataFrame:
+def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 4, block: int | None = None) -> DataFrame:
     """The k best rows of `vectors` for each row of `queries`, both (id long, vec array<long>).
 
     Returns query_id, rank (from 1), vec_id, score. A row with the query's own id is no
     candidate. Vectors of another length than the query's don't take part. Rows that
     repeat an id are separate candidates; of queries that repeat an id the smallest vector counts.
-    Empty inputs give an empty result; fewer than k candidates are all returned.
+    Empty inputs give an empty result; fewer than k candidates are all returned. `block`
+    is the most queries of a pass (by default so many that their vectors have BLOCK_BYTES).
+    Vectors whose products may exceed a long raise an error. Other columns don't matter.
     """
     spark = vectors.sparkSession
     queries = written(queries.groupBy("id").agg(F.min("vec").alias("vec")), "topk-queries")
-    total = queries.count()
+    total, longest = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    block = block or max(1, BLOCK_BYTES // (8 * max(longest, 1)))
     n_blocks = max(1, -(-2 * total // block)) if total > block else 1
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"))
     results = []
     for b in range(n_blocks):
         mine = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)
@@ -137,9 +145,10 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 4, bl
         for row in mine.toLocalIterator():
             by_length.setdefault(len(row["vec"]), []).append((row["id"], row["vec"]))
         by_length = {n: (np.array([x[0] for x in v]), np.array([x[1] for x in v], np.int64).reshape(len(v), n)) for n, v in by_length.items()}
-        gathered = vectors.mapInPandas(_phase1(by_length, k, lists), "query_id long, scores array<long>")
-        cut = gathered.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), 1, k).alias("best")).where(F.size("best") == k)
-        cutoffs = {row[0]: row[1] for row in cut.select("query_id", F.element_at("best", k)).toLocalIterator()}
+        # Each task sends the k best scores of a query; only ranks up to k meet in one task.
+        gathered = vectors.mapInPandas(_phase1(by_length, k, lists), "query_id long, score long")
+        safe = gathered.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= k).groupBy("query_id").agg(F.min("score").alias("cut"), F.count("*").alias("n")).where(F.col("n") == k)
+        cutoffs = {row[0]: row[1] for row in safe.toLocalIterator()}
         found = vectors.mapInPandas(_phase23(by_length, cutoffs, k, lists), "query_id long, vec_id long, score long")
         results.append(found if n_blocks == 1 else written(found, "topk-block"))
     found = results[0]

@@ -143,6 +143,48 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.contained(docs, items.where("1 = 0")).where("size(hits) > 0").count() == 0
 
 
+def test_decontaminate_in_blocks_and_long_texts(spark):
+    """Several blocks of windows give what one gives; a very long text is read whole."""
+    rng = np.random.default_rng(4)
+    pool = [f"v{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(pool, n)) for n in (5, 40, 300, 0)] + [None, " ".join(rng.choice(pool, 60_000))]
+    long = texts[-1].split()
+    items = [(1, " ".join(long[59_000:59_030])), (2, " ".join(long[7:12])), (3, " ".join(texts[2].split()[100:125])), (3, "zz yy"), (4, " ".join(texts[1].split()[:12]))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def brute(text):
+        w, hit, found = (text or "").split(), set(), set()
+        for item, t in items:
+            x = t.split()
+            for win in {tuple(x[i : i + 10]) for i in range(max(1, len(x) - 9))}:
+                for s in range(len(w) - len(win) + 1):
+                    if w[s] == win[0] and tuple(w[s : s + len(win)]) == win:
+                        hit |= set(range(s, s + len(win)))
+                        found.add(item)
+        return len(w), len(hit), len(found)
+
+    want = {i: brute(t) for i, t in enumerate(texts)}
+    for block in (50_000, 7):
+        got = decontaminate.report(decontaminate.contained(docs, bench, block=block)).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in got} == want
+
+
+def test_topk_in_blocks_and_bounds(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-5, 6, 8).tolist()) for i in range(300)]
+    v = spark.createDataFrame(rows, "id long, vec array<long>").repartition(3)
+    one = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.topk(v, v.where("id % 10 = 0")).collect()}
+    assert one == {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.topk(v, v.where("id % 10 = 0"), block=7).collect()} and len(one) == 300
+    big = np.array([[2**31, 2**31]])
+    assert topk._products(big, np.array([[2**20, 3]])).tolist() == [[2**51 + 3 * 2**31]]
+    with pytest.raises(ValueError):
+        topk._products(big, big)
+    # Scores beyond 2**53 are told apart to the last digit.
+    large = spark.createDataFrame([(0, [2**30, 1]), *[(i, [2**24, i]) for i in range(1, 30)]], "id long, vec array<long>")
+    assert [r.vec_id for r in topk.topk(large, large.where("id = 0"), k=3).orderBy("rank").collect()] == [29, 28, 27]
+
+
 def test_topk(spark):
     rows = [(i, [float((i * j) % 7) / 7 - 0.5 for j in range(1, 6)]) for i in range(250)] + [(300, None), (301, [None, 1.0, 1.0, 1.0, 1.0]), (302, [float("nan")] * 5), (None, [1.0] * 5), (400, [1.0]), (7, [0.5] * 5)]
     v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
@@ -166,6 +208,25 @@ def test_hilbert(docs, none):
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
+def test_hilbert_places_against_brute_force(spark):
+    """Cells by cut points, the curve's index and the exact rank of every row, equal rows included; clashing names raise."""
+    rng = np.random.default_rng(9)
+    rows = [(i % 70, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 8, (90, 2)))] + [(5, 3, 3)] * 12
+    df = spark.createDataFrame(rows, "doc_id long, a long, b long")
+    got = hilbert_shards.shards(df, ["a", "b"], ["doc_id"], 4, bits=3).collect()
+    cells = {}
+    for r in hilbert_shards.quantised(df, ["a", "b"], 3).collect():
+        cells[r.a, r.b] = (r["_cell_0"], r["_cell_1"])
+    index = {k: int(hilbert_shards.hilbert_index(np.array([v]), 3)[0]) for k, v in cells.items()}
+    order = sorted((index[a, b], i, a, b) for i, a, b in rows)
+    n = len(order)
+    first = [-(-s * n // 4) for s in range(4)]
+    want = Counter((i, a, b, p * 4 // n, p - first[p * 4 // n]) for p, (_, i, a, b) in enumerate(order))
+    assert Counter((r.doc_id, r.a, r.b, r.shard, r.slot) for r in got) == want
+    with pytest.raises(ValueError):
+        hilbert_shards.shards(df.withColumnRenamed("b", "slot"), ["a"], ["doc_id"])
+
+
 def test_licenses(spark, docs):
     assert {tuple(r.licenses) for r in licenses.recognise(docs).collect()} == {(), ("MIT",)}
     two = spark.createDataFrame([("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",)], "text string")
