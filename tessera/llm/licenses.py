@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules.
 
 Texts are cut into sentences, which may be wrapped over lines, normalised and mapped to
-known licence-sentence identifiers by a small fixed table. A rule is an ordered sequence of
+known licence-sentence identifiers by a small fixed table (literals of the plan). A rule is an ordered sequence of
 identifiers; a document has the licence of a rule whose identifiers are met one after
 the other in the sequence of its recognised sentences.
 """
@@ -29,10 +29,44 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "ccbync4-ref": "licensed under cc by nc 4 0",
     "ccby4-ref": "licensed under cc by 4 0",
+    "bsd-neither": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "apache2-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "apache2-grant": "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
+    "apache2-marks": "this license does not grant permission to use the trade names trademarks service marks or product names of the licensor except as required for reasonable and customary use in describing the origin of the work and reproducing the content of the notice file",
+    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl3-preamble": "the gnu general public license is a free copyleft license for software and other kinds of works",
+    "agpl3-preamble": "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",
+    "gpl3-verbatim": "you may convey verbatim copies of the program s source code as you receive it in any medium provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice keep intact all notices stating that this license and any non permissive terms added in accord with section 7 apply to the code keep intact all notices of the absence of any warranty and give all recipients a copy of this license along with the program",
+    "gpl2-verbatim": "you may copy and distribute verbatim copies of the program s source code as you receive it in any medium provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty keep intact all the notices that refer to this license and to the absence of any warranty and give any other recipients of the program a copy of this license along with the program",
+    "lgpl21-verbatim": "you may copy and distribute verbatim copies of the library s complete source code as you receive it in any medium provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty keep intact all the notices that refer to this license and to the absence of any warranty and distribute a copy of this license along with the library",
+    "lgpl3-incorporates": "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
+    "mpl2-form": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl2-warranty": "covered software is provided under this license on an as is basis without warranty of any kind either expressed implied or statutory including without limitation warranties that the covered software is free of defects merchantable fit for a particular purpose or non infringing",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "cc0-deed": "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law",
+    "ccby4-work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "ccbysa4-work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "ccbync4-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "ccbynd4-work": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "ccbyncsa4-work": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "ccbyncnd4-work": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
 }
 
-# The sentences of real licence texts that go on after a sentence above, by the same identifiers.
+# Other wordings of sentences above in real licence texts, by the same identifiers.
 FULL = {
+    "bsd-neither": "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
@@ -50,9 +84,44 @@ RULES = [
     ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("CC-BY-NC-4.0", ["ccbync4-ref"]),
     ("CC-BY-4.0", ["ccby4-ref"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-neither"]),
+    ("ISC", ["isc-grant", "isc-warranty"]),
+    ("Apache-2.0", ["apache2-header", "apache2-copy"]),
+    ("Apache-2.0", ["apache2-grant", "apache2-marks"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "lgpl-hope"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope"]),
+    ("GPL-3.0", ["gpl3-preamble", "gpl3-verbatim"]),
+    ("AGPL-3.0", ["agpl3-preamble", "gpl3-verbatim"]),
+    ("GPL-2.0", ["gpl2-verbatim"]),
+    ("LGPL-2.1", ["lgpl21-verbatim"]),
+    ("LGPL-3.0", ["lgpl3-incorporates"]),
+    ("MPL-2.0", ["mpl2-form", "mpl2-copy"]),
+    ("MPL-2.0", ["mpl2-warranty"]),
+    ("Unlicense", ["unlicense-free", "unlicense-anyone"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("CC0-1.0", ["cc0-deed"]),
+    ("CC-BY-4.0", ["ccby4-work"]),
+    ("CC-BY-SA-4.0", ["ccbysa4-work"]),
+    ("CC-BY-NC-4.0", ["ccbync4-work"]),
+    ("CC-BY-ND-4.0", ["ccbynd4-work"]),
+    ("CC-BY-NC-SA-4.0", ["ccbyncsa4-work"]),
+    ("CC-BY-NC-ND-4.0", ["ccbyncnd4-work"]),
 ]
 
 
+def _chain(ids: list[str]) -> str:
+    return ">" + ">".join(ids) + ">"
+
+
+def _longer(rules: list[tuple[str, list[str]]], ids: list[str]) -> str | None:
+    """The chain of the longest rule that begins with these ids and goes on; its occurrences are that rule's only."""
+    found = [r for _, r in rules if len(r) > len(ids) and r[: len(ids)] == ids]
+    return _chain(max(found, key=len)) if found else None
+
+
 def normalised(sentence: Column) -> Column:
     """Lower-case, with runs of other characters than ASCII letters and digits as one space."""
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
@@ -76,7 +145,7 @@ def _known(part: Column, known: list[str], cuts: tuple[str, ...]) -> Column:
 def recognise(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, text: str = "text") -> DataFrame:
     """Add licenses array<string> (sorted, distinct) and license_sentences (ids in order) to every row.
 
-    Null or empty text has none; rows are never merged, so repeated rows keep their own
+    Null or empty text and an empty table have none, texts of any length are read whole; rows are never merged, so repeated rows keep their own
     result. A sentence wrapped over lines is taken whole where it is known, else after a
     colon at a line's end, else by lines. Columns of docs with these names are replaced.
     """
@@ -88,7 +157,11 @@ def recognise(docs: DataFrame, known: dict[str, str] | None = None, rules: list[
     ids = F.transform(hit, lambda s: F.element_at(by_sentence, s))
     out = docs.drop("licenses", "license_sentences").withColumn("license_sentences", ids)
     chain = F.concat(F.lit(">"), F.array_join("license_sentences", ">"), F.lit(">"))
-    found = [F.when(F.contains(chain, F.lit(">" + ">".join(seq) + ">")), F.lit(name)) for name, seq in rules]
+    found = []
+    for name, seq in rules:
+        longer = _longer(rules, seq)
+        left = F.replace(chain, F.lit(longer), F.lit(">")) if longer else chain
+        found.append(F.when(F.contains(left, F.lit(_chain(seq))), F.lit(name)))
     return out.withColumn("licenses", F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))))
 
 
@@ -98,10 +171,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = ", ".join(f"('{v}', '{k}')" for k, v in SENTENCES.items())
-    rules = ", ".join(f"('{name}', '>{'>'.join(seq)}>')" for name, seq in RULES)
+    known = ", ".join(f"('{v}', '{k}')" for k, v in [*SENTENCES.items(), *FULL.items()])
+    rules = ", ".join(f"('{name}', '{_chain(seq)}', '{_longer(RULES, seq) or '|'}')" for name, seq in RULES)
     return rf"""
-WITH known(s, id) AS (VALUES {known}), rules(license, chain) AS (VALUES {rules}),
+WITH known(s, id) AS (VALUES {known}), rules(license, chain, longer) AS (VALUES {rules}),
 d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
 l AS (SELECT k, generate_subscripts(a, 1) AS i, unnest(a) AS line FROM (SELECT k, string_split_regex(coalesce(text, ''), '\n+') AS a FROM d)),
 s AS (SELECT k, i, generate_subscripts(a, 1) AS j, unnest(a) AS s
@@ -109,7 +182,7 @@ s AS (SELECT k, i, generate_subscripts(a, 1) AS j, unnest(a) AS s
 h AS (SELECT k, count(*) AS n, string_agg(id, ',' ORDER BY i, j) AS ids
       FROM s JOIN known ON trim(regexp_replace(lower(s.s), '[^a-z0-9]+', ' ', 'g')) = known.s GROUP BY k),
 r AS (SELECT k, string_agg(license, ',' ORDER BY license) AS licenses
-      FROM (SELECT DISTINCT k, license FROM h JOIN rules ON contains('>' || replace(ids, ',', '>') || '>', chain)) GROUP BY k)
+      FROM (SELECT DISTINCT k, license FROM h JOIN rules ON contains(replace('>' || replace(ids, ',', '>') || '>', longer, '>'), chain)) GROUP BY k)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentences, coalesce(licenses, '') AS licenses
 FROM d LEFT JOIN h USING (k) LEFT JOIN r USING (k)
 """

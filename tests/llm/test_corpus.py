@@ -458,12 +458,42 @@ BSD = """Redistribution and use in source and binary forms, with or without modi
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 
 
+BSD3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY DAMAGES."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+AGPL = GPL.replace("GNU General Public License as", "GNU Affero General Public License as")
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+GPL3_TEXT = """The GNU General Public License is a free, copyleft license for software and other kinds of works.
+
+4. Conveying Verbatim Copies.
+
+You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice; keep intact all notices stating that this License and any non-permissive terms added in accord with section 7 apply to the code; keep intact all notices of the absence of any warranty; and give all recipients a copy of this License along with the Program."""
+
+
+def test_licenses_empty_and_long(spark, none):
+    assert licenses.recognise(none).count() == 0
+    long = "word " * 300_000 + ".\n\nReleased under the MIT License.\n" + "more " * 10
+    got = licenses.recognise(spark.createDataFrame([(long, 1), (None, 2)], "text string, licenses int")).collect()
+    assert [r.licenses for r in got] == [["MIT"], []]
+
+
 def test_licenses_of_real_texts(spark):
     """Whole licence texts: unwrapped, wrapped at several widths, without blank lines, as comments and with CRLF."""
     import textwrap
 
     rows = []
-    for name, text in (("MIT", MIT), ("GPL-3.0-or-later", GPL), ("BSD-2-Clause", BSD)):
+    for name, text in (("MIT", MIT), ("GPL-3.0-or-later", GPL), ("BSD-2-Clause", BSD), ("BSD-3-Clause", BSD3), ("ISC", ISC), ("Apache-2.0", APACHE), ("MPL-2.0", MPL), ("AGPL-3.0-or-later", AGPL), ("Unlicense", UNLICENSE), ("GPL-3.0", GPL3_TEXT)):
         rows += [(name, text), (name, text.replace("\n\n", "\n"))]
         for width in (60, 70, 72, 78, 80):
             wrapped = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
