@@ -22,10 +22,10 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from .common import dropped, slices, written
+from .common import dropped, slices, utf8, written
 
-CLASSES, PER_CLASS = 64, 64
-EMBED, HIDDEN = 16, 32
+CLASSES, PER_CLASS = 32, 64
+EMBED, HIDDEN = 16, 16
 #: Steps of a window of truncated backpropagation and of scoring, and lanes that run side by side.
 WINDOW, SCORE_WINDOW, LANES = 16, 32, 512
 #: Every training row belongs to one round; after each the tasks' copies are averaged.
@@ -182,7 +182,12 @@ class Gru:
         """One step of truncated backpropagation over a window (steps x lanes, all of them in use)."""
         steps, lanes = ids.shape
         held = tuple(np.empty((steps, lanes, n), np.float32) for n in (HIDDEN, 2 * HIDDEN, HIDDEN))
-        slots, at = np.unique(ids.ravel(), return_inverse=True)
+        # The window's distinct slots, and each input's place among them.
+        flat_ids = ids.ravel()
+        slots = np.flatnonzero(np.bincount(flat_ids, minlength=CLASSES * PER_CLASS))
+        place = np.zeros(CLASSES * PER_CLASS, np.uint16)
+        place[slots] = np.arange(len(slots))
+        at = place[flat_ids]
         x = (self.E[slots] @ self.W + self.b)[at].reshape(steps, lanes, 3 * HIDDEN)
         hs, last = self.states(x, keep, h, held)
         grad: dict = {}
@@ -204,7 +209,7 @@ class Gru:
         h0 = held[0].reshape(-1, HIDDEN)
         grad["U"], grad["V"] = h0.T @ flat[:, : 2 * HIDDEN], (held[1].reshape(-1, 2 * HIDDEN)[:, HIDDEN:] * h0).T @ flat[:, 2 * HIDDEN :]
         # Rows of equal input slots are summed before they meet the weights.
-        order = np.argsort(at.astype(np.uint16), kind="stable")
+        order = np.argsort(at, kind="stable")
         sums = np.add.reduceat(flat[order], np.searchsorted(at[order], np.arange(len(slots))), axis=0)
         grad["W"], grad["b"] = self.E[slots].T @ sums, sums.sum(0)
         grad["E"] = np.zeros_like(self.E)
@@ -250,13 +255,13 @@ def lanes(sizes: np.ndarray, n_lanes: int) -> tuple[np.ndarray, np.ndarray, np.n
     return renamed[lane], start, total[order]
 
 
-def _stream(slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Targets, inputs and starts of documents one after the other."""
-    target = np.concatenate(slots) if slots else np.zeros(0, np.int32)
+def _stream(target: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and starts of documents one after the other: the token before, END at a document's start."""
     fresh = np.zeros(len(target), bool)
-    fresh[np.cumsum([0, *map(len, slots[:-1])])[: len(slots)]] = True
-    before = np.concatenate([[END], target[:-1]]).astype(np.int32)
-    return target, np.where(fresh, END, before), fresh
+    fresh[np.cumsum(sizes) - sizes] = True
+    before = np.concatenate([[END], target[:-1]]).astype(np.int16)
+    before[fresh] = END
+    return before, fresh
 
 
 class Words:
@@ -265,7 +270,7 @@ class Words:
     def __init__(self, common: list[tuple[str, int]]):
         self.index = {t.encode(): i for i, (t, _) in enumerate(common)}
         n = np.array([c for _, c in common], np.float64)
-        self.slot = np.full(len(common) + 1, OTHER, np.int32)
+        self.slot = np.full(len(common) + 1, OTHER, np.int16)
         in_net = min(len(common), (CLASSES - 1) * PER_CLASS - 1)
         self.slot[:in_net] = END + 1 + np.arange(in_net)
         self.log = np.append(np.log10(n + 0.1), 0.0)
@@ -276,26 +281,66 @@ class Words:
         return np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
 
 
-def train(docs: DataFrame, words: Words, slot_counts: np.ndarray, text: str = "text") -> np.ndarray:
-    """Average the tasks' copies after each round; every row takes part in one round.
+def encoded(docs: DataFrame, words: Words, log_other: float, training: Column, doc: str, text: str) -> DataFrame:
+    """Written: row, doc_id, learn, n_tokens, n_common, common_log, other_log, rare array<string>, slots binary (16 bits each).
 
-    A task joins its documents to one stream and cuts it into equal lanes; what doesn't
-    fill a window of all lanes waits for the next documents, and at the end of the task it
-    is read in fewer lanes.
+    Texts are cut into words once; training and scoring read the slots.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for part in slices(batch, text):
+                found = [tokens(t) for t in part.column(text).to_pylist()]
+                size = np.array([len(w) for w in found])
+                flat = [t for w in found for t in w]
+                index = known.find(flat)
+                slots, ends = known.slot[index], np.cumsum(size)
+                of = np.repeat(np.arange(len(size)), size)
+                total = lambda weights: np.bincount(of, weights, len(size)).astype(np.float64)
+                logs, rare = known.log[index], index < 0
+                at = np.flatnonzero(rare)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(total(rare))]).astype(np.int32)), pa.array([flat[i] for i in at], pa.binary()).cast(pa.string()))
+                data = np.insert(slots, ends, END).astype(np.int16)
+                cuts = np.concatenate([[0], 2 * (ends + np.arange(1, len(size) + 1))]).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in ("row", "doc_id", "learn")], pa.array(size + 1), pa.array(total(~rare).astype(np.int64)), pa.array(total(logs)), pa.array(total(np.where(slots == OTHER, logs - log_other, 0))), lists, binary],
+                    names=["row", "doc_id", "learn", "n_tokens", "n_common", "common_log", "other_log", "rare", "slots"],
+                )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("learn"), text)
+    # Written once: the row numbers of later joins are those of the written rows.
+    return written(rows.mapInArrow(run, "row long, doc_id long, learn boolean, n_tokens long, n_common long, common_log double, other_log double, rare array<string>, slots binary"), "encoded")
+
+
+def _sequences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All slots of a batch, and the number of each row."""
+    data, offsets = utf8(part.column("slots"))
+    return np.frombuffer(data.tobytes(), np.int16), np.diff(offsets) // 2
+
+
+def train(rows: DataFrame, slot_counts: np.ndarray) -> np.ndarray:
+    """Average the tasks' copies after each round; every row (row, slots) takes part in one round.
+
+    A task joins its documents to one stream and cuts it into equal lanes; documents wait
+    until they fill many windows of all lanes, and at the end of the task the rest is read
+    in fewer lanes.
     """
     flat = Gru.start(slot_counts)
-    sc = docs.sparkSession.sparkContext
+    sc = rows.sparkSession.sparkContext
     for turn in range(ROUNDS):
-        shared = sc.broadcast((flat, words))
+        shared = sc.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            net, known = Gru(shared.value[0].copy()), shared.value[1]
-            adam, seen = {"t": 0}, 0
+            net, adam, seen = Gru(shared.value.copy()), {"t": 0}, 0
 
-            def read(slots: list[np.ndarray]) -> int:
-                target, before, fresh = _stream(slots)
+            def read(parts: list[tuple[np.ndarray, np.ndarray]]) -> int:
+                target, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+                before, fresh = _stream(target, sizes)
                 n_lanes = min(LANES, max(1, len(target) // WINDOW))
                 steps = len(target) // n_lanes
                 used = steps * n_lanes
@@ -307,13 +352,11 @@ def train(docs: DataFrame, words: Words, slot_counts: np.ndarray, text: str = "t
                     h = net.learn(ids[w], keep[w], goal[w], h, adam)
                 return used
 
-            held: list[np.ndarray] = []
-            size = 0
+            held, size = [], 0
             for batch in batches:
-                for part in slices(batch, text, 1 << 21):
-                    for t in part.column(text).to_pylist():
-                        held.append(np.append(known.slot[known.find(tokens(t))], np.int32(END)))
-                        size += len(held[-1])
+                for part in slices(batch, "slots", 1 << 20):
+                    held.append(_sequences(part))
+                    size += len(held[-1][0])
                     if size >= 32 * LANES * WINDOW:
                         seen += read(held)
                         held, size = [], 0
@@ -329,24 +372,24 @@ def train(docs: DataFrame, words: Words, slot_counts: np.ndarray, text: str = "t
             return pd.DataFrame({"block": frame["block"][:1], "part": frame["part"][:1] // FAN_IN, "p": [np.sum(np.stack(frame["p"]), 0)], "seen": [frame["seen"].sum()]})
 
         schema = "block int, part int, p array<float>, seen double"
-        # The empty text is hashed for null, so that no row is left out.
-        mine = docs.where(F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(ROUNDS)) == turn)
-        summed = written(mine.select(text).mapInArrow(run, schema), "copies")
+        mine = rows.where(F.pmod("row", F.lit(ROUNDS)) == turn).select("slots")
+        summed = written(mine.mapInArrow(run, schema), "copies")
         while summed.agg(F.max("part")).first()[0]:
             more = written(summed.groupBy("block", F.expr(f"part div {FAN_IN}").alias("group")).applyInPandas(add, schema), "copies")
             dropped(summed)
             summed = more
-        rows = sorted(summed.collect(), key=lambda r: r["block"])  # one copy of the model, about 1 MB
+        blocks = sorted(summed.collect(), key=lambda r: r["block"])  # one copy of the model, below 1 MB
         dropped(summed)
-        if rows:
-            flat = np.concatenate([np.array(r["p"], np.float64) / r["seen"] for r in rows]).astype(np.float32)
+        if blocks:
+            flat = np.concatenate([np.array(r["p"], np.float64) / r["seen"] for r in blocks]).astype(np.float32)
     return flat
 
 
 class Model:
-    """What scoring needs besides the table of counts."""
+    """Counts, words, encoded documents and the fitted network."""
 
-    def __init__(self, learn: DataFrame, text: str):
+    def __init__(self, docs: DataFrame, training: Column, doc: str = "doc_id", text: str = "text"):
+        learn = docs.where(training)
         self.counts = written(word_counts(learn, text), "counts")
         self.n_docs = learn.count()
         types, total = self.counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -361,21 +404,21 @@ class Model:
         self.log_other = float(np.log10(others + 0.1 * (types - in_net) + 0.1))
         self.log_base = float(np.log10(self.n + 0.1 * (types + (self.n_docs > 0) + 1)))
         self.log_end = float(np.log10(self.n_docs + 0.1))
-        self.flat = train(learn, self.words, slot_counts, text)
+        self.rows = encoded(docs, self.words, self.log_other, training, doc, text)
+        self.flat = train(self.rows.where("learn").select("row", "slots"), slot_counts)
 
 
-def log_likelihood(net: Gru, slots: list[np.ndarray]) -> np.ndarray:
+def log_likelihood(net: Gru, target: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Natural log probability of each sequence of slots, its state carried through the whole of it."""
-    sizes = np.array([len(s) for s in slots])
     lane, start, length = lanes(sizes, LANES)
-    target, before, fresh = _stream(slots)
-    doc = np.repeat(np.arange(len(slots)), sizes)
+    before, fresh = _stream(target, sizes)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     step = np.arange(len(target)) - np.repeat(np.cumsum(sizes) - sizes - start, sizes)
     shape = (int(length[0]) if len(length) else 0, len(length))
-    goal, ids, of, keep = np.zeros(shape, np.int32), np.full(shape, END, np.int32), np.full(shape, -1, np.int32), np.ones(shape, np.float32)
+    goal, ids, of, keep = np.zeros(shape, np.int16), np.full(shape, END, np.int16), np.full(shape, -1, np.int32), np.ones(shape, np.float32)
     at = (step, lane[doc])
     goal[at], ids[at], of[at], keep[at] = target, before, doc, ~fresh
-    table, sums = net.table(), np.zeros(len(slots))
+    table, sums = net.table(), np.zeros(len(sizes))
     h = np.zeros((shape[1], HIDDEN), np.float32)
     for a in range(0, shape[0], SCORE_WINDOW):
         w, live = slice(a, a + SCORE_WINDOW), int(np.searchsorted(-length, -a, "left"))
@@ -394,50 +437,32 @@ def score(docs: DataFrame, training: Column, doc: str = "doc_id", text: str = "t
     and ids keep their own scores; other columns don't matter. Without any training text
     all tokens are unseen and the network is the untrained one. An empty table gives no rows.
     """
-    model = Model(docs.where(training), text)
-    return scored(docs, model, doc, text)
+    return scored(Model(docs, training, doc, text))
 
 
-def scored(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same with a fitted model."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.flat, model.words, model.log_other))
+def scored(model: Model) -> DataFrame:
+    """The scores of the model's rows."""
+    shared = model.rows.sparkSession.sparkContext.broadcast(model.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, known, log_other = Gru(shared.value[0]), shared.value[1], shared.value[2]
+        net = Gru(shared.value)
         for batch in batches:
-            for part in slices(batch, text, 8 << 20):
-                words = [tokens(t) for t in part.column(text).to_pylist()]
-                size = np.array([len(w) for w in words])
-                flat = [t for w in words for t in w]
-                index = known.find(flat)
-                ends = np.cumsum(size)
-                slots = known.slot[index]
-                net_log = log_likelihood(net, [np.append(s, np.int32(END)) for s in np.split(slots, ends[:-1])]) / np.log(10)
-                of = np.repeat(np.arange(len(size)), size)
-                total = lambda weights: np.bincount(of, weights, len(size)).astype(np.float64)
-                logs, rare = known.log[index], index < 0
-                other = slots == OTHER
-                net_log += total(np.where(other, logs - log_other, 0))
-                at = np.flatnonzero(rare)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(total(rare))]).astype(np.int32)), pa.array([flat[i] for i in at], pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column(doc), pa.array(size + 1), pa.array(total(~rare).astype(np.int64)), pa.array(total(logs)), pa.array(net_log), lists],
-                    names=["row", "doc_id", "n_tokens", "n_common", "common_log", "net_log", "rare"],
-                )
+            for part in slices(batch, "slots", 3 << 20):
+                net_log = log_likelihood(net, *_sequences(part)) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(net_log)], names=[*keep, "net_log"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias(doc), text)
-    # Written once: the row numbers of the join below are those of the written rows.
-    out = written(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_common long, common_log double, net_log double, rare array<string>"), "scored")
-    rare = out.select("row", F.explode("rare").alias("token")).join(model.counts, "token", "left")
+    keep = ["row", "doc_id", "n_tokens", "n_common", "common_log", "other_log"]
+    out = model.rows.select(*keep, "slots").mapInArrow(run, "row long, doc_id long, n_tokens long, n_common long, common_log double, other_log double, net_log double")
+    rare = model.rows.select("row", F.explode("rare").alias("token")).join(model.counts, "token", "left")
     by_row = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("rare_log"), F.count("n").alias("n_rare"))
-    out = out.drop("rare").join(by_row, "row", "left").fillna(0, ["rare_log", "n_rare"])
+    out = out.join(by_row, "row", "left").fillna(0, ["rare_log", "n_rare"])
     return out.select(
         "doc_id",
         "n_tokens",
         (F.col("n_common") + F.col("n_rare") + F.lit(1 if model.n_docs else 0)).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("common_log") + F.col("rare_log") + F.lit(model.log_end) - F.col("n_tokens") * F.lit(model.log_base)).alias("base_score"),
-        (F.col("net_log") + F.col("rare_log")).alias("score"),
+        (F.col("net_log") + F.col("other_log") + F.col("rare_log")).alias("score"),
     )
 
 

@@ -331,7 +331,7 @@ def test_gru(docs, none):
 
 def test_gru_gradient():
     rng = np.random.default_rng(3)
-    net = gru_lm.Gru(gru_lm.Gru.start(rng.integers(1, 9, 4096).astype(float)))
+    net = gru_lm.Gru(gru_lm.Gru.start(rng.integers(1, 9, gru_lm.CLASSES * gru_lm.PER_CLASS).astype(float)))
     ids, target = rng.integers(64, 120, (5, 3)), rng.integers(64, 120, (5, 3))
     target[0, 0] = gru_lm.OTHER
     keep = np.ones((5, 3, 1), np.float32)
@@ -363,7 +363,7 @@ def test_gru_gradient():
 
 def test_gru_scores_against_brute_force(spark, docs):
     """Every token's probability computed alone, one document after the other, from the fitted parameters."""
-    model = gru_lm.Model(docs.where(~gru_lm.held_out()), "text")
+    model = gru_lm.Model(docs, ~gru_lm.held_out())
     net = gru_lm.Gru(model.flat)
     counts = {r.token.encode(): r.n for r in model.counts.collect()}
     sig = lambda x: 1 / (1 + np.exp(-x))
@@ -386,7 +386,7 @@ def test_gru_scores_against_brute_force(spark, docs):
         return out
 
     texts = {r[0]: r[1] for r in _rows()}
-    for r in gru_lm.scored(docs, model).collect():
+    for r in gru_lm.scored(model).collect():
         assert r.score == pytest.approx(brute(texts[r.doc_id]), rel=1e-4)
 
 
