@@ -9,13 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Patterns of the significance rules (ASCII digits, Unicode word boundaries).
+# Patterns of the significance rules (matched anywhere in the text).
 NUMBER = r"\b\d[\d,._]*\b"
-DATE = r"(?i)\b(\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|\d{4}-\d{2}-\d{2}|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4})\b"
-CURRENCY = r"(?i)([$€£₹]\s?\d|\b(usd|eur|gbp|inr)\b)"
-LEGAL = r"(?i)\b(shall|must|liable|liability|warrant|indemnif|terminat|penalt|breach|govern)\b"
-VERSION = r"(?i)(v\d+|rev(ision)?\.?\s*\d+|version\s*\d+)"
-DATE_WORDS = r"(?i)(date:|prepared|report|revision|version|issued)"
+MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+DATE = rf"(?iu)\b(\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}[/-]\d{{1,2}}[/-]\d{{1,2}}|\d{{1,2}}\s+(?:{MONTHS})[a-z]*\.?\s+\d{{4}}|(?:{MONTHS})[a-z]*\.?\s+\d{{1,2}},?\s+\d{{4}})\b"
+CURRENCY = r"(?iu)[$€£₹¥]|\b(usd|eur|gbp|inr|rs\.?)\b"
+LEGAL = r"(?iu)\b(shall|must|will|may not|cannot|liable|obligation|warranty|indemnif|terminat|penalt|forfeit|breach|default|notwithstanding|whereas|herein|thereof)\b"
+VERSION = r"(?iu)(?:rev\.?\s*\d|version\s+\d|v\d+|rev\s*\.?\s*\d)"
+DATE_WORDS = r"(date:|prepared|report|revision|version|issued)"
+FILLERS = "the a an and or but in on at to for of with by from is are was were be been".split()
+PAGE_NUMBER = r"(?i)^\s*(?:page\s+)?\d+\s*(?:of\s+\d+)?\s*$"
+NON_LATIN = r"[^\x00-\x7F\u00C0-\u024F\u1E00-\u1EFF]{3,}"
+GARBLED = r"(?U)[^\w\s.,;:!?()'\"-]{3,}"
 
 
 @F.pandas_udf(StringType())
@@ -25,8 +30,8 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def normalise(text: Column) -> Column:
-    """NFKC, runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(nfkc(text), r"(?U)\s+", " "))
+    """NFKC, then spaced()."""
+    return spaced(nfkc(text))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -37,14 +42,29 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def token_set(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
+
+
+def set_jaccard(x: Column, y: Column) -> Column:
+    """Of two sets; both empty 1, one empty 0."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(both / (F.size(x) + F.size(y) - both))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of lower-cased token sets; both empty 1, one empty 0."""
-    x, y = token_set(a), token_set(b)
-    both = F.size(F.array_union(x, y))
-    return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / both)
+    """Of lower-cased token sets."""
+    return set_jaccard(token_set(a), token_set(b))
+
+
+def spaced(text: Column) -> Column:
+    """Runs of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def is_filler(text: Column) -> Column:
+    """All words are fillers, and there is one."""
+    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    return (F.size(words) > 0) & F.forall(words, lambda w: w.isin(FILLERS))
 
 
 def without_punctuation(text: Column) -> Column:
@@ -69,12 +89,14 @@ def cell_value(text: Column) -> Column:
 
 
 def is_page_number(text: Column) -> Column:
-    return F.trim(text).rlike(r"(?i)^(page\s*)?\d+(\s*(of|/)\s*\d+)?$")
+    return F.trim(text).rlike(PAGE_NUMBER)
 
 
 def is_garbage(text: Column) -> Column:
-    """Three or more consecutive characters outside ASCII and extended Latin."""
-    return text.rlike(r"[^\x00-\x{024F}\s]{3,}")
+    """Clusters of characters that aren't Latin, of symbols, or too few letters, digits and spaces; below 2 characters never."""
+    t = F.trim(text)
+    plain = F.length(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}\s]", ""))
+    return F.coalesce((F.length(t) >= 2) & (t.rlike(NON_LATIN) | ((F.length(t) > 5) & (plain / F.length(t) < 0.4)) | t.rlike(GARBLED)), F.lit(False))
 
 
 def html_escaped(text: Column) -> Column:

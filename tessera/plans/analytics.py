@@ -21,21 +21,21 @@ def fiscal_quarter_orders(spark, d):
     return table(spark, d, "orders").groupBy(fiscal_year(day).cast("long").alias("fy"), fiscal_quarter(day).cast("long").alias("fq")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CASE WHEN GROUPING(c_mktsegment) = 0 THEN 'segment' WHEN GROUPING(nation) = 0 THEN 'nation' WHEN GROUPING(b) = 0 THEN 'band' ELSE 'total' END AS dimension, coalesce(c_mktsegment, nation, b, 'all') AS member, count(*) AS headcount, round(avg(c_acctbal), 2) AS mean
+@query("""SELECT CASE WHEN GROUPING(c_mktsegment) = 0 THEN 'segment' WHEN GROUPING(nation) = 0 THEN 'nation' WHEN GROUPING(b) = 0 THEN 'band' ELSE 'total' END AS dimension, coalesce(c_mktsegment, nation, b, 'all') AS member, count(*) AS headcount, floor(CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / count(*) + 0.5) / 100 AS mean
 FROM (SELECT c_mktsegment, n_name AS nation, CASE WHEN c_acctbal < 0 THEN '<0' WHEN c_acctbal < 2500 THEN '0-2500' WHEN c_acctbal < 5000 THEN '2500-5000' ELSE '5000+' END AS b, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey)
 GROUP BY GROUPING SETS ((c_mktsegment), (nation), (b), ())""")
 def headcount_snapshot(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     c = c.select("c_mktsegment", F.col("n_name").alias("nation"), band(F.col("c_acctbal"), [0, 2500, 5000], ["<0", "0-2500", "2500-5000", "5000+"]).alias("b"), "c_acctbal")
     cols = [F.col("c_mktsegment"), F.col("nation"), F.col("b")]
-    g = c.groupingSets([[x] for x in cols] + [[]], *cols).agg(F.grouping_id().alias("gid"), F.count("*").alias("headcount"), F.round(F.avg("c_acctbal"), 2).alias("mean"))
+    g = c.groupingSets([[x] for x in cols] + [[]], *cols).agg(F.grouping_id().alias("gid"), F.count("*").alias("headcount"), (F.floor(F.sum(F.round(F.col("c_acctbal") * 100).cast("long")).cast("double") / F.count("*") + 0.5) / 100).alias("mean"))
     kind = F.when(F.col("gid") == 3, "segment").when(F.col("gid") == 5, "nation").when(F.col("gid") == 6, "band").otherwise("total")
     return g.select(kind.alias("dimension"), F.coalesce("c_mktsegment", "nation", "b", F.lit("all")).alias("member"), "headcount", "mean")
 
 
-@query("""SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean, round(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 4) AS error_share FROM events GROUP BY 1""")
+@query("""SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS users, floor(CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS DOUBLE) / count(*) + 0.5) / 10000 AS mean, round(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 4) AS error_share FROM events GROUP BY 1""")
 def attendance_snapshot(spark, d):
-    return table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean"), F.round(100 * F.count_if(F.col("event_type") == "error") / F.count("*"), 4).alias("error_share"))
+    return table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.countDistinct("user_id").alias("users"), (F.floor(F.sum(F.round(F.col("value") * 10000).cast("long")).cast("double") / F.count("*") + 0.5) / 10000).alias("mean"), F.round(100 * F.count_if(F.col("event_type") == "error") / F.count("*"), 4).alias("error_share"))
 
 
 @query("""SELECT c_mktsegment, round(median(c_acctbal), 2) AS median, round(min(c_acctbal), 2) AS least, round(max(c_acctbal), 2) AS most, count(*) FILTER (WHERE c_acctbal < 3000) AS low, count(*) FILTER (WHERE c_acctbal >= 3000) AS high FROM customer GROUP BY 1""")
@@ -98,19 +98,24 @@ def running_balance(spark, d):
     return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 2).alias("balance"))
 
 
-@query("SELECT o_orderkey, 'INV-' || year(o_orderdate) || '-' || lpad(CAST(row_number() OVER (PARTITION BY year(o_orderdate), month(o_orderdate), day(o_orderdate) ORDER BY o_orderkey) AS VARCHAR), 4, '0') AS invoice FROM orders")
+@query("SELECT o_orderkey, 'INV-' || year(o_orderdate) || '-' || lpad(CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS VARCHAR), CAST(greatest(4, length(CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS VARCHAR))) AS INTEGER), '0') AS invoice FROM orders")
 def invoice_numbers(spark, d):
-    """Numbered within a day, so that no task has to number a whole year."""
-    w = Window.partitionBy(F.to_date("o_orderdate")).orderBy("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("INV-"), F.year("o_orderdate"), F.lit("-"), F.lpad(F.row_number().over(w).cast("string"), 4, "0")).alias("invoice"))
+    """Numbered by order of creation within a year: a rank within the day, after the counts of the days before."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.year("o_orderdate").alias("y"), F.to_date("o_orderdate").alias("day"))
+    # One row a day: the running count of the year is small whatever the table's size.
+    days = o.groupBy("y", "day").count()
+    before = days.select("day", F.coalesce(F.sum("count").over(Window.partitionBy("y").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    n = (F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("o_orderdate", "o_orderkey"))).cast("string")
+    return o.join(F.broadcast(before), "day").select("o_orderkey", F.concat(F.lit("INV-"), "y", F.lit("-"), F.lpad(n, F.greatest(F.lit(4), F.length(n)), F.lit("0"))).alias("invoice"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice <= 50000 THEN 0.0 WHEN o_totalprice <= 150000 THEN 150.0 WHEN o_totalprice <= 300000 THEN 200.0 ELSE 250.0 END AS slab FROM orders""")
 def slab_lookup(spark, d):
-    slabs = spark.createDataFrame([(1, 0.0, 50000.0, 0.0), (2, 50000.0, 150000.0, 150.0), (3, 150000.0, 300000.0, 200.0), (4, 300000.0, 1e18, 250.0)], "i int, lo double, hi double, slab double")
-    o = table(spark, d, "orders")
-    j = o.join(F.broadcast(slabs), (F.col("o_totalprice") >= F.col("lo")) & (F.col("o_totalprice") <= F.col("hi")))
-    return j.groupBy("o_orderkey").agg(F.min_by("slab", "i").alias("slab"))
+    """The first slab whose upper bound isn't exceeded; the few slabs are a chain of conditions, so nothing is joined."""
+    p, out = F.col("o_totalprice"), F.lit(250.0)
+    for bound, slab in ((300_000, 200.0), (150_000, 150.0), (50_000, 0.0)):
+        out = F.when(p <= bound, slab).otherwise(out)
+    return table(spark, d, "orders").select("o_orderkey", out.alias("slab"))
 
 
 @query("""WITH RECURSIVE t(id, manager) AS (VALUES (1, NULL), (2, 1), (3, 1), (4, 2), (5, 4), (6, 9), (9, 6)), r(id, depth, path) AS (SELECT id, 0, CAST(id AS VARCHAR) FROM t WHERE manager IS NULL UNION ALL SELECT t.id, depth + 1, path || '/' || t.id FROM t JOIN r ON t.manager = r.id WHERE depth < 20)
@@ -138,15 +143,18 @@ def bbox_iou(spark, d):
     return spark.createDataFrame(rows, f"id int, a {box}, b {box}").select("id", F.round(iou("a", "b"), 6).alias("iou"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN same THEN floor(tax / 2) / 100 ELSE 0 END AS cgst, CASE WHEN same THEN (tax - floor(tax / 2)) / 100 ELSE 0 END AS sgst, CASE WHEN same THEN 0 ELSE tax / 100 END AS igst
-FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice * 18) AS tax, c_nationkey = s_nationkey AS same FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN same THEN floor(half + 0.5) / 100 ELSE 0 END AS cgst, CASE WHEN same THEN floor(half + 0.5) / 100 ELSE 0 END AS sgst, CASE WHEN same THEN 0 ELSE floor(tax + 0.5) / 100 END AS igst, missing
+FROM (SELECT *, cents * 9 / 100.0 AS half, cents * 18 / 100.0 AS tax FROM (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, coalesce(c_nationkey = s_nationkey, false) AS same, c_nationkey IS NULL OR s_nationkey IS NULL AS missing
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON l_suppkey = s_suppkey))""")
 def gst_split(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    j = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    tax, same = F.floor(F.col("l_extendedprice") * 18), F.col("c_nationkey") == F.col("s_nationkey")
-    half = F.floor(tax / 2)
-    share = lambda x: F.when(same, x / 100).otherwise(0.0)
-    return j.select("l_orderkey", "l_linenumber", share(half).alias("cgst"), share(tax - half).alias("sgst"), F.when(same, 0.0).otherwise(tax / 100).alias("igst"))
+    """Two equal shares within a state, each rounded to 2 digits, else one; without a state on either side the flag is set."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_nationkey")
+    j = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    same = F.coalesce(F.col("c_nationkey") == F.col("s_nationkey"), F.lit(False))
+    half, whole = F.floor(cents * 9 / 100.0 + 0.5) / 100, F.floor(cents * 18 / 100.0 + 0.5) / 100
+    missing = F.col("c_nationkey").isNull() | F.col("s_nationkey").isNull()
+    return j.select("l_orderkey", "l_linenumber", F.when(same, half).otherwise(0.0).alias("cgst"), F.when(same, half).otherwise(0.0).alias("sgst"), F.when(same, 0.0).otherwise(whole).alias("igst"), missing.alias("missing"))
 
 
 @query("SELECT p_partkey, coalesce(CASE WHEN p_size > 40 THEN p_retailprice * 2 END, CASE WHEN p_brand = 'Brand#2' THEN p_retailprice * 10 END, p_retailprice) AS price FROM part")

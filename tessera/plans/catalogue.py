@@ -1,4 +1,4 @@
 """All queries of the engine."""
 
-from . import analytics, listings, texts, timeline  # noqa: F401  (each registers its queries)
+from . import analytics, finance, listings, people, texts, timeline, upkeep  # noqa: F401  (each registers its queries)
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -21,8 +21,8 @@ def _turns(spark, d):
 @query("SELECT doc_id, count(*) OVER (PARTITION BY text) > 1 AS duplicated FROM documents")
 def duplicate_flag(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
-    several = docs.groupBy("h").agg((F.count("*") > 1).alias("duplicated"))
-    return docs.join(several, "h").select("doc_id", "duplicated")
+    several = docs.groupBy("h").agg((F.count("*") > 1).alias("duplicated")).withColumnRenamed("h", "g")
+    return docs.join(several, F.col("h").eqNullSafe(F.col("g"))).select("doc_id", "duplicated")
 
 
 @query("SELECT doc_id, sha1(text) AS sha1, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
@@ -40,7 +40,7 @@ def ocr_garbage(spark, d):
     return table(spark, d, "documents").select("doc_id", T.is_garbage(F.col("text")).alias("garbage"))
 
 
-@query(r"SELECT doc_id, count(*) FILTER (WHERE regexp_matches(trim(line), '(?i)^(page\s*)?\d+(\s*(of|/)\s*\d+)?$')) AS page_numbers FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
+@query(r"SELECT doc_id, count(*) FILTER (WHERE regexp_matches(trim(line), '(?i)^\s*(?:page\s+)?\d+\s*(?:of\s+\d+)?\s*$')) AS page_numbers FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
 def page_number_lines(spark, d):
     lines = F.split("text", "\n")
     return table(spark, d, "documents").select("doc_id", F.size(F.filter(lines, T.is_page_number)).cast("long").alias("page_numbers"))

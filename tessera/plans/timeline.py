@@ -62,11 +62,13 @@ def time_in_stage(spark, d):
     return e.groupBy("event_type").agg(F.count("gap").alias("n"), F.expr("sum(gap) div 1000000").alias("seconds"))
 
 
-@query("""WITH d AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day), u AS (SELECT DISTINCT user_id FROM events)
-SELECT user_id, count(*) AS missing FROM u, d WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND CAST(e.ts AS DATE) = d.day) GROUP BY 1""")
+@query("""WITH b AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM events), u AS (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS n FROM events GROUP BY 1)
+SELECT user_id, date_diff('day', lo, hi) + 1 - n AS missing FROM u, b WHERE date_diff('day', lo, hi) + 1 > n""")
 def date_spine_gaps(spark, d):
+    """Days of the table's period on which a user has no event, by a spine of days for each user."""
     e = _events(spark, d).select("user_id", "day").distinct()
-    spine = e.select("user_id").distinct().withColumn("day", F.explode(F.expr("sequence(date'2024-01-01', date'2024-01-30')")))
+    period = e.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))  # one row
+    spine = e.select("user_id").distinct().join(F.broadcast(period)).select("user_id", F.explode(F.sequence("lo", "hi")).alias("day"))
     return spine.join(e, ["user_id", "day"], "left_anti").groupBy("user_id").agg(F.count("*").alias("missing"))
 
 
@@ -80,13 +82,18 @@ def attendance_status(spark, d):
 
 
 @query("""WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, least(sum(CAST(round(value * 100) AS BIGINT)), 5000) AS v FROM events GROUP BY 1, 2),
-w AS (SELECT *, coalesce(sum(v) OVER (PARTITION BY user_id, date_trunc('week', day) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM g)
-SELECT user_id, day, CAST(greatest(0, least(v, 15000 - used)) AS BIGINT) AS allowed FROM w""")
+w AS (SELECT *, greatest(0, least(v, 15000 - coalesce(sum(v) OVER (PARTITION BY user_id, date_trunc('week', day) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS a FROM g),
+m AS (SELECT *, coalesce(sum(a) OVER (PARTITION BY user_id, date_trunc('month', day) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM w)
+SELECT user_id, day, CAST(greatest(0, least(a, 40000 - used)) AS BIGINT) AS allowed FROM m""")
 def ot_caps(spark, d):
+    """Day, ISO week and month caps one after the other: what a day may take is what its periods have left."""
     g = _events(spark, d).groupBy("user_id", "day").agg(F.least(F.sum(F.round(F.col("value") * 100).cast("long")), F.lit(5000)).alias("v"))
-    week = Window.partitionBy("user_id", F.date_trunc("week", "day")).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum("v").over(week), F.lit(0))
-    return g.select("user_id", "day", F.greatest(F.lit(0), F.least(F.col("v"), 15000 - used)).cast("long").alias("allowed"))
+
+    def capped(df, period, cap):
+        used = F.coalesce(F.sum("v").over(Window.partitionBy("user_id", F.date_trunc(period, "day")).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return df.withColumn("v", F.greatest(F.lit(0), F.least(F.col("v"), cap - used)))
+
+    return capped(capped(g, "week", 15000), "month", 40000).select("user_id", "day", F.col("v").cast("long").alias("allowed"))
 
 
 @query("SELECT event_id FROM events WHERE hour(ts) * 60 + minute(ts) >= 1320 OR hour(ts) * 60 + minute(ts) < 420")

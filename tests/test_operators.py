@@ -9,7 +9,7 @@ from tessera.streaming.state import _decide, limited
 def test_significance_rules(spark):
     from pyspark.sql import functions as F
 
-    rows = [("a b", "a b", "cosmetic", 0.99), ("a b", "ab", "cosmetic", 0.97), ("1.50", "150", "cosmetic", 0.92), ("Total", "TOTAL", "cosmetic", 0.95), ("pay 10 now", "pay 12 now", "material", 0.92), ("it shall be so", "it may be so", "material", 0.85), ("one two three", "four five six", "substantive", 0.80)]
+    rows = [("a b", "a b", "cosmetic", 0.99), ("a \t b", "a b", "cosmetic", 0.97), ("a b c", "ab c d", "substantive", 0.80), ("you will pay", "you may pay", "material", 0.85), ("due 3 Jan 2024", "until 3 Jan 2024", "substantive", 0.85), ("¥ a b c", "¥ a b d", "material", 0.93), ("abc", "abd", "cosmetic", 0.82), ("1.50", "150", "cosmetic", 0.92), ("Total", "TOTAL", "cosmetic", 0.95), ("pay 10 now", "pay 12 now", "material", 0.92), ("it shall be so", "it may be so", "material", 0.85), ("one two three", "four five six", "substantive", 0.80)]
     df = spark.createDataFrame(rows, "a string, b string, s string, c double")
     out = df.withColumn("r", scoring.modification(F.col("a"), F.col("b"))).collect()
     assert [(r["r"]["significance"], r["r"]["confidence"]) for r in out] == [(r[2], r[3]) for r in rows]
