@@ -1,0 +1,234 @@
+"""Grid comparison, difference clean-up, merges, imports, validation and sweeps."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import scoring
+from ..functions import text as T
+from ..operators.grids import cell_differences, cell_map, header_differences, new_rows, table_similarity
+from ..sources.tables import table
+from .registry import query
+
+
+def _grids(spark, d):
+    """Two versions of a grid for each order: its lines as rows; the second has other quantities, lacks and renumbers some."""
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("row"), (F.col("l_partkey") * 10_000 + F.round(F.col("l_discount") * 100).cast("long") * 100 + F.col("l_quantity").cast("long")).alias("pos"), "l_discount", F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("long").cast("string"), F.concat("l_returnflag", "l_linestatus")).alias("v"), F.col("l_quantity").cast("long").alias("q"), (F.col("l_tax") > 0.05).alias("more"))
+    a = l.select("id", "pos", "row", F.posexplode("v").alias("col", "text"))
+    b = l.where("l_discount < 0.08").withColumns({"row": F.when(F.col("l_discount") < 0.02, F.col("row") + 20).otherwise(F.col("row")), "v": F.when(F.col("more"), F.array(F.col("v")[0], (F.col("q") + 1).cast("string"), F.col("v")[2])).otherwise(F.col("v"))})
+    b = b.select("id", "pos", "row", F.posexplode("v").alias("col", "text"))
+    return cell_map(a, ["id"]), cell_map(b, ["id"])
+
+
+_SQL_GRIDS = """l AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS row, l_partkey * 10000 + CAST(round(l_discount * 100) AS BIGINT) * 100 + CAST(l_quantity AS BIGINT) AS pos, l_discount, CAST(l_partkey AS VARCHAR) AS p, CAST(l_quantity AS BIGINT) AS q, l_returnflag || l_linestatus AS f, l_tax > 0.05 AS more FROM lineitem),
+b0 AS (SELECT id, pos, CASE WHEN l_discount < 0.02 THEN row + 20 ELSE row END AS row, p, CASE WHEN more THEN q + 1 ELSE q END AS q, f FROM l WHERE l_discount < 0.08),
+a AS (SELECT id, row, col, arg_max(text, pos) AS text FROM (SELECT id, pos, row, unnest([0, 1, 2]) AS col, unnest([p, CAST(q AS VARCHAR), f]) AS text FROM l) GROUP BY 1, 2, 3),
+b AS (SELECT id, row, col, arg_max(text, pos) AS text FROM (SELECT id, pos, row, unnest([0, 1, 2]) AS col, unnest([p, CAST(q AS VARCHAR), f]) AS text FROM b0) GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_SQL_GRIDS}
+SELECT coalesce(a.id, b.id) AS id, coalesce(a.row, b.row) AS row, coalesce(a.col, b.col) AS col, coalesce(a.text, '') AS before, coalesce(b.text, '') AS after, CASE WHEN a.text IS NULL THEN 'added' WHEN b.text IS NULL THEN 'deleted' ELSE 'modified' END AS change
+FROM a FULL JOIN b ON a.id = b.id AND a.row = b.row AND a.col = b.col WHERE a.text IS DISTINCT FROM b.text""")
+def table_diff(spark, d):
+    return cell_differences(*_grids(spark, d), ["id"])
+
+
+@query(f"""WITH {_SQL_GRIDS}, ra AS (SELECT id, row, trim(string_agg(text, ' ' ORDER BY col)) AS line FROM a GROUP BY 1, 2), rb AS (SELECT id, row, trim(string_agg(text, ' ' ORDER BY col)) AS line FROM b GROUP BY 1, 2)
+SELECT 'added' AS kind, id, row FROM rb WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM ra WHERE ra.id = rb.id AND (ra.row = rb.row OR 1 - levenshtein(ra.line, rb.line) / greatest(length(ra.line), length(rb.line)) > 0.8))
+UNION ALL SELECT 'deleted', id, row FROM ra WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM rb WHERE ra.id = rb.id AND (ra.row = rb.row OR 1 - levenshtein(ra.line, rb.line) / greatest(length(ra.line), length(rb.line)) > 0.8))""")
+def table_row_diff(spark, d):
+    """Rows that are new or gone; a row that only moved is like a row of the other grid and isn't listed."""
+    a, b = _grids(spark, d)
+    return new_rows(b, a, ["id"]).select(F.lit("added").alias("kind"), "id", "row").unionByName(new_rows(a, b, ["id"]).select(F.lit("deleted").alias("kind"), "id", "row"))
+
+
+@query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(p_type || ' ' || p_brand, ' ') AS b, p_size AS sa, p_size % 7 AS sb FROM part)
+SELECT p_partkey, len(list_filter(range(greatest(len(a), len(b))), lambda i: coalesce(a[i + 1], '') <> coalesce(b[i + 1], ''))) AS headers_changed, round(0.7 * (1 - levenshtein(array_to_string(a, ' '), array_to_string(b, ' ')) / greatest(length(array_to_string(a, ' ')), length(array_to_string(b, ' ')))) + 0.3 * CASE WHEN greatest(sa, sb) = 0 THEN 1 ELSE 1 - abs(sa - sb) / greatest(sa, sb) END, 6) AS similarity FROM p""")
+def table_similarity_parts(spark, d):
+    """Header lists compared place by place, and the similarity of tables by headers and sizes."""
+    a, b = F.split("p_name", " "), F.split(F.concat_ws(" ", "p_type", "p_brand"), " ")
+    return table(spark, d, "part").select("p_partkey", F.size(header_differences(a, b)).cast("long").alias("headers_changed"), F.round(table_similarity(a, b, F.col("p_size"), F.col("p_size") % 7), 6).alias("similarity"))
+
+
+def _differences(spark, d):
+    """Difference rows from the turns of conversations: a page for each turn, one value before and after."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("ordinal"), (F.col("turn") % 2).alias("page"), F.col("role").alias("kind"), F.left("text", F.lit(12)).alias("before"), F.right("text", F.lit(12)).alias("after"))
+    return c.withColumn("zone", F.col("ordinal") % 3 == 0)
+
+
+_SQL_DIFFS = "(SELECT conv_id AS job, turn AS ordinal, turn % 2 AS page, role AS kind, left(text, 12) AS before, right(text, 12) AS after, turn % 3 = 0 AS zone FROM conversations)"
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY kind, before, after ORDER BY job, ordinal) AS r, count(*) OVER (PARTITION BY kind, before, after) AS n FROM {_SQL_DIFFS} WHERE zone),
+k AS (SELECT job, ordinal, page, kind, before, after, n AS pages FROM s WHERE r = 1 UNION ALL SELECT job, ordinal, page, kind, before, after, 1 FROM {_SQL_DIFFS} WHERE NOT zone),
+p AS (SELECT * FROM k WHERE NOT regexp_matches(trim(coalesce(before, '')), '(?i)^\\s*(?:page\\s+)?\\d+\\s*(?:of\\s+\\d+)?\\s*$')),
+f AS (SELECT *, row_number() OVER (PARTITION BY job, before, after, page, kind ORDER BY ordinal) AS r FROM p)
+SELECT job, CAST(row_number() OVER (PARTITION BY job ORDER BY ordinal) AS INTEGER) AS number, ordinal, pages FROM f WHERE r = 1 OR (length(coalesce(before, '')) <= 1 AND length(coalesce(after, '')) <= 1)""")
+def difference_cleanup(spark, d):
+    """Header and footer rows collapse with their count, page numbers go, same values keep their first, and the rest is numbered anew."""
+    x = _differences(spark, d)
+    group = ["kind", "before", "after"]
+    once = x.where("zone").groupBy(*group).agg(F.min_by(F.struct("job", "ordinal", "page"), F.struct("job", "ordinal")).alias("o"), F.count("*").alias("pages"))
+    kept = once.select("o.*", *group, "pages").unionByName(x.where("not zone").drop("zone").withColumn("pages", F.lit(1).cast("long")))
+    kept = kept.where(~T.is_page_number(F.coalesce("before", F.lit(""))))
+    w = Window.partitionBy("job", "before", "after", "page", "kind").orderBy("ordinal")
+    short = (F.length(F.coalesce("before", F.lit(""))) <= 1) & (F.length(F.coalesce("after", F.lit(""))) <= 1)
+    first = kept.withColumn("r", F.row_number().over(w)).where((F.col("r") == 1) | short)
+    return first.select("job", F.row_number().over(Window.partitionBy("job").orderBy("ordinal")).alias("number"), "ordinal", "pages")
+
+
+@query()
+def typed_significance(spark, d):
+    """Significance of every type of difference, with the summary's values cut to 50 characters."""
+    kinds = F.array(*[F.lit(k) for k in ("text_addition", "text_deletion", "table_cell_change", "formatting_change", "section_moved", "annotation_present_in_b", "text_modification", "other")])
+    x = _differences(spark, d).withColumn("type", F.element_at(kinds, (F.col("ordinal") % 8 + 1).cast("int")))
+    r = x.withColumn("r", scoring.significance(F.col("type"), F.col("before"), F.col("after")))
+    return r.select("job", "ordinal", "type", "r.significance", "r.confidence", T.truncated(F.col("before"), 50).alias("shown"))
+
+
+@query(f"""SELECT job, count(*) AS total, count(*) FILTER (WHERE page = 1) AS verified, count(*) > 0 AND count(*) FILTER (WHERE page = 1) < count(*) AS partial, CASE WHEN count(*) FILTER (WHERE kind = 'system') > 0 THEN 'MATERIAL' WHEN count(*) > 4 THEN 'SUBSTANTIVE' ELSE 'COSMETIC' END AS verdict, max(ordinal) + 1 AS next_number FROM {_SQL_DIFFS} GROUP BY 1""")
+def report_verdict(spark, d):
+    """Counts of a report, whether it is partial, its verdict, and the next difference number."""
+    g = _differences(spark, d).groupBy("job").agg(F.count("*").alias("total"), F.count_if(F.col("page") == 1).alias("verified"), F.count_if(F.col("kind") == "system").alias("system"), (F.coalesce(F.max("ordinal"), F.lit(0)) + 1).alias("next_number"))
+    verdict = F.when(F.col("system") > 0, "MATERIAL").when(F.col("total") > 4, "SUBSTANTIVE").otherwise("COSMETIC")
+    return g.select("job", "total", "verified", ((F.col("total") > 0) & (F.col("verified") < F.col("total"))).alias("partial"), verdict.alias("verdict"), "next_number")
+
+
+@query("""SELECT day, event_type, n FROM (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2)""")
+def rollup_with_live(spark, d):
+    """A stored rollup of past days and live events of the last day, united and summed again."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    last = F.broadcast(e.agg(F.max("day").alias("last")))  # one row
+    past = e.join(last, F.col("day") < F.col("last")).groupBy("day", "event_type").agg(F.count("*").alias("n"))
+    live = e.join(last, F.col("day") == F.col("last")).select("day", "event_type", F.lit(1).cast("long").alias("n"))
+    return past.unionByName(live).groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+
+
+def merged(stored, new, keys: list[str]):
+    """Stored rows with new ones put in by key, null keys too: a new row replaces the stored one."""
+    both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    rest = [c for c in stored.columns if c not in keys]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_new").alias("r")).select(*keys, *[f"r.{c}" for c in rest])
+
+
+@query("""WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts < DATE '2024-01-20' GROUP BY 1, 2), n AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= DATE '2024-01-20' GROUP BY 1, 2)
+SELECT coalesce(n.user_id, s.user_id) AS user_id, coalesce(n.event_type, s.event_type) AS event_type, coalesce(n.n, s.n) AS n FROM s FULL JOIN n ON s.user_id = n.user_id AND s.event_type = n.event_type""")
+def rollup_upsert(spark, d):
+    e = table(spark, d, "events")
+    cut = F.lit("2024-01-20").cast("timestamp_ntz")
+    of = lambda x: x.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return merged(of(e.where(F.col("ts") < cut)), of(e.where(F.col("ts") >= cut)), ["user_id", "event_type"])
+
+
+@query("""SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND NOT (event_type = 'error' AND coalesce(value < 10, false))""")
+def retention(spark, d):
+    """What a retention of seven days leaves; a condition that is null doesn't exclude a row."""
+    e = table(spark, d, "events")
+    last = F.broadcast(e.agg((F.max("ts") - F.expr("interval 7 days")).alias("cutoff")))  # one row
+    blocked = F.coalesce((F.col("event_type") == "error") & (F.col("value") < 10), F.lit(False))
+    return e.join(last, F.col("ts") >= F.col("cutoff")).where(~blocked).select("event_id")
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 200""")
+def keyset_page(spark, d):
+    """The batch after a cursor: the key's order and a bound replace an offset."""
+    return table(spark, d, "orders").where("o_orderkey > 1000").orderBy("o_orderkey").limit(200).select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT c_custkey, concat_ws(',', CASE WHEN NOT regexp_matches(c_name, '^Customer#[0-9]+$') THEN 'name' END, CASE WHEN c_acctbal < 0 THEN 'balance' END, CASE WHEN count(*) OVER (PARTITION BY lower(right(c_name, 3))) > 1 THEN 'duplicate' END, CASE WHEN n_nationkey IS NULL THEN 'nation' END) AS errors FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 7) ON lower('nation_' || c_nationkey) = lower(n_name)""")
+def bulk_import(spark, d):
+    """Rows of an import with all their errors: patterns, ranges, duplicates within the file, and codes resolved in any case among active masters."""
+    n = F.broadcast(table(spark, d, "nation").where("n_nationkey <> 7").select(F.lower("n_name").alias("code"), "n_nationkey"))
+    c = table(spark, d, "customer").withColumns({"code": F.lower(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))), "short": F.lower(F.right("c_name", F.lit(3)))})
+    several = c.groupBy("short").agg((F.count("*") > 1).alias("several"))
+    j = c.join(n, "code", "left").join(several, "short")
+    errors = [(~F.col("c_name").rlike("^Customer#[0-9]+$"), "name"), (F.col("c_acctbal") < 0, "balance"), (F.col("several"), "duplicate"), (F.col("n_nationkey").isNull(), "nation")]
+    return j.select("c_custkey", F.concat_ws(",", *[F.when(x, F.lit(e)) for x, e in errors]).alias("errors"))
+
+
+@query("""SELECT o_orderkey, min(p) AS priority FROM (SELECT o_orderkey, CASE WHEN c_custkey IS NOT NULL THEN 1 END AS p FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal < -900) ON o_custkey = c_custkey UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_totalprice > 495000) WHERE p IS NOT NULL GROUP BY 1""")
+def watch_list(spark, d):
+    """Matches on either of two keys as two equal joins, the block list before the watch list."""
+    o = table(spark, d, "orders")
+    blocked = table(spark, d, "customer").where("c_acctbal < -900").select("c_custkey")
+    hits = o.join(blocked, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", F.lit(1).alias("p")).unionByName(o.where("o_totalprice > 495000").select("o_orderkey", F.lit(2).alias("p")))
+    return hits.groupBy("o_orderkey").agg(F.min("p").alias("priority"))
+
+
+@query("""SELECT user_id, string_agg(skill, ',' ORDER BY skill) AS gaps FROM (SELECT user_id, skill FROM (SELECT user_id, t.skill, count(*) FILTER (WHERE event_type = t.skill) AS have, max(t.need) AS need FROM events, (VALUES ('click', 6), ('purchase', 4), ('signup', 5)) t(skill, need) GROUP BY 1, 2) WHERE have < need) GROUP BY 1""")
+def skill_gaps(spark, d):
+    """Skills below their required level, by a join of levels with requirements (a few literal rows)."""
+    need = {"click": 6, "purchase": 4, "signup": 5}
+    counts = table(spark, d, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == s).alias(s) for s in need])
+    gaps = F.array_compact(F.array(*[F.when(F.col(s) < n, F.lit(s)) for s, n in sorted(need.items())]))
+    return counts.select("user_id", F.array_join(gaps, ",").alias("gaps")).where("gaps <> ''")
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(left(text, 200)), 'licen[sc]e') THEN 'licence' WHEN regexp_matches(lower(left(text, 200)), 'mail|@') THEN 'contact' WHEN regexp_matches(lower(left(text, 200)), '[0-9]{4}') THEN 'number' ELSE 'other' END AS intent, regexp_matches(coalesce(text, ''), '[A-Z]{5}[0-9]{4}[A-Z]') AS has_pan FROM documents""")
+def intents(spark, d):
+    """The first pattern that matches names the intent; and a validation pattern."""
+    head = F.lower(F.left("text", F.lit(200)))
+    intent = F.when(head.rlike("licen[sc]e"), "licence").when(head.rlike("mail|@"), "contact").when(head.rlike("[0-9]{4}"), "number").otherwise("other")
+    return table(spark, d, "documents").select("doc_id", intent.alias("intent"), F.coalesce("text", F.lit("")).rlike("[A-Z]{5}[0-9]{4}[A-Z]").alias("has_pan"))
+
+
+@query("""SELECT event_id, replace(replace('{type} by {user}', '{type}', event_type), '{user}', CAST(user_id AS VARCHAR)) AS message, 'ANON-' || upper(right('user' || lpad(CAST(user_id AS VARCHAR), 8, '0'), 6)) AS who FROM events""")
+def templates(spark, d):
+    """Templates with an allow-list of variables, and pseudonyms."""
+    message = F.lit("{type} by {user}")
+    for name, value in (("type", F.col("event_type")), ("user", F.col("user_id").cast("string"))):
+        message = F.replace(message, F.lit("{" + name + "}"), value)
+    who = T.masked(F.concat(F.lit("user"), F.lpad(F.col("user_id").cast("string"), 8, "0")))
+    return table(spark, d, "events").select("event_id", message.alias("message"), who.alias("who"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 11 = 0 THEN 'COMPANY_OFF' WHEN event_type = 'error' THEN 'SEND' WHEN user_id % 7 = 0 THEN 'USER_OFF' WHEN (hour(ts) >= 22 OR hour(ts) < 7) AND event_type IN ('view', 'click') THEN 'QUIET' ELSE 'SEND' END AS decision FROM events""")
+def consent_gate(spark, d):
+    """Company master, then critical events pass, then the user's flag, then quiet hours for low priorities."""
+    quiet = (F.hour("ts") >= 22) | (F.hour("ts") < 7)
+    decision = F.when(F.col("user_id") % 11 == 0, "COMPANY_OFF").when(F.col("event_type") == "error", "SEND").when(F.col("user_id") % 7 == 0, "USER_OFF").when(quiet & F.col("event_type").isin("view", "click"), "QUIET").otherwise("SEND")
+    return table(spark, d, "events").select("event_id", decision.alias("decision"))
+
+
+@query("""SELECT event_id, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 10000 AS within_cap, CASE WHEN event_type = 'signup' AND ts + INTERVAL 2 DAY < (SELECT max(ts) FROM events) THEN 'EXPIRED' ELSE upper(event_type) END AS status FROM events""")
+def daily_caps(spark, d):
+    """A running cost against a day's cap, and offers that have expired when they are read."""
+    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = table(spark, d, "events")
+    last = F.broadcast(e.agg(F.max("ts").alias("last")))  # one row
+    late = (F.col("event_type") == "signup") & (F.col("ts") + F.expr("interval 2 days") < F.col("last"))
+    return e.join(last).select("event_id", (F.sum(F.round(F.col("value") * 100).cast("long")).over(w) <= 10000).alias("within_cap"), F.when(late, "EXPIRED").otherwise(F.upper("event_type")).alias("status"))
+
+
+@query("""SELECT event_id, least(60, 5 * (pending + 1)) * CAST(pending >= 2 AS INTEGER) AS delay FROM (SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) - 1 AS INTEGER) AS pending FROM events)""")
+def batching_delay(spark, d):
+    """Seconds to wait when more than a threshold of a user's events fell into the window before."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    pending = (F.count("*").over(Window.partitionBy("user_id").orderBy("t").rangeBetween(-21_600_000_000, 0)) - 1).cast("int")
+    return table(spark, d, "events").withColumn("t", t).withColumn("pending", pending).select("event_id", F.when(F.col("pending") >= 2, F.least(F.lit(60), 5 * (F.col("pending") + 1))).otherwise(0).alias("delay"))
+
+
+@query("""SELECT c_custkey, coalesce(orders, 0) AS orders, 'x' AS tag FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders WHERE o_orderstatus NOT IN ('P') AND o_totalprice IS NOT NULL GROUP BY 1) ON o_custkey = c_custkey""")
+def listing_with_counts(spark, d):
+    """A listing with each row's number of parts, by one join instead of a query for each."""
+    n = table(spark, d, "orders").where(~F.col("o_orderstatus").isin("P") & F.col("o_totalprice").isNotNull()).groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    return table(spark, d, "customer").join(n, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), F.lit("x").alias("tag"))
+
+
+@query("""SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'events', count(*) FROM events""")
+def row_counts(spark, d):
+    counts = [table(spark, d, n).agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n in ("orders", "customer", "events")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("""SELECT event_type, event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 5""")
+def recent_per_type(spark, d):
+    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 5").select("event_type", "event_id", "user_id")
+
+
+@query("""SELECT event_type, count(*) AS failing, string_agg(DISTINCT CAST(user_id % 5 AS VARCHAR), ',' ORDER BY CAST(user_id % 5 AS VARCHAR)) AS codes, CAST(sum(epoch_us(ts) // 1000000 % 3600) AS BIGINT) AS delay FROM events GROUP BY 1 ORDER BY failing DESC, event_type LIMIT 3""")
+def top_failing(spark, d):
+    g = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("failing"), F.array_join(F.array_sort(F.collect_set((F.col("user_id") % 5).cast("string"))), ",").alias("codes"), F.sum(F.expr("unix_micros(cast(ts as timestamp)) div 1000000 % 3600")).alias("delay"))
+    return g.orderBy(F.desc("failing"), "event_type").limit(3)
