@@ -203,7 +203,7 @@ def _ordered(kind: Column, names: list[str]) -> Column:
     return F.array_position(F.array(*[F.lit(n) for n in names]), kind)
 
 
-@query("""SELECT user_id, event_id, event_type, coalesce(list_contains(CASE p WHEN 'view' THEN ['click', 'view', 'error'] WHEN 'click' THEN ['signup', 'purchase', 'view'] WHEN 'signup' THEN ['purchase', 'click'] WHEN 'purchase' THEN ['view'] ELSE [] END, event_type), true) AS allowed
+@query("""SELECT user_id, event_id, event_type, p IS NULL OR list_contains(CASE p WHEN 'view' THEN ['click', 'view', 'error'] WHEN 'click' THEN ['signup', 'purchase', 'view'] WHEN 'signup' THEN ['purchase', 'click'] WHEN 'purchase' THEN ['view'] ELSE [] END, event_type) AS allowed
 FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)""")
 def status_transitions(spark, d):
     """Whether a status may follow the one before it; a first status always may, and nothing follows an unknown one."""
