@@ -1,63 +1,190 @@
-"""Greedy one-to-one matching of scored candidate pairs, and word differences."""
+"""Near pairs of whole texts, greedy one-to-one matching of scored pairs, and word differences."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+
+from .relational import checkpointed
+
+#: Words of a shingle.
+WIDTH = 5
+
+
+def _trimmed(a, b) -> tuple[int, int]:
+    """Lengths of the common start and, in the rest, of the common end of two sequences."""
+    most = min(len(a), len(b))
+
+    def longest(same) -> int:
+        low, high = 0, most
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if same(mid) else (low, mid - 1)
+        return low
+
+    start = longest(lambda n: a[:n] == b[:n])
+    most -= start
+    return start, longest(lambda n: n == 0 or a[-n:] == b[-n:])
+
+
+def _distance(a: str, b: str) -> int:
+    """Edit distance; the columns of the table are bit vectors in integers, so memory is linear."""
+    start, end = _trimmed(a, b)
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for c in b:
+        here = at.get(c, 0)
+        steps = (((here & up) + up) ^ up) | here
+        more, less = down | (full & ~(steps | up)), up & steps
+        score += 1 if more & top else -1 if less & top else 0
+        more, less = (more << 1) | 1, less << 1
+        level = here | down
+        up, down = (less | ~(level | more)) & full, more & level & full
+    return score
+
+
+@F.pandas_udf(DoubleType())
+def whole_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """1 - edit distance / longer length of whole texts that aren't null or empty."""
+    return pd.Series([1 - _distance(x, y) / max(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def shingle_hashes(text: Column) -> Column:
+    """Hashes of the distinct 5-word shingles; fewer words make one shingle, no words none."""
+
+    def runs(words: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(words) - WIDTH + 1, F.lit(1)))
+        return F.when(F.size(words) > 0, F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(words, i, WIDTH), " "))))).otherwise(F.array().cast("array<bigint>"))
+
+    # The outer transform binds the words to a name: wherever the expression is moved to, a text is split once, not for every shingle.
+    return F.transform(F.array(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")), runs)[0]
+
+
+def distinct_texts(docs: DataFrame, group: str) -> DataFrame:
+    """(group, doc_id, text): one row, of the smallest id, for equal texts of a group."""
+    return docs.groupBy(group, F.sha2("text", 256).alias("digest")).agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r")).select(group, "r.doc_id", "r.text")
+
+
+def near_pairs(docs: DataFrame, group: str, least: float = 0.75) -> DataFrame:
+    """(group, a, b): ids a < b of different texts of a group whose shingle sets have at least this Jaccard similarity.
+
+    docs: (group, doc_id, text) with one row for equal texts, as distinct_texts() gives. A pair that is
+    similar enough shares one of the n - ceil(least * n) + 1 rarest shingles of each side, so only
+    these meet; the sets of a pair are then compared in full. Texts without words are in no pair.
+    """
+    sets = docs.select(group, "doc_id", shingle_hashes(F.col("text")).alias("s"))
+    # The outer form infers no filter on the set, which would be built a second time for it.
+    each = sets.select(group, "doc_id", F.size("s").alias("n"), F.explode_outer("s").alias("h")).where("h is not null")
+    shared = each.groupBy(group, "h").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles that stand alone come first in the order but bring no pair: they only shorten the prefix.
+    # All sides grow with the documents, so none is to be broadcast.
+    own = Window.partitionBy("doc_id")
+    known = each.join(shared.hint("merge"), [group, "h"]).withColumn("rank", F.row_number().over(own.orderBy("df", "h"))).withColumn("shared", F.count("*").over(own))
+    prefix = known.where(F.col("rank") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(group, "doc_id", "n", "h")
+    x, y = prefix.withColumnRenamed("doc_id", "a"), prefix.select(group, "h", F.col("doc_id").alias("b"), F.col("n").alias("m"))
+    fits = (F.col("a") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9)
+    pairs = x.join(y.hint("merge"), [group, "h"]).where(fits).select(group, "a", "b").distinct()
+    ids = lambda name, s: sets.select(F.col("doc_id").alias(name), F.col("s").alias(s))
+    both = pairs.join(ids("a", "sa").hint("merge"), "a").join(ids("b", "sb").hint("merge"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= (F.size("sa") + F.size("sb") - common) * least - 1e-9).select(group, "a", "b")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that links reach. pairs: (a, b)."""
+    edges = checkpointed(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = checkpointed(edges.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component")))
+    while True:
+        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        far = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        new = checkpointed(labels.join(near, "id").join(far, "component").select("id", F.least("near", "far", "component").alias("component"), F.col("component").alias("old")))
+        labels = new.select("id", "component")
+        if new.where("component <> old").isEmpty():
+            return labels
 
 
 def greedy(pairs: DataFrame, group: str, least: float) -> DataFrame:
     """(group, a, b, score): every a in order takes its best b not yet taken; ties go to the smaller b.
 
-    pairs: (group, a long, b long, score double). Only scored pairs come to the task of a
-    group, not texts; the order within a group makes the matching sequential.
+    pairs: (group, a long, b long, score double), and optionally `pass` int: then all of one pass comes
+    before the next, and what is matched stays so. Only scored pairs come to the task of a group, not
+    texts; the order within a group makes the matching sequential.
     """
+    order = (["pass"] if "pass" in pairs.columns else []) + ["a", "score", "b"]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for a, own in frame.sort_values(["a", "score", "b"], ascending=[True, False, True]).groupby("a", sort=True):
-            for r in own.itertuples():
-                if r.b not in used:
-                    used.add(r.b)
-                    out.append((getattr(r, group), a, r.b, r.score))
-                    break
+        used_a, used_b, out = set(), set(), []
+        for g, a, b, score in frame.sort_values(order, ascending=[n != "score" for n in order])[[group, "a", "b", "score"]].itertuples(index=False):
+            if a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                out.append((g, a, b, score))
         return pd.DataFrame(out, columns=[group, "a", "b", "score"])
 
     kind = dict(pairs.dtypes)[group]
     return pairs.where(F.col("score") >= least).groupBy(group).applyInPandas(run, f"{group} {kind}, a long, b long, score double")
 
 
-def _script(a: list[str], b: list[str]) -> list[tuple[str, str, str]]:
-    """Edits between two token lists from a longest common subsequence: (type, before, after)."""
+def _steps(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A shortest edit script: (-1, i) drops a[i], (1, j) puts in b[j], (0, i) keeps a[i].
+
+    Furthest-reaching paths by number of edits: time grows with length times edits, memory with the square of the edits.
+    """
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, gone, new, i, j = [], [], [], 0, 0
-
-    def close():
-        before, after = " ".join(gone), " ".join(new)
-        if gone or new:
-            out.append(("modification" if gone and new else "deletion" if gone else "addition", before, after))
-        gone.clear()
-        new.clear()
-
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            close()
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+    reach, trail = {1: 0}, []
+    for d in range(n + m + 1):
+        row = array("q", bytes(8 * (d + 1)))
+        for k in range(-d, d + 1, 2):
+            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
+            while x < n and x - k < m and a[x] == b[x - k]:
+                x += 1
+            reach[k] = row[(k + d) // 2] = x
+            if x >= n and x - k >= m:
+                break
+        trail.append(row)
+        if x >= n and x - k >= m:
+            break
+    out, x, y = [], n, m
+    for d in range(len(trail) - 1, 0, -1):
+        k, before = x - y, trail[d - 1]
+        seen = lambda q: before[(q + d - 1) // 2]  # noqa: B023, E731
+        add = k == -d or (k != d and seen(k - 1) < seen(k + 1))
+        from_k = k + 1 if add else k - 1
+        px = seen(from_k)
+        py = px - from_k
+        while x > px and y > py and (x > px + (not add) or y > py + add):
+            x, y = x - 1, y - 1
+            out.append((0, x))
+        out.append((1, py) if add else (-1, px))
+        x, y = px, py
+    out += [(0, i) for i in range(x - 1, -1, -1)]
+    return out[::-1]
+
+
+def _script(a: list[str], b: list[str]) -> list[tuple[str, str, str]]:
+    """Edits between two token lists: (type, before, after); neighbouring drops and additions are one modification."""
+    start, end = _trimmed(a, b)
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    out, gone, new = [], [], []
+    for kind, i in [*_steps(a, b), (0, -1)]:
+        if kind < 0:
             gone.append(a[i])
-            i += 1
-        else:
-            new.append(b[j])
-            j += 1
-    close()
+        elif kind > 0:
+            new.append(b[i])
+        elif gone or new:
+            out.append(("modification" if gone and new else "deletion" if gone else "addition", " ".join(gone), " ".join(new)))
+            gone, new = [], []
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +48,17 @@ def cell_changes(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Dat
     j = a.select(*keys, F.col(value).alias("before")).join(b.select(*keys, F.col(value).alias("after")), keys, "full")
     kind = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "deleted").otherwise("modified")
     return j.where(~F.col("before").eqNullSafe(F.col("after"))).withColumn("change", kind)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the folder that driver and executors share.
+
+    The cluster names it in spark.checkpoint.dir; only a local master, as in tests, may leave that unset.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()

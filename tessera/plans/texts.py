@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions import text as T
-from ..operators.matching import greedy, word_changes
+from ..operators.matching import components, distinct_texts, greedy, near_pairs, whole_similarity, word_changes
+from ..operators.relational import checkpointed
 from ..sources.tables import table
 from .registry import query
 
@@ -80,24 +81,39 @@ def rule_significance(spark, d):
     return t.select("conv_id", "turn", "r.significance", "r.confidence", needs.alias("needs_verification"), auto.alias("auto_confirmed"))
 
 
+def _representatives(spark, d):
+    """One document for equal texts of a source, whole."""
+    return distinct_texts(table(spark, d, "documents").where("length(text) > 0").select("doc_id", "source", "text"), "source")
+
+
 def _near(spark, d):
-    """Candidate pairs of one source and first words, scored on their first 200 characters."""
-    docs = table(spark, d, "documents").where("length(text) > 0").select("doc_id", "source", F.left("text", F.lit(200)).alias("t"), F.left("text", F.lit(20)).alias("block"))
-    b = docs.select(F.col("doc_id").alias("b"), "block", F.col("t").alias("tb"), "source")
-    pairs = docs.withColumnRenamed("doc_id", "a").join(b, ["source", "block"]).where("a < b")
-    return pairs.withColumn("score", T.similarity(F.col("t"), F.col("tb")))
+    """Near pairs of different texts of one source, with the similarity of their whole texts."""
+    docs = _representatives(spark, d)
+    side = lambda n, t: docs.select(F.col("doc_id").alias(n), F.col("text").alias(t)).hint("merge")
+    return near_pairs(docs, "source").join(side("a", "t"), "a").join(side("b", "tb"), "b").withColumn("score", whole_similarity("t", "tb"))
+
 
+@query("SELECT doc_id, source, min(doc_id) OVER (PARTITION BY source, text) AS representative FROM documents WHERE text <> ''")
+def text_classes(spark, d):
+    """The document that stands for each document in the queries on near pairs."""
+    docs = table(spark, d, "documents").where("length(text) > 0").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    first = docs.groupBy(F.col("source").alias("s"), F.col("h").alias("g")).agg(F.min("doc_id").alias("representative"))
+    return docs.join(first, (F.col("h") == F.col("g")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "representative")
 
-@query("""WITH d AS (SELECT doc_id, source, left(text, 200) AS t, left(text, 20) AS block FROM documents WHERE text <> '')
-SELECT x.doc_id AS a, y.doc_id AS b, round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)), 6) AS score FROM d x JOIN d y ON x.source = y.source AND x.block = y.block AND x.doc_id < y.doc_id
-WHERE 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) >= 0.8 AND x.t = y.t OR (x.source = y.source AND x.block = y.block AND x.doc_id < y.doc_id AND ascii(x.t) < 128 AND 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) >= 0.8)""")
+
+@query()
 def similarity_pairs(spark, d):
+    """Pairs of different texts of one source that share three quarters of their shingles and are 0.8 alike by edit distance."""
     return _near(spark, d).where("score >= 0.8").select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query()
 def near_dup_greedy(spark, d):
-    return greedy(_near(spark, d).select("source", "a", "b", "score"), "source", 0.4)
+    """Near pairs matched one to one, the lower half of a source's range of ids to the upper; every component of candidates by itself."""
+    middle = table(spark, d, "documents").groupBy("source").agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("middle"))
+    pairs = checkpointed(_near(spark, d).join(middle, "source").where("a <= middle and b > middle").select("source", "a", "b", "score"))
+    placed = pairs.join(components(pairs).withColumnRenamed("id", "a"), "a")
+    return greedy(placed, "component", 0.4).drop("score").join(pairs, ["a", "b"]).select("source", "a", "b", "score")
 
 
 @query()

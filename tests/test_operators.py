@@ -1,8 +1,10 @@
 """Operators that SQL doesn't express, on small fixtures."""
 
+import random
+
 from tessera.functions import scoring
 from tessera.functions import text as T
-from tessera.operators.matching import _script, greedy
+from tessera.operators.matching import _distance, _script, _steps, components, distinct_texts, greedy, near_pairs, whole_similarity, word_changes
 from tessera.streaming.state import _decide, limited
 
 
@@ -29,7 +31,7 @@ def test_fixed_window_starts_at_first_event():
 
 
 def test_stream_and_table_agree(spark, tmp_path):
-    rows = spark.sql("select id as event_id, cast(id % 3 as long) as user_id, timestamp_seconds(id * 7) as ts from range(60)")
+    rows = spark.sql("select id as event_id, cast(id % 3 as long) as user_id, timestamp_seconds(1000000 + id * 7) as ts from range(60)")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     q = limited(stream, ["user_id"], 60, 2).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
@@ -43,3 +45,97 @@ def test_text_functions(spark):
 
     r = spark.createDataFrame([("Ａ  b c",)], "t string").select(T.normalise(F.col("t")).alias("n"), T.similarity(F.lit("abcd"), F.lit("abcf")).alias("s"), T.jaccard(F.lit(""), F.lit("")).alias("j")).first()
     assert (r.n, r.s, r.j) == ("A b c", 0.75, 1.0)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance_and_script():
+    r = random.Random(1)
+    for _ in range(500):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in range(2))
+        assert _distance(a, b) == _edits(a, b)
+        steps = _steps(list(a), list(b))
+        assert "".join(b[i] if k > 0 else a[i] for k, i in steps if k >= 0) == b and [i for k, i in steps if k <= 0] == list(range(len(a)))
+        # A shortest script without replacements keeps a longest common subsequence.
+        assert len([1 for k, _ in steps if k]) == min((len(a) + len(b) - 2 * len(c) for c in _common(a, b)), default=0)
+
+
+def _common(a, b):
+    best = [[""] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + x if x == y else max(best[i][j + 1], best[i + 1][j], key=len)
+    return [best[-1][-1]]
+
+
+def _family(seed):
+    """Texts of two sources: families of copies with a few words changed anywhere, repeated rows, short and empty ones."""
+    r, rows = random.Random(seed), []
+    for family in range(6):
+        base = [f"w{r.randint(0, 400)}" for _ in range(r.choice([3, 12, 60, 300]))]
+        for _ in range(8):
+            words = list(base)
+            for _ in range(r.randint(0, 4)):
+                words[r.randrange(len(words))] = f"x{r.randint(0, 9)}"
+            rows.append((len(rows), f"s{family % 2}", " ".join(words)))
+    return rows + [(len(rows), "s0", ""), (len(rows) + 1, "s0", " \n "), (len(rows) + 2, "s1", "one"), (len(rows) + 3, "s0", None), (len(rows) + 4, "s0", rows[0][2])]
+
+
+def test_near_pairs_are_those_of_all_pairs(spark):
+    rows = _family(3)
+    docs = distinct_texts(spark.createDataFrame(rows, "doc_id long, source string, text string").where("text is not null"), "source")
+    first = {}
+    for i, s, t in rows:
+        if t is not None:
+            first.setdefault((s, t), i)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    own = sorted((i, s, t, shingles(t)) for (s, t), i in first.items())
+    want = {(x[0], y[0]) for n, x in enumerate(own) for y in own[n + 1 :] if x[1] == y[1] and x[3] and y[3] and 4 * len(x[3] & y[3]) >= 3 * len(x[3] | y[3])}
+    pairs = near_pairs(docs, "source")
+    assert want and {(r.a, r.b) for r in pairs.collect()} == want
+    reach = {i: i for p in want for i in p}
+    for _ in reach:
+        for a, b in want:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    assert {r.id: r.component for r in components(pairs).collect()} == reach
+
+
+def test_near_texts_differ_late(spark):
+    """Two texts that are equal for their first 5,000 characters are not taken as equal."""
+    long = " ".join(f"w{i}" for i in range(2000))
+    docs = spark.createDataFrame([(1, "s", long + " end"), (2, "s", long + " stop"), (3, "s", "zz " + long)], "doc_id long, source string, text string")
+    assert {(r.a, r.b) for r in near_pairs(docs, "source").collect()} == {(1, 2), (1, 3), (2, 3)}
+    pair = docs.where("doc_id < 3").selectExpr("max(if(doc_id = 1, text, null)) as a", "max(if(doc_id = 2, text, null)) as b")
+    assert word_changes(pair, "a", "b").first().changes == [("modification", "end", "stop")]
+    assert 0.99 < pair.select(whole_similarity("a", "b")).first()[0] < 1
+
+
+def test_greedy_in_passes(spark):
+    pairs = spark.createDataFrame([("g", 1, 1, 1, 0.9), ("g", 2, 1, 2, 1.0), ("g", 2, 2, 1, 1.0), ("g", 2, 2, 2, 0.5)], "grp string, pass int, a long, b long, score double")
+    assert sorted((r.a, r.b) for r in greedy(pairs, "grp", 0.4).collect()) == [(1, 1), (2, 2)]
+
+
+def test_limit_of_a_table_over_batches(spark):
+    """The state of a key is carried from one batch to the next; null keys are a key."""
+    rows = spark.sql("select id as event_id, if(id % 5 = 0, null, id % 2) as user_id, timestamp_seconds(id * 3) as ts from range(400)")
+    want = {}
+    for i in range(400):
+        want.setdefault(None if i % 5 == 0 else i % 2, []).append((i, i * 3))
+    passed = {(i, p) for own in want.values() for (i, _), p in zip(own, _decide([t for _, t in own], 60, 2, None, 0)[0], strict=True)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {(r.event_id, r.passed) for r in limited(rows, ["user_id"], 60, 2).collect()} == passed
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
