@@ -72,25 +72,50 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, sa
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
-#: The column that with_rows() adds.
+#: The column that with_rows() adds, and the mark in its metadata that tells it from a user's column of that name.
 ROW = "row_key"
+_MARK, _NAME = "tessera_row_key", "tessera_own_name"
+#: Bytes of file paths that may be broadcast to number a table's files.
+PATH_BYTES = 32 << 20
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores behind it if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
     """docs with a long in ROW that tells every row, also repeated ones, and is the same whenever the rows are read.
 
     The key of a file scan is the file's number and the row's place in it, whatever the
-    splits; other tables are written once. A table that has ROW stays as it is.
+    splits; other tables, and tables of so many files that their paths exceed PATH_BYTES,
+    are written once. A table that has such a key stays as it is. A column of the user
+    that is named like ROW is set aside under another name; without_rows() gives it back.
     """
-    if ROW in docs.columns:
+    if any(f.name == ROW and f.metadata.get(_MARK) for f in docs.schema):
         return docs
-    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or not docs.inputFiles():
-        return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    files = sorted(r[0] for r in at.select("_file").distinct().collect())
-    number = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _number long")
-    key = F.shiftleft("_number", 40) + F.col("_at")
-    return at.join(F.broadcast(number), "_file").select(*docs.columns, key.alias(ROW))
+    for c in docs.columns:
+        if c.lower() == ROW:
+            docs = docs.select(*[F.col(f"`{x}`").alias(free_name(docs, x), metadata={_NAME: x}) if x == c else F.col(f"`{x}`") for x in docs.columns])
+    mark = {_MARK: True}
+    scan = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in [c.lower() for c in docs.columns]
+    paths = docs.inputFiles() if scan else []
+    if not paths or sum(map(len, paths)) > PATH_BYTES:
+        return written(docs.withColumn(ROW, F.monotonically_increasing_id().alias(ROW, metadata=mark)), "rows")
+    file, place, number = (free_name(docs, c) for c in ("_file", "_at", "_number"))
+    at = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    files = sorted(r[0] for r in at.select(file).distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"`{file}` string, `{number}` long")
+    key = F.shiftleft(number, 40) + F.col(place)
+    return at.join(F.broadcast(numbers), file).select(*[f"`{c}`" for c in docs.columns], key.alias(ROW, metadata=mark))
+
+
+def without_rows(docs: DataFrame) -> DataFrame:
+    """docs without the key of with_rows(); a column that was set aside has its own name again."""
+    return docs.select(*[F.col(f"`{f.name}`").alias(f.metadata.get(_NAME, f.name), metadata={}) if _NAME in f.metadata else F.col(f"`{f.name}`") for f in docs.schema if not (f.name == ROW and f.metadata.get(_MARK))])
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

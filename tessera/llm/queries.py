@@ -9,6 +9,7 @@ from .minhash import OP8_SQL, op8_minhash
 from .quality import op3_quality
 from .sentencepiece_table import op7_sentencepiece
 from .suffix_dedup import op10_suffix_dedup
+from .token_files import op13_orc_tokens
 from .topk import OP1_SQL, op1_topk
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_orc_tokens": op13_orc_tokens,
 }
 
 ORACLES = {
