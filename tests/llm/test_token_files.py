@@ -3,6 +3,7 @@
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def library(vocabulary):
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-ODD = ["", " ", "  ", " a", "a ", "a  ", "  a", "a\n b", "a \n\n b", "a\t  b", "a\x1c b", "a　 b", "it's  '  'll", "\n", "x  <|endoftext|>  y", "1 22  3\r\n 4", "a​ b﻿ c᠎ d", "e\x85 f\xa0 g"]
+ODD = ["a\nb\nc d\n", "a\n\nb c", "\n\n", "\na", "é\n<|endoftext|>\nx y", "a\tb c\td", "a \nb", "a \n", "", " ", "  ", " a", "a ", "a  ", "  a", "a\n b", "a \n\n b", "a\t  b", "a\x1c b", "a　 b", "it's  '  'll", "\n", "x  <|endoftext|>  y", "1 22  3\r\n 4", "a​ b﻿ c᠎ d", "e\x85 f\xa0 g"]
 
 
 @pytest.mark.parametrize("part, table", [(1 << 20, 400_000), (7, 5)])
@@ -34,7 +35,7 @@ def test_chunks_encode_as_whole_texts(vocabulary, library, monkeypatch, part, ta
     encoder = tf.Encoder(vocabulary, table)
     texts = ODD + [t or "" for t in sample_texts()] + ["é" * 3000 + " b", "word " * 500, "z" * 100 + " z " + "z" * 100]
     for batch in (texts, texts[::-1], texts[:3]):
-        ids, offsets = encoder.encode(batch)
+        ids, offsets = encoder.encode(pa.array(batch, pa.string()))
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [library(t) for t in batch]
 
 
@@ -67,7 +68,7 @@ def test_readers_prune_and_share_a_file(spark, vocabulary, tmp_path):
 
     path = str(tmp_path / "orc")
     docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2((F.col("id") + i).cast("string"), 256) for i in range(4)]).alias("text"))
-    tf.write_tokens(docs, path, vocabulary, stripe=1 << 20, rows=1_000, files=1)
+    tf.write_tokens(docs, path, vocabulary, stripe=1 << 20, rows=1_000, files=1, table_size=1_000)
     file = next((tmp_path / "orc").glob("*.orc"))
     meta = orc.ORCFile(str(file))
     assert meta.nrows == 20_000 and meta.nstripes >= 3
