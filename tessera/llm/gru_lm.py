@@ -147,8 +147,8 @@ class Gru:
             out[t] = h
         return out, h
 
-    def output(self, hs, target, grad: dict | None = None):
-        """log p of each target slot; with grad, fills the output's gradients and returns d/dhs too."""
+    def output(self, hs, target, grad: dict | None = None, real: np.ndarray | None = None):
+        """log p of each target slot; with grad, fills the output's gradients and returns d/dhs too. Rows where `real` is 0 have no gradient."""
         cls, word = (target // PER_CLASS).astype(np.uint8), target % PER_CLASS
         p = hs @ self.C + self.c
         logp, total = _picked(p, cls)
@@ -156,6 +156,8 @@ class Gru:
         if grad is not None:
             p /= total[:, None]
             p[np.arange(len(cls)), cls] -= 1
+            if real is not None:
+                p *= real[:, None]
             grad["C"], grad["c"], back = hs.T @ p, p.sum(0), p @ self.C.T
             grad["O"], grad["o"] = np.zeros_like(self.O), np.zeros_like(self.o)
         # Sorted by class, the rows of a class are one piece; class 0 has no words to tell apart.
@@ -171,6 +173,8 @@ class Gru:
                 if grad is not None:
                     q /= total[:, None]
                     q[np.arange(b - a), words[a:b]] -= 1
+                    if real is not None:
+                        q *= real[order[a:b], None]
                     grad["O"][k], grad["o"][k] = rows[a:b].T @ q, q.sum(0)
                     part[a:b] = q @ self.O[k].T
         logp[order] += own
@@ -178,8 +182,8 @@ class Gru:
             back[order] += part
         return logp, back
 
-    def learn(self, ids, keep, target, h, adam):
-        """One step of truncated backpropagation over a window (steps x lanes, all of them in use)."""
+    def learn(self, ids, keep, target, h, adam, real: np.ndarray | None = None):
+        """One step of truncated backpropagation over a window (steps x lanes); places where `real` is 0 fill it up."""
         steps, lanes = ids.shape
         held = tuple(np.empty((steps, lanes, n), np.float32) for n in (HIDDEN, 2 * HIDDEN, HIDDEN))
         # The window's distinct slots, and each input's place among them.
@@ -191,7 +195,7 @@ class Gru:
         x = (self.E[slots] @ self.W + self.b)[at].reshape(steps, lanes, 3 * HIDDEN)
         hs, last = self.states(x, keep, h, held)
         grad: dict = {}
-        _, back = self.output(hs.reshape(-1, HIDDEN), target.ravel(), grad)
+        _, back = self.output(hs.reshape(-1, HIDDEN), target.ravel(), grad, None if real is None else real.ravel())
         back = back.reshape(hs.shape)
         dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
         dh = np.zeros_like(h)
@@ -219,7 +223,7 @@ class Gru:
         rate = np.float32(0.008 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
         for name, _ in self.SHAPES:
             g = grad[name]
-            g *= np.float32(1 / ids.size)
+            g *= np.float32(1 / (ids.size if real is None else max(real.sum(), 1)))
             np.clip(g, -0.1, 0.1, out=g)
             m, v = adam.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
             m *= np.float32(0.9)
@@ -342,15 +346,17 @@ def train(rows: DataFrame, slot_counts: np.ndarray) -> np.ndarray:
                 target, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
                 before, fresh = _stream(target, sizes)
                 n_lanes = min(LANES, max(1, len(target) // WINDOW))
-                steps = len(target) // n_lanes
-                used = steps * n_lanes
-                shape = lambda a: np.ascontiguousarray(a[:used].reshape(n_lanes, steps).T)
-                goal, ids, keep = shape(target), shape(before), shape(~fresh).astype(np.float32)[:, :, None]
+                steps = -(-len(target) // n_lanes)
+                # The last lanes are filled up with places that aren't learnt from, so no token is left out.
+                fill = steps * n_lanes - len(target)
+                shape = lambda a, end: np.ascontiguousarray(np.append(a, np.full(fill, end, a.dtype)).reshape(n_lanes, steps).T)
+                goal, ids, keep = shape(target, END), shape(before, END), shape(~fresh, False).astype(np.float32)[:, :, None]
+                real = shape(np.ones(len(target), np.float32), 0)
                 h = np.zeros((n_lanes, HIDDEN), np.float32)
                 for a in range(0, steps, WINDOW):
                     w = slice(a, a + WINDOW)
-                    h = net.learn(ids[w], keep[w], goal[w], h, adam)
-                return used
+                    h = net.learn(ids[w], keep[w], goal[w], h, adam, None if real[w].all() else real[w])
+                return len(target)
 
             held, size = [], 0
             for batch in batches:
