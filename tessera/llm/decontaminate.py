@@ -51,7 +51,7 @@ def _within(w: Column, vocabulary: list[str]) -> Column:
 def contained(docs: DataFrame, items: DataFrame, size: int = 10, block: int = BLOCK, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc, n_words, hits array<struct<start,n>> (1-based word runs) and items array<string>.
 
-    Rows are told by their row keys (a column that docs has already is used as such), so
+    Rows are told by their row keys (a user's column of that name doesn't matter), so
     repeated rows and ids keep their own result. Null or empty text and an empty benchmark
     give no hits; texts of any length are read whole. Items without words are no windows;
     an item with null id counts for hits but is not listed. Other columns don't matter; an

@@ -14,7 +14,7 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from .common import ROW, with_rows, written
+from .common import ROW, with_rows, without_rows, written
 
 #: Grid cells of a dimension are 2**BITS.
 BITS = 5
@@ -94,8 +94,8 @@ def shards(df: DataFrame, dims: list[str], order: list[str], n_shards: int = 8,
     def index(*cells: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.column_stack([c.to_numpy() for c in cells]), bits))
 
-    given = df.columns
-    keyed = quantised(with_rows(df), dims, bits).withColumn("hilbert", index(*names))
+    rows = with_rows(df)
+    keyed = quantised(rows, dims, bits).withColumn("hilbert", index(*names))
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The written table fixes which row got which place: the range bounds come from a sample.
@@ -110,7 +110,7 @@ def shards(df: DataFrame, dims: list[str], order: list[str], n_shards: int = 8,
     out = placed.join(F.broadcast(starts), "_part").withColumn("_position", rank)
     out = out.withColumn("shard", F.expr(f"cast(_position * {n_shards} div _rows as int)"))
     first = F.expr(f"(shard * _rows + {n_shards - 1}) div {n_shards}")
-    return out.withColumn("slot", F.col("_position") - first).select(*given, "hilbert", "shard", "slot")
+    return without_rows(out.withColumn("slot", F.col("_position") - first).select(*[f"`{c}`" for c in rows.columns], "hilbert", "shard", "slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
