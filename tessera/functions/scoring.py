@@ -14,11 +14,11 @@ def _rated(significance: str, confidence: float) -> Column:
 
 def modification(before: Column, after: Column) -> Column:
     """struct(significance, confidence) of a text modification: the first rule that holds decides."""
-    a, b = F.trim(before), F.trim(after)
+    a, b = T.stripped(before), T.stripped(after)
     # What holds if it holds on either side is looked for in both at once; no pattern spans the line between.
     both = F.concat(a, F.lit("\n\u0000\n"), b)
     ids = r"[A-Z]{2,4}-\d{3,}"
-    bare = lambda c: F.trim(F.regexp_replace(c, r"[A-Z]{2,4}-[\d-]+[A-Z]?", ""))
+    bare = lambda c: T.stripped(F.regexp_replace(c, r"[A-Z]{2,4}-[\d-]+[A-Z]?", ""))
     dated = both.rlike(T.DATE)
     close = T.jaccard(a, b)
     # Rule order, significance and confidence.
@@ -47,7 +47,7 @@ def modification(before: Column, after: Column) -> Column:
 def significance(kind: Column, before: Column, after: Column) -> Column:
     """struct(significance, confidence) of a difference of any type."""
     before, after = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
-    one = F.when(F.trim(before) != "", F.trim(before)).otherwise(F.trim(after))
+    one = F.when(T.stripped(before) != "", T.stripped(before)).otherwise(T.stripped(after))
     # Significance and confidence by type.
     return (
         F.when(kind == "formatting_change", _rated("cosmetic", 0.95))

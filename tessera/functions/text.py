@@ -17,10 +17,15 @@ CURRENCY = r"(?iu)[$€£₹¥]|\b(usd|eur|gbp|inr|rs\.?)\b"
 LEGAL = r"(?iu)\b(shall|must|will|may not|cannot|liable|obligation|warranty|indemnif|terminat|penalt|forfeit|breach|default|notwithstanding|whereas|herein|thereof)\b"
 VERSION = r"(?iu)(?:rev\.?\s*\d|version\s+\d|v\d+|rev\s*\.?\s*\d)"
 DATE_WORDS = r"(date:|prepared|report|revision|version|issued)"
-FILLERS = "the a an and or but in on at to for of with by from is are was were be been".split()
+FILLERS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been"]
 PAGE_NUMBER = r"(?i)^\s*(?:page\s+)?\d+\s*(?:of\s+\d+)?\s*$"
 NON_LATIN = r"[^\x00-\x7F\u00C0-\u024F\u1E00-\u1EFF]{3,}"
-GARBLED = r"(?U)[^\w\s.,;:!?()'\"-]{3,}"
+GARBLED = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f.,;:!?()'\"-]{3,}"
+# Numbers as a cell may hold them, without separators.
+CELL_NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+#: Characters that are stripped, and their runs.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 @F.pandas_udf(StringType())
@@ -29,6 +34,11 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def normalise(text: Column) -> Column:
     """NFKC, then spaced()."""
     return spaced(nfkc(text))
@@ -42,7 +52,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def token_set(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(text), SPACES), lambda w: w != ""))
 
 
 def set_jaccard(x: Column, y: Column) -> Column:
@@ -58,17 +68,17 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def spaced(text: Column) -> Column:
     """Runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
 def is_filler(text: Column) -> Column:
     """All words are fillers, and there is one."""
-    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), SPACES), lambda w: w != "")
     return (F.size(words) > 0) & F.forall(words, lambda w: w.isin(FILLERS))
 
 
 def without_punctuation(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)[^\w\s]", ""))
+    return stripped(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]", ""))
 
 
 def number_set(text: Column) -> Column:
@@ -76,26 +86,31 @@ def number_set(text: Column) -> Column:
 
 
 def truncated(text: Column, n: int) -> Column:
-    t = F.trim(text)
+    t = stripped(text)
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("…"))).otherwise(t)
 
 
 def cell_value(text: Column) -> Column:
-    """Cell text without separators; a whole number as integer text, other numbers as double text, else unchanged."""
-    t = F.trim(text)
-    v = F.regexp_replace(t, "[, ]", "").try_cast("double")
-    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e15)
-    return F.when(finite & (v == F.floor(v)), F.floor(v).cast("string")).when(finite, v.cast("string")).otherwise(t)
+    """Cell text without white space at its ends; a number in one form, whatever its separators and trailing zeros.
+
+    Equal values of two cells are equal texts. Words like "nan" and "inf", and suffixes, are no numbers.
+    """
+    t = stripped(text)
+    plain = F.regexp_replace(t, "[, ]", "")
+    v = F.when(plain.rlike(CELL_NUMBER), F.regexp_replace(plain, "_", "").try_cast("double"))
+    whole = (v == F.floor(v)) & (F.abs(v) < 1e18)
+    usable = v.isNotNull() & (F.abs(v) < float("inf"))
+    return F.when(usable & whole, F.floor(v).cast("string")).when(usable, v.cast("string")).otherwise(t)
 
 
 def is_page_number(text: Column) -> Column:
-    return F.trim(text).rlike(PAGE_NUMBER)
+    return stripped(text).rlike(PAGE_NUMBER)
 
 
 def is_garbage(text: Column) -> Column:
     """Clusters of characters that aren't Latin, of symbols, or too few letters, digits and spaces; below 2 characters never."""
-    t = F.trim(text)
-    plain = F.length(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}\s]", ""))
+    t = stripped(text)
+    plain = F.length(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}\s\x1c-\x1f]", ""))
     return F.coalesce((F.length(t) >= 2) & (t.rlike(NON_LATIN) | ((F.length(t) > 5) & (plain / F.length(t) < 0.4)) | t.rlike(GARBLED)), F.lit(False))
 
 

