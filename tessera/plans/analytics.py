@@ -118,16 +118,6 @@ def slab_lookup(spark, d):
     return table(spark, d, "orders").select("o_orderkey", out.alias("slab"))
 
 
-@query("""WITH RECURSIVE t(id, manager) AS (VALUES (1, NULL), (2, 1), (3, 1), (4, 2), (5, 4), (6, 9), (9, 6)), r(id, depth, path) AS (SELECT id, 0, CAST(id AS VARCHAR) FROM t WHERE manager IS NULL UNION ALL SELECT t.id, depth + 1, path || '/' || t.id FROM t JOIN r ON t.manager = r.id WHERE depth < 20)
-SELECT id, depth, path FROM r""")
-def org_tree(spark, d):
-    """Recursive query with a depth cap; nodes that no root reaches (a cycle) don't appear."""
-    return spark.sql("""WITH RECURSIVE r(id, depth, path) AS (
-        SELECT id, 0, CAST(id AS STRING) FROM VALUES (1, NULL), (2, 1), (3, 1), (4, 2), (5, 4), (6, 9), (9, 6) AS t(id, manager) WHERE manager IS NULL
-        UNION ALL SELECT t.id, depth + 1, concat(path, '/', t.id) FROM VALUES (1, NULL), (2, 1), (3, 1), (4, 2), (5, 4), (6, 9), (9, 6) AS t(id, manager) JOIN r ON t.manager = r.id WHERE depth < 20)
-        SELECT id, depth, path FROM r""")
-
-
 @query("""SELECT c_custkey, CASE WHEN 2 * 6371000 * atan2(sqrt(h), sqrt(1 - h)) <= 500000 THEN 'INSIDE' ELSE 'OUTSIDE' END AS fence FROM
 (SELECT c_custkey, pow(sin(radians(lat - 10) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * pow(sin(radians(lon - 20) / 2), 2) AS h FROM (SELECT c_custkey, c_nationkey * 1.0 AS lat, (c_custkey % 40) * 1.0 AS lon FROM customer))""")
 def geofence(spark, d):
@@ -136,11 +126,14 @@ def geofence(spark, d):
     return c.select("c_custkey", F.when(metres <= 500_000, "INSIDE").otherwise("OUTSIDE").alias("fence"))
 
 
-@query("SELECT 1 AS id, round(0.25 / 1.75, 6) AS iou UNION ALL SELECT 2, 0.0 UNION ALL SELECT 3, 1.0")
+@query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN w > 0 AND h > 0 THEN w * h / (2 * (0.1 + l_tax) * 0.2 - w * h) ELSE 0 END, 6) AS iou FROM
+(SELECT *, 0.1 + l_tax - l_discount * 2 AS w, 0.2 - (l_partkey % 30) / 100.0 AS h FROM lineitem)""")
 def bbox_iou(spark, d):
-    box = "struct<x: double, y: double, width: double, height: double>"
-    rows = [(1, (0.0, 0.0, 1.0, 1.0), (0.5, 0.5, 1.0, 1.0)), (2, (0.0, 0.0, 1.0, 1.0), (2.0, 2.0, 1.0, 1.0)), (3, (0.0, 0.0, 1.0, 1.0), (0.0, 0.0, 1.0, 1.0))]
-    return spark.createDataFrame(rows, f"id int, a {box}, b {box}").select("id", F.round(iou("a", "b"), 6).alias("iou"))
+    """Overlap of every line's box with the same box moved right and down."""
+    size = {"width": F.lit(0.1) + F.col("l_tax"), "height": F.lit(0.2)}
+    box = lambda x, y: F.struct(x.alias("x"), y.alias("y"), *[v.alias(n) for n, v in size.items()])
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box(F.lit(0.0), F.lit(0.0)).alias("a"), box(F.col("l_discount") * 2, (F.col("l_partkey") % 30) / 100.0).alias("b"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(iou("a", "b"), 6).alias("iou"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN same THEN floor(half + 0.5) / 100 ELSE 0 END AS cgst, CASE WHEN same THEN floor(half + 0.5) / 100 ELSE 0 END AS sgst, CASE WHEN same THEN 0 ELSE floor(tax + 0.5) / 100 END AS igst, missing
@@ -163,11 +156,12 @@ def pricing_cascade(spark, d):
     return table(spark, d, "part").select("p_partkey", F.coalesce(F.when(F.col("p_size") > 40, p * 2), F.when(F.col("p_brand") == "Brand#2", p * 10), p).alias("price"))
 
 
-@query("SELECT v, floor(v + 0.5) AS rupee, floor(v * 2 + 0.5) / 2 AS half, floor(v * 100.0 + 0.5) / 100.0 AS paise FROM (VALUES (CAST(2.5 AS DOUBLE)), (-2.5), (1.26), (0.74), (-0.5)) t(v)")
+@query("""SELECT c_custkey, floor(v + 0.5) AS rupee, floor(v * 2 + 0.5) / 2 AS half, floor(v * 100.0 + 0.5) / 100.0 AS paise FROM (SELECT c_custkey, c_acctbal / 8 AS v FROM customer)""")
 def rounding_rules(spark, d):
+    """Balances, negative ones too, rounded half up to whole, half and hundredth units."""
     v = F.col("v")
-    df = spark.createDataFrame([(x,) for x in (2.5, -2.5, 1.26, 0.74, -0.5)], "v double")
-    return df.select("v", *[rounded_pay(v, m).cast("double").alias(m) for m in ("rupee", "half", "paise")])
+    df = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 8).alias("v"))
+    return df.select("c_custkey", *[rounded_pay(v, m).cast("double").alias(m) for m in ("rupee", "half", "paise")])
 
 
 @query("""WITH s AS (SELECT l_suppkey, count(*) AS lines, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, avg(l_discount) AS disc FROM lineitem GROUP BY 1)

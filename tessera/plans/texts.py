@@ -55,10 +55,13 @@ def repeat_line_collapse(spark, d):
     return each.groupBy("line_md5", "source").agg(F.count("*").alias("docs")).where("docs >= 2")
 
 
-@query("SELECT id, out AS value FROM (VALUES (1, '1200'), (2, '12.5'), (3, 'n/a'), (4, '-7'), (5, '')) t(id, out)")
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN CAST(n AS VARCHAR) WHEN 2 THEN CAST(n AS VARCHAR) || '.25' WHEN 3 THEN CAST(n AS VARCHAR) || 'd' WHEN 4 THEN '-' || CAST(n AS VARCHAR) ELSE 'n/a ' || o_orderpriority END AS value FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)""")
 def cell_normalise(spark, d):
-    rows = spark.createDataFrame([(1, " 1,200 "), (2, "12.50"), (3, "n/a"), (4, "-7.0"), (5, "")], "id int, raw string")
-    return rows.select("id", T.cell_value(F.col("raw")).alias("value"))
+    """Order totals as cells may hold them: with separators, trailing zeros, suffixes and white space."""
+    n, k = F.floor("o_totalprice"), F.col("o_orderkey") % 6
+    plain = n.cast("string")
+    raw = F.when(k == 0, F.concat(F.lit(" \t"), F.format_number(n, 0), F.lit("\n"))).when(k == 1, F.concat(plain, F.lit(".00"))).when(k == 2, F.concat(plain, F.lit(".250"))).when(k == 3, F.concat(plain, F.lit("d"))).when(k == 4, F.concat(F.lit("-"), plain, F.lit(".0"))).otherwise(F.concat(F.lit("\u00a0n/a "), "o_orderpriority"))
+    return table(spark, d, "orders").select("o_orderkey", T.cell_value(raw).alias("value"))
 
 
 @query(r"""WITH c AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, text AS b FROM conversations)

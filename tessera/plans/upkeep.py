@@ -52,30 +52,10 @@ def table_similarity_parts(spark, d):
 
 
 def _differences(spark, d):
-    """Difference rows from the turns of conversations: a page for each turn, one value before and after."""
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("ordinal"), (F.col("turn") % 2).alias("page"), F.col("role").alias("kind"), F.left("text", F.lit(12)).alias("before"), F.right("text", F.lit(12)).alias("after"))
-    return c.withColumn("zone", F.col("ordinal") % 3 == 0)
-
-
-_SQL_DIFFS = "(SELECT conv_id AS job, turn AS ordinal, turn % 2 AS page, role AS kind, left(text, 12) AS before, right(text, 12) AS after, turn % 3 = 0 AS zone FROM conversations)"
-
-
-@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY kind, before, after ORDER BY job, ordinal) AS r, count(*) OVER (PARTITION BY kind, before, after) AS n FROM {_SQL_DIFFS} WHERE zone),
-k AS (SELECT job, ordinal, page, kind, before, after, n AS pages FROM s WHERE r = 1 UNION ALL SELECT job, ordinal, page, kind, before, after, 1 FROM {_SQL_DIFFS} WHERE NOT zone),
-p AS (SELECT * FROM k WHERE NOT regexp_matches(trim(coalesce(before, '')), '(?i)^\\s*(?:page\\s+)?\\d+\\s*(?:of\\s+\\d+)?\\s*$')),
-f AS (SELECT *, row_number() OVER (PARTITION BY job, before, after, page, kind ORDER BY ordinal) AS r FROM p)
-SELECT job, CAST(row_number() OVER (PARTITION BY job ORDER BY ordinal) AS INTEGER) AS number, ordinal, pages FROM f WHERE r = 1 OR (length(coalesce(before, '')) <= 1 AND length(coalesce(after, '')) <= 1)""")
-def difference_cleanup(spark, d):
-    """Header and footer rows collapse with their count, page numbers go, same values keep their first, and the rest is numbered anew."""
-    x = _differences(spark, d)
-    group = ["kind", "before", "after"]
-    once = x.where("zone").groupBy(*group).agg(F.min_by(F.struct("job", "ordinal", "page"), F.struct("job", "ordinal")).alias("o"), F.count("*").alias("pages"))
-    kept = once.select("o.*", *group, "pages").unionByName(x.where("not zone").drop("zone").withColumn("pages", F.lit(1).cast("long")))
-    kept = kept.where(~T.is_page_number(F.coalesce("before", F.lit(""))))
-    w = Window.partitionBy("job", "before", "after", "page", "kind").orderBy("ordinal")
-    short = (F.length(F.coalesce("before", F.lit(""))) <= 1) & (F.length(F.coalesce("after", F.lit(""))) <= 1)
-    first = kept.withColumn("r", F.row_number().over(w)).where((F.col("r") == 1) | short)
-    return first.select("job", F.row_number().over(Window.partitionBy("job").orderBy("ordinal")).alias("number"), "ordinal", "pages")
+    """Difference rows from the turns of conversations: the whole text before and after, which has other white space, words or the role with it."""
+    n, role = F.col("turn") % 5, F.col("role")
+    after = F.when(n == 0, F.concat(F.lit("\n"), "text", F.lit("\t"))).when(n == 1, F.upper("text")).when(n == 2, F.concat("text", F.lit("."))).when(n == 3, F.concat("text", F.lit(" "), role)).otherwise("")
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("ordinal"), F.col("text").alias("before"), after.alias("after"))
 
 
 @query()
@@ -87,14 +67,6 @@ def typed_significance(spark, d):
     return r.select("job", "ordinal", "type", "r.significance", "r.confidence", T.truncated(F.col("before"), 50).alias("shown"))
 
 
-@query(f"""SELECT job, count(*) AS total, count(*) FILTER (WHERE page = 1) AS verified, count(*) > 0 AND count(*) FILTER (WHERE page = 1) < count(*) AS partial, CASE WHEN count(*) FILTER (WHERE kind = 'system') > 0 THEN 'MATERIAL' WHEN count(*) > 4 THEN 'SUBSTANTIVE' ELSE 'COSMETIC' END AS verdict, max(ordinal) + 1 AS next_number FROM {_SQL_DIFFS} GROUP BY 1""")
-def report_verdict(spark, d):
-    """Counts of a report, whether it is partial, its verdict, and the next difference number."""
-    g = _differences(spark, d).groupBy("job").agg(F.count("*").alias("total"), F.count_if(F.col("page") == 1).alias("verified"), F.count_if(F.col("kind") == "system").alias("system"), (F.coalesce(F.max("ordinal"), F.lit(0)) + 1).alias("next_number"))
-    verdict = F.when(F.col("system") > 0, "MATERIAL").when(F.col("total") > 4, "SUBSTANTIVE").otherwise("COSMETIC")
-    return g.select("job", "total", "verified", ((F.col("total") > 0) & (F.col("verified") < F.col("total"))).alias("partial"), verdict.alias("verdict"), "next_number")
-
-
 @query("""SELECT day, event_type, n FROM (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2)""")
 def rollup_with_live(spark, d):
     """A stored rollup of past days and live events of the last day, united and summed again."""
@@ -165,10 +137,10 @@ def skill_gaps(spark, d):
     return counts.select("user_id", F.array_join(gaps, ",").alias("gaps")).where("gaps <> ''")
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(left(text, 200)), 'licen[sc]e') THEN 'licence' WHEN regexp_matches(lower(left(text, 200)), 'mail|@') THEN 'contact' WHEN regexp_matches(lower(left(text, 200)), '[0-9]{4}') THEN 'number' ELSE 'other' END AS intent, regexp_matches(coalesce(text, ''), '[A-Z]{5}[0-9]{4}[A-Z]') AS has_pan FROM documents""")
+@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'licen[sc]e') THEN 'licence' WHEN regexp_matches(lower(text), 'mail|@') THEN 'contact' WHEN regexp_matches(lower(text), '[0-9]{4}') THEN 'number' ELSE 'other' END AS intent, regexp_matches(coalesce(text, ''), '[A-Z]{5}[0-9]{4}[A-Z]') AS has_pan FROM documents""")
 def intents(spark, d):
     """The first pattern that matches names the intent; and a validation pattern."""
-    head = F.lower(F.left("text", F.lit(200)))
+    head = F.lower("text")
     intent = F.when(head.rlike("licen[sc]e"), "licence").when(head.rlike("mail|@"), "contact").when(head.rlike("[0-9]{4}"), "number").otherwise("other")
     return table(spark, d, "documents").select("doc_id", intent.alias("intent"), F.coalesce("text", F.lit("")).rlike("[A-Z]{5}[0-9]{4}[A-Z]").alias("has_pan"))
 

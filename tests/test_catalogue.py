@@ -6,7 +6,7 @@ import pytest
 from tessera.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents labels benchmark conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels benchmark conversations pages".split()
 
 
 @pytest.fixture(scope="module")
