@@ -36,7 +36,7 @@ END = 2
 #: Chunks of more characters aren't kept in the table; a longer text is read in parts of about PART characters.
 LONGEST, PART = 64, 1 << 20
 #: Bytes of texts that are split at once, and chunks that are encoded at once.
-SLICE, TOGETHER = 16 << 20, 20_000
+SLICE, TOGETHER = 8 << 20, 20_000
 
 # White space, and characters that some tables count as such: no cut is made behind them.
 _SPACE = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -190,7 +190,7 @@ def _encoder(vocabulary: str, table_size: int) -> Encoder:
     return Encoder(vocabulary, table_size)
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc: str = "doc_id", text: str = "text", stripe: int = 64 << 20, rows: int = 2_000, files: int | None = None, table_size: int = 1_000_000) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc: str = "doc_id", text: str = "text", stripe: int = 64 << 20, rows: int = 2_000, files: int | None = None, table_size: int = 600_000) -> None:
     """Write the ids of all rows of docs to ORC files under `path` with stripes of `stripe` bytes and an index entry every `rows` rows.
 
     Rows stand in ascending order of doc_id (null first); rows that repeat an id stand in
