@@ -69,9 +69,3 @@ def z_class(value: Column, mean: Column, deviation: Column, n: Column) -> Column
     """HIGH beyond 2 deviations, MEDIUM beyond 1.5; needs three points of history; without variance any change is HIGH."""
     z = F.abs(value - mean) / F.nullif(deviation, F.lit(0.0))
     return F.when(n < 3, None).when((deviation == 0) & (value != mean), "HIGH").when(deviation == 0, "NORMAL").when(z > 2, "HIGH").when(z > 1.5, "MEDIUM").otherwise("NORMAL")
-
-
-def weighted(parts: dict[str, tuple[Column, float]]) -> Column:
-    """Weighted score from 0 to 100, rounded half up."""
-    total = sum((c * w for c, w in parts.values()), F.lit(0.0))
-    return F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)) + 0.5)

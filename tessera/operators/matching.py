@@ -136,14 +136,18 @@ def greedy(pairs: DataFrame, group: str, least: float) -> DataFrame:
     return pairs.where(F.col("score") >= least).groupBy(group).applyInPandas(run, f"{group} {kind}, a long, b long, score double")
 
 
-def _steps(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A shortest edit script: (-1, i) drops a[i], (1, j) puts in b[j], (0, i) keeps a[i].
+#: Cells of paths that are kept at once; beyond it a comparison is cut in two at the middle of a shortest path.
+MOST_CELLS = 2_000_000
 
-    Furthest-reaching paths by number of edits: time grows with length times edits, memory with the square of the edits.
-    """
+
+def _short_steps(a: list[str], b: list[str], most: int) -> list[tuple[int, int]] | None:
+    """A shortest edit script by furthest-reaching paths, or None if these take more than `most` cells."""
     n, m = len(a), len(b)
-    reach, trail = {1: 0}, []
+    reach, trail, cells = {1: 0}, [], 0
     for d in range(n + m + 1):
+        cells += d + 1
+        if cells > most:
+            return None
         row = array("q", bytes(8 * (d + 1)))
         for k in range(-d, d + 1, 2):
             x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
@@ -172,6 +176,51 @@ def _steps(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _middle(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """(x, y, length) of a run of equal tokens, possibly empty, in the middle of a shortest path: paths from both ends meet there."""
+    n, m = len(a), len(b)
+    skew = n - m
+    ahead, behind = {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        for mine, other, forward in ((ahead, behind, True), (behind, ahead, False)):
+            for k in range(-d, d + 1, 2):
+                x = mine[k + 1] if k == -d or (k != d and mine[k - 1] < mine[k + 1]) else mine[k - 1] + 1
+                y, start = x - k, x
+                while x < n and y < m and (a[x] == b[y] if forward else a[n - 1 - x] == b[m - 1 - y]):
+                    x, y = x + 1, y + 1
+                mine[k] = x
+                reach = d - 1 if forward else d
+                if (skew % 2 == 1) == forward and abs(skew - k) <= reach and x + other[skew - k] >= n:
+                    return (start, start - k, x - start) if forward else (n - x, m - y, x - start)
+    raise AssertionError("paths from both ends meet")
+
+
+def _steps(a: list[str], b: list[str], most: int = MOST_CELLS) -> list[tuple[int, int]]:
+    """A shortest edit script: (-1, i) drops a[i], (1, j) puts in b[j], (0, i) keeps a[i].
+
+    Time grows with length times edits, memory with the length: scripts of many edits are
+    put together from both sides of a middle.
+    """
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a[a0:a1] == b[b0:b1]:
+            out += [(0, i) for i in range(a0, a1)]
+            continue
+        if a0 == a1 or b0 == b1:
+            out += [(-1, i) for i in range(a0, a1)] + [(1, j) for j in range(b0, b1)]
+            continue
+        # Up to two edits are always found at once, so that each half has fewer edits than the whole.
+        own = _short_steps(a[a0:a1], b[b0:b1], max(most, 6))
+        if own is not None:
+            out += [(k, i + (b0 if k > 0 else a0)) for k, i in own]
+            continue
+        x, y, same = _middle(a[a0:a1], b[b0:b1])
+        # The run itself is a pair of equal slices; the last one pushed comes first.
+        todo += [(a0 + x + same, a1, b0 + y + same, b1), (a0 + x, a0 + x + same, b0 + y, b0 + y + same), (a0, a0 + x, b0, b0 + y)]
+    return out
+
+
 def _script(a: list[str], b: list[str]) -> list[tuple[str, str, str]]:
     """Edits between two token lists: (type, before, after); neighbouring drops and additions are one modification."""
     start, end = _trimmed(a, b)

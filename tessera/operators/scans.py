@@ -34,6 +34,18 @@ def running_total(df: DataFrame, order: list[str], value: Column, name: str = "t
     return x.withColumn("_own", own).join(offsets, "_part").withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
 
 
+def medians(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:
+    """(group, median) of the values that aren't null: ranks come from a scan in parts, so a group of any size is spread over tasks.
+
+    `tie` tells rows of one group and value apart. Groups without a value give no row; a null group is one.
+    """
+    x = running_total(df.where(F.col(value).isNotNull()).select(group, value, tie), [group, value, tie], F.lit(1), "_rank")
+    of = x.groupBy(F.col(group).alias("_g")).agg((F.min("_rank") - 1).alias("_base"), F.count("*").alias("_n"))
+    at = F.col("_rank") - F.col("_base")
+    middle = x.join(of, F.col(group).eqNullSafe(F.col("_g"))).where((at == F.floor((F.col("_n") + 1) / 2)) | (at == F.floor((F.col("_n") + 2) / 2)))
+    return middle.groupBy(group).agg(F.avg(value).alias("median"))
+
+
 def back_pressure(arrivals: DataFrame, served: str, limits: dict[str, int]) -> DataFrame:
     """Add waiting (of each queue) and decision ALLOW or DROP: a LOW arrival is dropped while its own queue or the default one is over its limit.
 

@@ -66,6 +66,10 @@ def test_edit_distance_and_script():
         assert "".join(b[i] if k > 0 else a[i] for k, i in steps if k >= 0) == b and [i for k, i in steps if k <= 0] == list(range(len(a)))
         # A shortest script without replacements keeps a longest common subsequence.
         assert len([1 for k, _ in steps if k]) == min((len(a) + len(b) - 2 * len(c) for c in _common(a, b)), default=0)
+        for most in (0, 3, 10):
+            cut = _steps(list(a), list(b), most)
+            assert "".join(b[i] if k > 0 else a[i] for k, i in cut if k >= 0) == b and [i for k, i in cut if k <= 0] == list(range(len(a)))
+            assert len([1 for k, _ in cut if k]) == len([1 for k, _ in steps if k])
 
 
 def _common(a, b):
@@ -139,3 +143,29 @@ def test_limit_of_a_table_over_batches(spark):
         assert {(r.event_id, r.passed) for r in limited(rows, ["user_id"], 60, 2).collect()} == passed
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_medians_are_exact(spark):
+    from tessera.operators.scans import medians
+
+    r = random.Random(7)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, r.choice([None, 1.5, 2.5, r.random() * 9])) for i in range(301)] + [("one", 999, 4.0), ("none", 1000, None)]
+    want = {}
+    for g in {x[0] for x in rows}:
+        v = sorted(x[2] for x in rows if x[0] == g and x[2] is not None)
+        want[g] = None if not v else (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    got = {x.g: x.median for x in medians(spark.createDataFrame(rows, "g string, id long, v double"), "g", "v", "id").collect()}
+    assert got == {g: m for g, m in want.items() if m is not None}
+
+
+def test_rollup_of_a_stream_is_that_of_the_table(spark, tmp_path):
+    from tessera.streaming.state import daily_rollup
+
+    rows = spark.sql("select id as event_id, if(id % 3 = 0, 'a', 'b') as event_type, timestamp_seconds(1700000000 + id * 7200) as ts from range(60)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    end = spark.sql("select 99L as event_id, 'end' as event_type, timestamp_seconds(1700000000 + 90 * 86400) as ts")
+    end.write.mode("append").parquet(str(tmp_path / "in2"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    q = daily_rollup(stream).writeStream.format("memory").queryName("rollup").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert {tuple(x) for x in spark.table("rollup").collect()} == {tuple(x) for x in daily_rollup(rows).collect()}
