@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Texts are handed to the vectorised kernels in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
+#: Texts whose runs are hashed come in smaller ones: a byte there takes some sixty of arrays and powers.
+HASH_BYTES = 2 << 20
 
 
 _LOCAL: list[str] = []

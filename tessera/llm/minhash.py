@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ROW, dropped, mix, prefix_hash, range_hash, slices, spread_join, utf8, with_rows, written
+from .common import HASH_BYTES, ROW, dropped, mix, prefix_hash, range_hash, slices, spread_join, utf8, with_rows, written
 
 WIDTH, BINS, BANDS = 5, 128, 32
 MIN_PERCENT = 75
@@ -99,7 +99,7 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part in slices(batch, text):
+    for part in slices(batch, text, HASH_BYTES):
         h, at = shingle_hashes(*utf8(part.column(text)))
         yield part, [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 

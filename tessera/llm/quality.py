@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import ROW, dropped, prefix_hash, range_hash, slices, utf8, with_rows, written
+from .common import HASH_BYTES, ROW, dropped, prefix_hash, range_hash, slices, utf8, with_rows, written
 
 HIDDEN, BATCH = 16, 512
 #: Rounds of averaging for the two networks of the prior and for the classifier; a task with few rows reads them again until it has made MIN_STEPS.
@@ -77,7 +77,7 @@ def featured(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, HASH_BYTES):
                 data, at = utf8(part.column(text))
                 x = np.array([features(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.float32)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel(), pa.float32()))

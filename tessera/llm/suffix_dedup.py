@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BASE, ROW, mix, powers, prefix_hash, range_hash, slices, spread_join, utf8, with_rows, written
+from .common import BASE, HASH_BYTES, ROW, mix, powers, prefix_hash, range_hash, slices, spread_join, utf8, with_rows, written
 
 LENGTH, GRAM = 200, 64
 #: Spans of one k-gram beyond which a bucket is cut by more context.
@@ -149,7 +149,7 @@ def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=HASH_BYTES):
                 data, offsets = utf8(part.column("text"))
                 found = [anchors(data[a:b], length, gram) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
