@@ -90,7 +90,7 @@ def _phase1(by_length, k, lists):
             chosen = np.zeros(full_ok.shape, bool)
             n = min(k, len(ids))
             for part in np.array_split(np.arange(rows.shape[1]), lists):
-                local = np.where(full_ok, _products(rows[:, part], q[:, part]), np.iinfo(np.int64).min)
+                local = np.where(full_ok, _products(rows[:, part], q[:, part]), np.iinfo(np.int64).min + 1)
                 np.put_along_axis(chosen, np.argpartition(-local, n - 1, axis=0)[:n], True, axis=0)
             r, c = np.nonzero(chosen & full_ok)
             if len(r):
