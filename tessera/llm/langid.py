@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import dropped, slices, with_rows, written, ROW
+from .common import ROW, dropped, slices, with_rows, without_rows, written
 
 ORDER = 4
 #: Most n-grams x languages of a model that is sent to the tasks; a larger one is joined.
@@ -269,8 +269,8 @@ def _by_joins(docs: DataFrame, model: Model, text: str) -> DataFrame:
         lower = written(each.select("gram", F.zip_with(F.coalesce("own", zeros), back, lambda a, b: a + b).alias("p")), "probabilities")
     logs = own.join(lower, "gram").groupBy(ROW).agg(F.sum("m").alias("size"), *[F.sum(F.col("m") * F.log2(F.col("p")[i])).alias(f"b{i}") for i in range(n_lang)])
     bits = F.when(F.col("size").isNull(), F.array().cast("array<double>")).otherwise(F.array(*[-F.col(f"b{i}") / F.col("size") for i in range(n_lang)]))
-    keep = [c for c in docs.columns if c != text]
-    return rows.select(ROW, *[c for c in keep if c != ROW]).join(logs, ROW, "left").select(*keep, bits.alias("bits"), F.coalesce("size", F.lit(0)).alias("size"))
+    own = [f"`{c}`" for c in rows.columns if c != text]
+    return without_rows(rows.select(*own).join(logs, ROW, "left").select(*own, bits.alias("bits"), F.coalesce("size", F.lit(0)).alias("size")))
 
 
 def entropies(docs: DataFrame, model: Model, text: str = "text", cells: int | None = None) -> DataFrame:
