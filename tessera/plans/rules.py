@@ -321,3 +321,53 @@ def two_level_limits(spark, d):
 def daily_counts(spark, d):
     """The rollup by day that also runs on a stream, here over the table."""
     return daily_rollup(table(spark, d, "events"))
+
+
+_SQL_WATCH = """v AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 10 > 0 THEN o_custkey % 500 END AS mobile, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 2000 END AS id_number FROM orders),
+w AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'BLOCKLIST' ELSE 'WATCHLIST' END AS type, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 3 % 500 END AS mobile, CASE WHEN s_suppkey % 2 = 1 OR s_suppkey % 5 = 0 THEN s_suppkey * 7 % 2000 END AS id_number, CASE WHEN s_suppkey % 4 = 0 THEN DATE '1997-01-01' + CAST(s_suppkey * 9 AS INTEGER) END AS expiry FROM supplier WHERE s_suppkey % 6 > 0)"""
+
+
+@query(f"""WITH {_SQL_WATCH} SELECT o_orderkey, CASE WHEN bool_or(type = 'BLOCKLIST') THEN 'DENIED' ELSE 'WATCHED' END AS outcome FROM v JOIN w ON (v.mobile = w.mobile OR v.id_number = w.id_number) AND (expiry IS NULL OR expiry >= day) GROUP BY 1""")
+def visitor_matches(spark, d):
+    """Visits whose mobile number or identity is on an active list that hasn't expired by then; a block list decides before a watch list."""
+    k, n = F.col("o_orderkey"), F.col("s_suppkey")
+    v = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.when(k % 10 > 0, F.col("o_custkey") % 500).alias("mobile"), F.when(k % 4 == 1, k % 2000).alias("id_number"))
+    w = table(spark, d, "supplier").where("s_suppkey % 6 > 0").select(F.when(n % 3 == 0, 1).otherwise(2).alias("priority"), F.when(n % 2 == 0, n * 3 % 500).alias("mobile"), F.when((n % 2 == 1) | (n % 5 == 0), n * 7 % 2000).alias("id_number"), F.when(n % 4 == 0, F.date_add(F.lit("1997-01-01").cast("date"), (n * 9).cast("int"))).alias("expiry"))
+    # Two joins on one key each instead of one on either.
+    hits = [v.join(w.select(c, "priority", "expiry"), c).where("expiry is null or expiry >= day").select("o_orderkey", "priority") for c in ("mobile", "id_number")]
+    best = hits[0].unionByName(hits[1]).groupBy("o_orderkey").agg(F.min("priority").alias("p"))
+    return best.select("o_orderkey", F.when(F.col("p") == 1, "DENIED").otherwise("WATCHED").alias("outcome"))
+
+
+@query("""WITH a AS (SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) // 100 AS arrears FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), c AS (SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) // 1000 AS claims FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '5%' GROUP BY 1)
+SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) + coalesce(arrears, 0) + coalesce(claims, 0) AS gross, arrears, claims FROM customer LEFT JOIN a ON a.o_custkey = c_custkey LEFT JOIN c ON c.o_custkey = c_custkey""")
+def pay_additions(spark, d):
+    """Unpaid arrears and approved claims, each summed by person first, added to the pay; none stays null."""
+    o = table(spark, d, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    of = lambda rows, name, by: rows.groupBy(F.col("o_custkey").alias(f"{name}_of")).agg(F.sum("cents").alias("s")).select(f"{name}_of", F.expr(f"s div {by}").alias(name))
+    a, c = of(o.where("o_orderstatus = 'P'"), "arrears", 100), of(o.where("o_orderstatus = 'O' and o_orderpriority like '5%'"), "claims", 1000)
+    x = table(spark, d, "customer").join(a, F.col("c_custkey") == F.col("arrears_of"), "left").join(c, F.col("c_custkey") == F.col("claims_of"), "left")
+    gross = F.round(F.col("c_acctbal") * 100).cast("long") + F.coalesce("arrears", F.lit(0)) + F.coalesce("claims", F.lit(0))
+    return x.select("c_custkey", gross.alias("gross"), "arrears", "claims")
+
+
+@query("""WITH p AS (SELECT o_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) // 100 AS BIGINT) AS income, o_custkey % 2 = 0 AS new FROM orders GROUP BY 1),
+t AS (SELECT *, CASE WHEN new THEN (least(income, 800000) - least(income, 400000)) * 5 // 100 + (least(income, 1200000) - least(income, 800000)) * 10 // 100 + greatest(income - 1200000, 0) * 20 // 100 ELSE (least(income, 500000) - least(income, 250000)) * 5 // 100 + (least(income, 1000000) - least(income, 500000)) * 20 // 100 + greatest(income - 1000000, 0) * 30 // 100 END AS slabs FROM p),
+r AS (SELECT *, CASE WHEN new AND income <= 1200000 THEN least(slabs, 60000) WHEN NOT new AND income <= 500000 THEN least(slabs, 12500) ELSE 0 END AS rebate FROM t),
+s AS (SELECT *, CASE WHEN income > 20000000 THEN 25 WHEN income > 10000000 THEN 15 WHEN income > 5000000 THEN 10 ELSE 0 END AS rate FROM r)
+SELECT o_custkey, CAST(slabs AS BIGINT) AS slabs, CAST(rebate AS BIGINT) AS rebate, CAST((slabs - rebate) * rate // 100 AS BIGINT) AS surcharge, CAST((slabs - rebate + (slabs - rebate) * rate // 100) * 104 // 100 AS BIGINT) AS tax FROM s""")
+def tax_regimes(spark, d):
+    """Tax by slabs of either regime, less the rebate below its limit, then the surcharge of high incomes and the cess."""
+    p = table(spark, d, "orders").groupBy("o_custkey").agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("c")).select("o_custkey", F.expr("c div 100").alias("income"))
+    new = F.col("o_custkey") % 2 == 0
+
+    def slabs(parts: list[tuple[int, int | None, int]]):
+        terms = [f"(least(income, {high}) - least(income, {low})) * {rate} div 100" if high else f"greatest(income - {low}, 0L) * {rate} div 100" for low, high, rate in parts]
+        return F.expr(" + ".join(terms))
+
+    # Slabs in whole units with their rates, rebates with their limits.
+    x = p.withColumn("slabs", F.when(new, slabs([(400_000, 800_000, 5), (800_000, 1_200_000, 10), (1_200_000, None, 20)])).otherwise(slabs([(250_000, 500_000, 5), (500_000, 1_000_000, 20), (1_000_000, None, 30)])))
+    rebate = F.when(new & (F.col("income") <= 1_200_000), F.least("slabs", F.lit(60_000))).when(~new & (F.col("income") <= 500_000), F.least("slabs", F.lit(12_500))).otherwise(0)
+    rate = F.when(F.col("income") > 20_000_000, 25).when(F.col("income") > 10_000_000, 15).when(F.col("income") > 5_000_000, 10).otherwise(0)
+    x = x.withColumns({"rebate": rebate.cast("long"), "rate": rate}).withColumn("surcharge", F.expr("(slabs - rebate) * rate div 100"))
+    return x.select("o_custkey", "slabs", "rebate", "surcharge", F.expr("(slabs - rebate + surcharge) * 104 div 100").alias("tax"))
