@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity, spaced, stripped
+from ..functions.text import spaced, stripped
 from .grids import cell_differences, cell_map, header_differences, new_rows, table_similarity
-from .matching import greedy, word_changes
+from .matching import greedy, pair_similarity, word_changes
 from .relational import stored
 
 # The least similarity of pages, titles, tables, other blocks, and of a deletion and an addition.
@@ -25,6 +25,14 @@ def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("side = 'a'").drop("side"), b.select("job", *[F.col(c).alias(c + "_b") for c in b.columns if c != "job"])
 
 
+def _meetings(a: DataFrame, b: DataFrame, keys: list[str], per: int) -> DataFrame:
+    """Every row of a with every row of b of its keys. The rows of a are dealt to slices of about `per`, so that many tasks share a large group's pairs."""
+    slices = a.groupBy(*keys).agg(F.ceil(F.count("*") / per).cast("int").alias("slices"))
+    mine = a.join(slices, keys).withColumn("slice", F.pmod(F.xxhash64(*[c for c in a.columns if c not in keys]), F.col("slices")).cast("int")).drop("slices")
+    theirs = b.join(slices, keys).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    return mine.join(theirs, [*keys, "slice"]).drop("slice")
+
+
 def page_map(blocks: DataFrame, chars: int = 2000) -> DataFrame:
     """(job, a, b, score): pages of a with their page of b, by the similarity of the first `chars` characters.
 
@@ -33,7 +41,7 @@ def page_map(blocks: DataFrame, chars: int = 2000) -> DataFrame:
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", _text("text").alias("t")))), lambda p: p["t"])
     pages = blocks.groupBy("job", "side", "page").agg(F.left(F.array_join(parts, " "), F.lit(chars)).alias("start"))
     a, b = _sides(pages)
-    pairs = a.join(b, "job").select("job", F.col("page").alias("a"), F.col("page_b").alias("b"), similarity(F.col("start"), F.col("start_b")).alias("score"))
+    pairs = _meetings(a, b, ["job"], 16).select("job", F.col("page").alias("a"), F.col("page_b").alias("b"), pair_similarity("start", "start_b").alias("score"))
     return greedy(pairs, "job", PAGE)
 
 
@@ -45,15 +53,17 @@ def align(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     of version a gives one row with `scope` set to its number and no places. Pairs whose lengths don't
     allow the similarity aren't compared.
     """
-    pages = page_map(blocks) if pages is None else pages
+    # Several branches read the pages; their similarities are computed once.
+    pages = stored(page_map(blocks)) if pages is None else pages
     whole = pages.select("job", F.lit("a").alias("side"), F.col("a").alias("page")).union(pages.select("job", F.lit("b").alias("side"), F.col("b").alias("page")))
     inside = blocks.join(whole, ["job", "side", "page"], "left_semi")
     a, b = _sides(inside)
     longer = F.greatest(F.length(_text("text")), F.length(_text("text_b")))
     fits = F.least(F.length(_text("text")), F.length(_text("text_b"))) >= longer * TEXT
     titled = [F.col("type" + s).isin(TITLED) & (_text("section_title" + s) != "") for s in ("", "_b")]
-    both = a.join(b, "job").withColumn("like", F.when(fits, similarity(F.col("text"), F.col("text_b"))).otherwise(0.0))
     table = (F.col("type") == "table") & (F.col("type_b") == "table")
+    # A column of its own: the similarity of a pair is computed once, whatever reads it.
+    both = _meetings(a, b, ["job"], 64).where(fits | table).withColumn("like", F.coalesce(pair_similarity(F.when(fits, _text("text")), F.when(fits, _text("text_b"))), F.lit(0.0)))
     size = [F.coalesce(F.col("rows" + s) * F.col("cols" + s), F.lit(0)) for s in ("", "_b")]
     of_tables = table_similarity(F.col("headers"), F.col("headers_b"), *size)
     rules = [(1, titled[0] & titled[1], F.col("like"), TITLE), (2, table, of_tables, TABLE), (3, F.lit(True), F.col("like"), TEXT)]
@@ -157,7 +167,7 @@ def _merges(diffs: DataFrame, chars: int) -> DataFrame:
     place = place_of(F.col("page"))
     # Only pairs whose lengths allow the similarity are compared; a page's differences are few.
     fits = F.least(F.length("x"), F.length("y"), F.lit(chars)) >= MERGE * F.least(F.greatest(F.length("x"), F.length("y")), F.lit(chars))
-    scored = gone.join(new, ["job", "page"]).where(fits).select(place.alias("place"), "a", "b", similarity(F.left("x", F.lit(chars)), F.left("y", F.lit(chars))).alias("score"))
+    scored = gone.join(new, ["job", "page"]).where(fits).select(place.alias("place"), "a", "b", pair_similarity(F.left("x", F.lit(chars)), F.left("y", F.lit(chars))).alias("score"))
     taken = greedy(scored, "place", MERGE).drop("score")
     added = diffs.select("job", place_of(new_page).alias("place"), F.col("number").alias("b"), stripped(F.col("after")).alias("later"), F.col("page_b").alias("new_page_b"), F.col("y_b").alias("new_y_b"), F.col("height_b").alias("new_height_b"))
     return taken.join(added, ["place", "b"]).drop("place")
