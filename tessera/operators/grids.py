@@ -27,13 +27,46 @@ def row_texts(cells: DataFrame, keys: list[str], width: str | None = None) -> Da
     return cells.groupBy(*keys, "row").agg(stripped(F.array_join(texts, " ")).alias("line"))
 
 
+def _differ(before: Column, after: Column) -> Column:
+    """Whether two cells' values differ; equal texts, most of all cells, need no normal form."""
+    return ~before.eqNullSafe(after) & ~cell_value(before).eqNullSafe(cell_value(after))
+
+
+def grid_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, a, b): the texts of each row of two grids; null where a grid lacks it. The last of rows with the same place counts.
+
+    rows: (keys, side 'a' or 'b', row, pos, texts array). All steps after it that stay within a
+    grid keep its partitions: the rows of both grids are shuffled once, by the keys.
+    """
+    of = lambda s: F.max_by(F.when(F.col("side") == s, F.col("texts")), F.when(F.col("side") == s, F.col("pos"))).alias(s)
+    return rows.groupBy(*keys, "row").agg(of("a"), of("b"))
+
+
+def row_cell_differences(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """cell_differences() of the rows that grid_rows() gives; texts beyond the end of a row are missing cells."""
+    pairs = F.transform(F.arrays_zip("a", "b"), lambda z, i: F.struct(i.cast("int").alias("col"), z["a"].alias("before"), z["b"].alias("after")))
+    j = rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("a", "b")}).select(*keys, "row", F.explode(pairs).alias("c")).select(*keys, "row", "c.*")
+    kind = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "deleted").otherwise("modified")
+    return j.where(_differ(F.col("before"), F.col("after"))).select(*keys, "row", "col", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), kind.alias("change"))
+
+
+def unlike_rows(rows: DataFrame, keys: list[str], own: str, other: str, above: float = 0.8) -> DataFrame:
+    """new_rows() of the rows that grid_rows() gives: rows of side `own` that side `other` lacks, with text, and unlike all of its rows."""
+    line = lambda side: stripped(F.array_join(side, " ", ""))
+    missing = rows.where(F.col(other).isNull()).select(*keys, "row", line(own).alias("line")).where("line <> ''").alias("m")
+    t = rows.where(F.col(other).isNotNull()).select(*keys, line(other).alias("seen")).alias("t")
+    same = (F.least(F.length("line"), F.length("seen")) > above * F.greatest(F.length("line"), F.length("seen"))) & (similarity(F.col("line"), F.col("seen")) > above)
+    for k in keys:
+        same = (F.col(f"m.{k}") == F.col(f"t.{k}")) & same
+    return missing.join(t, same, "left_anti").select(*keys, "row")
+
+
 def cell_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row, col, before, after, change) of cells whose normalised values differ."""
     place = [*keys, "row", "col"]
     j = a.select(*place, F.col("text").alias("before")).join(b.select(*place, F.col("text").alias("after")), place, "full")
     kind = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "deleted").otherwise("modified")
-    differs = ~cell_value(F.col("before")).eqNullSafe(cell_value(F.col("after")))
-    return j.where(differs).select(*place, F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), kind.alias("change"))
+    return j.where(_differ(F.col("before"), F.col("after"))).select(*place, F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), kind.alias("change"))
 
 
 def header_differences(a: Column, b: Column) -> Column:
