@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import spaced, stripped
 from .grids import cell_differences, cell_map, header_differences, new_rows, table_similarity
-from .matching import greedy, pair_similarity, word_changes
+from .matching import favourites, greedy, pair_similarity, settled, word_changes
 from .relational import stored
 
 # The least similarity of pages, titles, tables, other blocks, and of a deletion and an addition.
@@ -29,8 +29,10 @@ def _meetings(a: DataFrame, b: DataFrame, keys: list[str], per: int) -> DataFram
     """Every row of a with every row of b of its keys. The rows of a are dealt to slices of about `per`, so that many tasks share a large group's pairs."""
     slices = a.groupBy(*keys).agg(F.ceil(F.count("*") / per).cast("int").alias("slices"))
     mine = a.join(slices, keys).withColumn("slice", F.pmod(F.xxhash64(*[c for c in a.columns if c not in keys]), F.col("slices")).cast("int")).drop("slices")
+    # Few bytes bring much work: the slices are dealt to all partitions, which a size in bytes would put together.
+    mine = mine.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "slice")
     theirs = b.join(slices, keys).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    return mine.join(theirs, [*keys, "slice"]).drop("slice")
+    return mine.join(theirs.hint("merge"), [*keys, "slice"]).drop("slice")
 
 
 def page_map(blocks: DataFrame, chars: int = 2000) -> DataFrame:
@@ -39,10 +41,16 @@ def page_map(blocks: DataFrame, chars: int = 2000) -> DataFrame:
     Comparing the start of a page is the rule's own definition. A job is one pair of documents: only its pages meet.
     """
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", _text("text").alias("t")))), lambda p: p["t"])
-    pages = blocks.groupBy("job", "side", "page").agg(F.left(F.array_join(parts, " "), F.lit(chars)).alias("start"))
+    pages = stored(blocks.groupBy("job", "side", "page").agg(F.left(F.array_join(parts, " "), F.lit(chars)).alias("start")))
     a, b = _sides(pages)
-    pairs = _meetings(a, b, ["job"], 16).select("job", F.col("page").alias("a"), F.col("page_b").alias("b"), pair_similarity("start", "start_b").alias("score"))
-    return greedy(pairs, "job", PAGE)
+    texts = [F.col("page").alias("a"), F.col("page_b").alias("b"), F.col("start").alias("x"), F.col("start_b").alias("y")]
+    found = stored(settled(favourites(_meetings(a, b, ["job"], 16).select("job", *texts), "job", PAGE), "job"))
+    sure = found.where("sure").drop("sure")
+    # What the favourites don't decide is compared in full.
+    a = a.join(found.where("not sure").select("job", F.col("a").alias("page")), ["job", "page"], "left_semi")
+    b = b.join(sure.select("job", F.col("b").alias("page_b")), ["job", "page_b"], "left_anti")
+    pairs = _meetings(a, b, ["job"], 16).select("job", *texts[:2], pair_similarity("start", "start_b").alias("score"))
+    return sure.unionByName(greedy(pairs, "job", PAGE))
 
 
 def align(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -56,20 +64,42 @@ def align(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     # Several branches read the pages; their similarities are computed once.
     pages = stored(page_map(blocks)) if pages is None else pages
     whole = pages.select("job", F.lit("a").alias("side"), F.col("a").alias("page")).union(pages.select("job", F.lit("b").alias("side"), F.col("b").alias("page")))
-    inside = blocks.join(whole, ["job", "side", "page"], "left_semi")
+    needed = ["job", "side", "pos", "type", "section_title", "text", "headers", "rows", "cols"]
+    inside = stored(blocks.join(whole, ["job", "side", "page"], "left_semi").select(needed))
     a, b = _sides(inside)
     longer = F.greatest(F.length(_text("text")), F.length(_text("text_b")))
     fits = F.least(F.length(_text("text")), F.length(_text("text_b"))) >= longer * TEXT
     titled = [F.col("type" + s).isin(TITLED) & (_text("section_title" + s) != "") for s in ("", "_b")]
-    table = (F.col("type") == "table") & (F.col("type_b") == "table")
-    # A column of its own: the similarity of a pair is computed once, whatever reads it.
-    both = _meetings(a, b, ["job"], 64).where(fits | table).withColumn("like", F.coalesce(pair_similarity(F.when(fits, _text("text")), F.when(fits, _text("text_b"))), F.lit(0.0)))
+    places = [F.col("pos").alias("a"), F.col("pos_b").alias("b")]
+
+    def left_of(a: DataFrame, b: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(x.join(taken.select("job", F.col(n).alias(c)), ["job", c], "left_anti") for x, n, c in ((a, "a", "pos"), (b, "b", "pos_b")))
+
+    def chosen(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+        met = _meetings(a, b, ["job"], 64).where(fits).select("job", *places, _text("text").alias("x"), _text("text_b").alias("y"))
+        return stored(settled(favourites(met, "job", least), "job"))
+
+    # Titles and tables share no block, so neither pass waits for the other.
+    titles = chosen(a.where(titled[0]), b.where(titled[1]), TITLE)
     size = [F.coalesce(F.col("rows" + s) * F.col("cols" + s), F.lit(0)) for s in ("", "_b")]
-    of_tables = table_similarity(F.col("headers"), F.col("headers_b"), *size)
-    rules = [(1, titled[0] & titled[1], F.col("like"), TITLE), (2, table, of_tables, TABLE), (3, F.lit(True), F.col("like"), TEXT)]
-    tries = F.array(*[F.struct(F.lit(n).alias("pass"), F.when(F.coalesce(when, F.lit(False)) & (score >= least), score).alias("score")) for n, when, score, least in rules])
-    pairs = both.select("job", F.col("pos").alias("a"), F.col("pos_b").alias("b"), F.explode(tries).alias("t")).select("job", "a", "b", "t.pass", "t.score").where("score is not null")
-    matched = greedy(pairs, "job", 0.0)
+    grids = _meetings(a.where("type = 'table'"), b.where("type_b = 'table'"), ["job"], 64)
+    tables = stored(greedy(grids.select("job", *places, table_similarity(F.col("headers"), F.col("headers_b"), *size).alias("score")), "job", TABLE))
+    sure = titles.where("sure").drop("sure").unionByName(tables)
+    a, b = left_of(a, b, sure)
+    # The last pass waits for the titles: it has favourites in jobs whose titles are all settled.
+    unsure = titles.where("not sure").select("job").distinct()
+    rest = chosen(a.join(unsure, "job", "left_anti"), b.join(unsure, "job", "left_anti"), TEXT)
+    last = rest.where("sure").drop("sure")
+    sure = sure.unionByName(last)
+    # What the favourites don't decide is compared in full.
+    undecided = rest.where("not sure").select("job", F.col("a").alias("pos")).unionByName(a.join(unsure, "job", "left_semi").select("job", F.col("pos").cast("long").alias("pos")))
+    a, b = left_of(a, b, last)
+    # A column of its own: the similarity of a pair is computed once, whatever reads it.
+    both = _meetings(a.join(undecided, ["job", "pos"], "left_semi"), b, ["job"], 64).where(fits).withColumn("like", pair_similarity(_text("text"), _text("text_b")))
+    rules = [(1, titled[0] & titled[1], TITLE), (3, F.lit(True), TEXT)]
+    tries = F.array(*[F.struct(F.lit(n).alias("pass"), F.when(F.coalesce(when, F.lit(False)) & (F.col("like") >= least), F.col("like")).alias("score")) for n, when, least in rules])
+    pairs = both.select("job", *places, F.explode(tries).alias("t")).select("job", "a", "b", "t.pass", "t.score").where("score is not null")
+    matched = sure.unionByName(greedy(pairs, "job", 0.0))
     left = matched.join(inside.where("side = 'a'").select("job", F.col("pos").alias("a")), ["job", "a"], "right")
     full = left.join(inside.where("side = 'b'").select("job", F.col("pos").alias("b")), ["job", "b"], "full")
     gone = blocks.where("side = 'a'").select("job", F.col("page").alias("scope")).distinct().join(pages.select("job", F.col("a").alias("scope")), ["job", "scope"], "left_anti")
