@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from .relational import stored
 
@@ -92,45 +92,79 @@ MACHINES: dict[str, dict[str, list[str]]] = {
 def transitions(requests: DataFrame, key: str, order: list[str], wanted: str, machine: dict[str, list[str]]) -> DataFrame:
     """Add state_before, accepted and state_after of each request, in order of a key's requests from the machine's first state.
 
-    A request that the machine doesn't allow, or an unknown or null one, leaves the state as
-    it is. A part of a history is a map from states to states; maps are composed, so a key
-    with very many requests is spread over tasks.
+    A request that the machine doesn't allow, or an unknown or null one, leaves the state as it is.
     """
-    states = list(machine)
-    at = {s: i for i, s in enumerate(states)}
-    allowed = {(at[s], at[t]) for s, after in machine.items() for t in after}
-    whole = tuple(range(len(states)))
+    return several_transitions(requests, key, order, {"_m": (F.col(wanted), machine)}).select(*requests.columns, "_m.state_before", "_m.accepted", "_m.state_after")
+
+
+def several_transitions(requests: DataFrame, key: str, order: list[str], machines: dict[str, tuple[Column, dict[str, list[str]]]]) -> DataFrame:
+    """Add struct(wanted, state_before, accepted, state_after) for each machine, all by one sort; machines: name to (wanted state, machine).
+
+    A key's state is known where its requests begin. Only the first key of a part may have begun in
+    an earlier one: there a part is a map from states to states, and the maps of a key are
+    composed, so a key with very many requests is spread over tasks. A state is a letter,
+    a map the letters of where each state leads, and a known state a map of the first state alone.
+    """
+    letters = {n: "".join(chr(48 + i) for i in range(len(m))) for n, (_, m) in machines.items()}
     x = requests.repartitionByRange(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, *order).sortWithinPartitions(key, *order)
-    x = x.withColumn("_part", F.spark_partition_id())
-    schema = StructType([*x.schema.fields, StructField("_place", LongType()), StructField("_before", ArrayType(IntegerType())), StructField("_after", ArrayType(IntegerType()))])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, current, memo, n = object(), whole, {}, 0
-        for frame in frames:
-            before, after = [], []
-            for k, target in zip(frame[key], frame[wanted], strict=True):
-                k = None if pd.isna(k) else k
-                if k != last:
-                    last, current = k, whole
-                before.append(current)
-                step = (current, target)
-                if step not in memo:
-                    t = at.get(target, -1)
-                    memo[step] = tuple(t if (s, t) in allowed else s for s in current)
-                current = memo[step]
-                after.append(current)
-            frame["_place"], frame["_before"], frame["_after"] = range(n, n + len(frame)), before, after
-            n += len(frame)
-            yield frame
-
-    parts = stored(x.mapInPandas(run, schema))
-    maps = parts.groupBy(key, "_part").agg(F.max_by("_after", "_place").alias("m"))
+    # The wanted states come after the sort: they aren't shuffled.
+    x = x.withColumns({"_part": F.spark_partition_id()} | {f"_wanted_{n}": w for n, (w, _) in machines.items()})
+    states = [f"_{when}_{n}" for n in machines for when in ("before", "after")]
+    schema = StructType([*x.schema.fields, StructField("_place", LongType()), StructField("_first", BooleanType()), *[StructField(c, StringType()) for c in states]])
+    steps = {n: {(i, t): j for i, s in zip(letters[n], m, strict=True) for t, j in zip(m, letters[n], strict=True) if t in m[s]} for n, (_, m) in machines.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, dict] = {n: {} for n in steps}
+        now, last, first, n = {m: "" for m in steps}, object(), None, 0
+        for batch in batches:
+            keys = batch.column(key).to_pylist()
+            starts = []
+            for k in keys:
+                starts.append(k != last and not (k != k and last != last))
+                last = k
+            opening = []
+            for new in starts:
+                first = first is None if new else first
+                opening.append(first)
+            columns = []
+            for m, allowed in steps.items():
+                current, known, before, after = now[m], memo[m], [], []
+                for new, open_, target in zip(starts, opening, batch.column(f"_wanted_{m}").to_pylist(), strict=True):
+                    if new:
+                        current = letters[m] if open_ else letters[m][0]
+                    before.append(current)
+                    step = (current, target)
+                    current = known.get(step)
+                    if current is None:
+                        current = known[step] = "".join(allowed.get((s, target), s) for s in step[0])
+                    after.append(current)
+                now[m] = current
+                columns += [pa.array(before, pa.string()), pa.array(after, pa.string())]
+            place = pa.array(range(n, n + len(keys)), pa.int64())
+            n += len(keys)
+            yield pa.RecordBatch.from_arrays([*batch.columns, place, pa.array(opening, pa.bool_()), *columns], names=schema.names)
+
+    parts = stored(x.mapInArrow(run, schema))
+    # One key for each part.
+    firsts = parts.where("_first").select(F.col(key).alias("_key")).distinct()
+    edges = parts.join(F.broadcast(firsts), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    maps = edges.groupBy(key, "_part").agg(F.max_by(F.struct(*[f"_after_{n}" for n in machines]), "_place").alias("m"))
     # A key's parts: at most as many as shuffle partitions.
     listed = maps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_part", "m"))).alias("l"))
-    empty = F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<part: int, start: int>>").alias("out"))
-    scan = F.aggregate("l", empty, lambda a, p: F.struct(F.element_at(p["m"], a["s"] + 1).alias("s"), F.concat(a["out"], F.array(F.struct(p["_part"].alias("part"), a["s"].alias("start")))).alias("out")))
-    starts = listed.select(F.col(key).alias("_key"), F.explode(scan["out"]).alias("o")).select("_key", F.col("o.part").alias("_p"), F.col("o.start").alias("_start"))
-    both = parts.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
-    name = lambda m: F.element_at(F.array(*[F.lit(s) for s in states]), F.element_at(m, F.col("_start") + 1) + 1)
-    out = both.withColumns({"state_before": name("_before"), "state_after": name("_after")})
-    return out.withColumn("accepted", F.col("state_before") != F.col("state_after")).select(*requests.columns, "state_before", "accepted", "state_after")
+    at = lambda m, start: F.ascii(F.substr(m, start + 1, F.lit(1))) - 48
+    empty = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("out"))
+
+    def scan(n: str) -> Column:
+        return F.aggregate("l", empty, lambda a, p: F.struct(at(p["m"][f"_after_{n}"], a["s"]).alias("s"), F.concat(a["out"], F.array(a["s"])).alias("out")))["out"].alias(n)
+
+    zipped = listed.select(F.col(key).alias("_key"), "l", *[scan(n) for n in machines]).select("_key", F.explode(F.arrays_zip("l", *machines)).alias("o"))
+    starts = zipped.select("_key", F.col("o.l._part").alias("_p"), *[F.col("o")[n].alias(f"_start_{n}") for n in machines])
+    both = parts.join(F.broadcast(starts), F.col("_first") & (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+
+    def moved(n: str) -> Column:
+        start = F.coalesce(f"_start_{n}", F.lit(0))
+        name = lambda when: F.element_at(F.array(*[F.lit(s) for s in machines[n][1]]), at(F.col(f"_{when}_{n}"), start) + 1)
+        before, after = name("before"), name("after")
+        return F.struct(F.col(f"_wanted_{n}").alias("wanted"), before.alias("state_before"), (before != after).alias("accepted"), after.alias("state_after")).alias(n)
+
+    return both.select(*requests.columns, *[moved(n) for n in machines])

@@ -127,13 +127,11 @@ def back_pressure(spark, d):
 @query()
 def state_machines(spark, d):
     """Requests of users to move through each of the eight machines; which were accepted, and the states left."""
-    out = None
-    for name, machine in scans.MACHINES.items():
-        wanted = F.element_at(F.array(*[F.lit(s) for s in machine]), (F.pmod(F.xxhash64("event_id", F.lit(name)), F.lit(len(machine))) + 1).cast("int"))
-        e = table(spark, d, "events").select("user_id", "ts", "event_id", wanted.alias("wanted"))
-        one = scans.transitions(e, "user_id", ["ts", "event_id"], "wanted", machine).select(F.lit(name).alias("machine"), "event_id", "wanted", "state_before", "accepted", "state_after")
-        out = one if out is None else out.unionByName(one)
-    return out
+    wanted = lambda name, machine: F.element_at(F.array(*[F.lit(s) for s in machine]), (F.pmod(F.xxhash64("event_id", F.lit(name)), F.lit(len(machine))) + 1).cast("int"))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id")
+    x = scans.several_transitions(e, "user_id", ["ts", "event_id"], {n: (wanted(n, m), m) for n, m in scans.MACHINES.items()})
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("machine"), "event_id", f"{n}.*") for n in scans.MACHINES])).alias("r")
+    return x.select(each).select("r.*")
 
 
 @query()
