@@ -104,14 +104,19 @@ def cell_value(text: Column) -> Column:
 
 
 def is_page_number(text: Column) -> Column:
-    return stripped(text).rlike(PAGE_NUMBER)
+    # Texts without a digit, which are most, need no strip.
+    return text.rlike("[0-9]") & stripped(text).rlike(PAGE_NUMBER)
 
 
 def is_garbage(text: Column) -> Column:
     """Clusters of characters that aren't Latin, of symbols, or too few letters, digits and spaces; below 2 characters never."""
-    t = stripped(text)
-    plain = F.length(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}\s\x1c-\x1f]", ""))
-    return F.coalesce((F.length(t) >= 2) & (t.rlike(NON_LATIN) | ((F.length(t) > 5) & (plain / F.length(t) < 0.4)) | t.rlike(GARBLED)), F.lit(False))
+
+    def garbled(t: Column) -> Column:
+        plain = F.length(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}\s\x1c-\x1f]", ""))
+        return (F.length(t) >= 2) & (t.rlike(NON_LATIN) | ((F.length(t) > 5) & (plain / F.length(t) < 0.4)) | t.rlike(GARBLED))
+
+    # Plain texts are told at once; for the others the transform binds the stripped text to a name, so it is formed once.
+    return F.coalesce(~text.rlike(r"\A[A-Za-z0-9 ]*+\z") & F.transform(F.array(stripped(text)), garbled)[0], F.lit(False))
 
 
 def html_escaped(text: Column) -> Column:
