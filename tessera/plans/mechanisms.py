@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy, pages, scans, sinks, spatial
-from ..operators.relational import shared_dir
+from ..operators.relational import shared_dir, stored
 from ..sources.tables import table
 from ..streaming import alerts
 from .registry import query
@@ -29,7 +29,8 @@ e AS (SELECT l_orderkey AS page, k AS id, l_discount * 5 + (l_partkey % 10) * 0.
 
 
 def _boxes(spark, d):
-    l = numbered_lines(spark, d)
+    # Written once: both extractions read the numbered lines, which are shuffled for their numbers.
+    l = stored(numbered_lines(spark, d).select("l_orderkey", "k", "l_returnflag", "l_discount", "l_linenumber", "l_tax", "l_quantity", "l_partkey", "l_suppkey"))
     size = [(F.lit(0.1) + F.col("l_tax") * 5).alias("width"), F.lit(0.15).alias("height")]
     id_ = [F.col("l_orderkey").alias("page"), F.col("k").cast("long").alias("id")]
     kind = F.when(F.col("l_returnflag") == "A", "annotation").when(F.col("l_returnflag") == "N", "text")
