@@ -215,7 +215,8 @@ def merged_changes(diffs: DataFrame, chars: int = 200) -> DataFrame:
     as none. The merged row has the addition's page and place in b, and `merged` is true.
     Comparing the first `chars` characters is the rule's own definition.
     """
-    change = _merges(diffs, chars)
+    # Read twice: the similarities are computed once.
+    change = stored(_merges(diffs, chars))
     rest = diffs.join(change.select("job", F.col("b").alias("number")), ["job", "number"], "left_anti")
     out = rest.join(change.drop("b").withColumnRenamed("a", "number"), ["job", "number"], "left")
     new = F.col("later").isNotNull()
