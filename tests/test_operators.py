@@ -303,6 +303,20 @@ def test_distance_within_a_band_is_the_whole_one():
         for most in (1, 2, 4, 7, 11):
             if len(a) - len(b) <= most < len(a):
                 assert matching._banded(a, b, most) == (whole if whole <= most else None)
+    pairs = []
+    for k in range(300):
+        a = "".join(r.choice("abcd") for _ in range(r.choice([1, 30, 200, 700, 900])))
+        b = list(a)
+        for _ in range(r.randrange(1 + len(a) // (3 if k % 2 else 12))):
+            b[r.randrange(len(b))] = r.choice(["", "ab", "\U0001f600"])
+        pairs.append((a, "".join(b) or "d"))
+    want = [_distance(a, b) for a, b in pairs]
+    assert matching._distances(*map(list, zip(*pairs, strict=True))) == want and max(want) > 127
+    held = [((a, b) if len(a) >= len(b) else (b, a)) for a, b in pairs]
+    for words in (1, 2, 3):
+        own = [(p, d) for p, d in zip(held, want, strict=True) if len(p[0]) - len(p[1]) < 32 * words]
+        got = matching._near_diagonal([p[0] for p, _ in own], [p[1] for p, _ in own], words)
+        assert got.tolist() == [min(d, 32 * words) for _, d in own]
     long = "".join(r.choice("abcdefgh") for _ in range(9000))
     assert _distance(long, "x" + long[:3000] + "yy" + long[3001:] + "z") == 4
     assert _distance(long, long[::-1]) == _distance(long[::-1], long) > 2048
